@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality, simhash
+from . import mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,28 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced by format-preserving pseudonyms."""
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into training sequences."""
+    return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that the mixture takes, with their copies."""
+    return mixing.sample(_table(spark, sf_dir, "documents"), mixing.label_weights(_table(spark, sf_dir, "labels")))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five stages of corpus_pipeline.py, one after the other."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the repetition rules keep, with what was measured."""
     return quality.measure(_table(spark, sf_dir, "documents")).where("keep").drop("keep")
@@ -25,10 +47,14 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "pipeline": pipeline,
+        "op4_pii_pseudonyms": op4_pii_pseudonyms,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op8_source_mixing": op8_source_mixing,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_source_mixing": mixing.oracle()}
