@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing, pii, quality, simhash
+from . import langmodel, mixing, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probability of each document under the model of all documents."""
+    return langmodel.score(_table(spark, sf_dir, "documents"))
+
+
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by format-preserving pseudonyms."""
     return pii.pseudonymise(_table(spark, sf_dir, "documents"))
@@ -48,6 +53,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
+        "op3_lm_scoring": op3_lm_scoring,
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_source_mixing": op8_source_mixing,
