@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langmodel, mixing, packing, pii, quality, simhash
+from . import langmodel, mixing, neighbours, packing, pii, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,11 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages archived as WARC records and put together again."""
+    return warc.archive_report(warc.records(_table(spark, sf_dir, "pages")))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of each document under the model of all documents."""
     return langmodel.score(_table(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.sample(_table(spark, sf_dir, "documents"), mixing.label_weights(_table(spark, sf_dir, "labels")))
 
 
+def op10_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten neighbours of every vector."""
+    return neighbours.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline.py, one after the other."""
     import corpus_pipeline
@@ -53,14 +63,16 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
+        "op1_warc_archive": op1_warc_archive,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op8_source_mixing": op8_source_mixing,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
+        "op10_approximate_neighbours": op10_approximate_neighbours,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_source_mixing": mixing.oracle()}
+    return {"op1_warc_archive": warc.oracle(), "op8_source_mixing": mixing.oracle()}
