@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langmodel, mixing, neighbours, packing, pii, quality, simhash, warc
+from . import html_templates, langmodel, licences, mixing, neighbours, packing, pii, quality, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,11 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(warc.records(_table(spark, sf_dir, "pages")))
 
 
+def op2_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every paragraph of the documents that holds licence wording."""
+    return licences.scan(_table(spark, sf_dir, "documents"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Log-probability of each document under the model of all documents."""
     return langmodel.score(_table(spark, sf_dir, "documents"))
@@ -38,6 +43,11 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op7_html_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of all pages without the templates of their hosts."""
+    return html_templates.extract(_table(spark, sf_dir, "pages"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that the mixture takes, with their copies."""
     return mixing.sample(_table(spark, sf_dir, "documents"), mixing.label_weights(_table(spark, sf_dir, "labels")))
@@ -64,9 +74,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "pipeline": pipeline,
         "op1_warc_archive": op1_warc_archive,
+        "op2_licence_scan": op2_licence_scan,
         "op3_lm_scoring": op3_lm_scoring,
         "op4_pii_pseudonyms": op4_pii_pseudonyms,
         "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_html_templates": op7_html_templates,
         "op8_source_mixing": op8_source_mixing,
         "op5_simhash_near_dedup": op5_simhash_near_dedup,
         "op9_quality_rules": op9_quality_rules,
