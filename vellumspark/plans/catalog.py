@@ -1,14 +1,13 @@
-"""Registered queries of the document-chunk engine and their DuckDB twins."""
+"""All registered queries of the document-chunk engine and their DuckDB twins."""
 
 from __future__ import annotations
 
-_QUERIES: dict = {}
-_ORACLES: dict[str, str] = {}
+from vellumspark.plans import base, search_queries, text_queries  # noqa: F401 - imported to register
 
 
 def queries() -> dict:
-    return _QUERIES
+    return base.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return _ORACLES
+    return base.ORACLES
