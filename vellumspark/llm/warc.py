@@ -25,20 +25,21 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
 from . import common
 
 _CRLF = "\r\n"
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     squeeze = zstandard.ZstdCompressor(level=3)
     for payloads in batches:
         yield payloads.map(squeeze.compress)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(BinaryType())
 def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     open_up = zstandard.ZstdDecompressor()
     for payloads in batches:
