@@ -36,6 +36,28 @@ def tune(spark: SparkSession) -> None:
         spark.conf.set(key, BATCH_ROWS)
 
 
+def pick(df: DataFrame, **wanted: str) -> DataFrame:
+    """Columns of df by name, under the names that are asked for: pick(df, i="doc_id").
+
+    A column of exactly that name counts, the first one where it is there twice; else one that differs in case alone.
+    Columns are taken by place, so that others of a like name do no harm.
+    """
+    names = df.columns
+    lower = [n.lower() for n in names]
+    place = {}
+    for out, name in wanted.items():
+        if name not in names and name.lower() not in lower:
+            raise ValueError(f"there is no column {name}")
+        place[out] = names.index(name) if name in names else lower.index(name.lower())
+    numbered = df.toDF(*[f"column_{k}" for k in range(len(names))])
+    return numbered.select(*[F.col(f"column_{k}").alias(out) for out, k in place.items()])
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """The columns of documents."""
+    return pick(df, **{c: c for c in DOCUMENT_COLUMNS})
+
+
 # --- numpy text -----------------------------------------------------------------------------------------------
 
 
@@ -170,6 +192,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         if not _OWN_DIRS:
             _OWN_DIRS.append(tempfile.mkdtemp(prefix="vellumspark-"))
         folder = f"file://{_OWN_DIRS[0]}"

@@ -168,7 +168,7 @@ def host(url: Column) -> Column:
 
 
 def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), host(F.col(url_col).cast("string")).alias("host"), F.col(html_col).cast("string").alias("html"))
+    return common.pick(pages, i=id_col, u=url_col, h=html_col).select(F.col("i").cast("long").alias("page_id"), host(F.col("u").cast("string")).alias("host"), F.col("h").cast("string").alias("html"))
 
 
 def page_keys(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:

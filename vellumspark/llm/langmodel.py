@@ -87,7 +87,7 @@ def window_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         if parts:
             yield sent(*_merged(parts))
 
-    return docs.select(F.col(text_col).cast("string").alias("t")).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return common.pick(docs, t=text_col).select(F.col("t").cast("string")).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def arcs(windows: DataFrame, min_count: dict[int, int] | None = None) -> DataFrame:
@@ -274,7 +274,7 @@ def score_by_automaton(docs: DataFrame, automaton: Automaton, id_col: str = "doc
             for low, high, data, offsets in common.pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(offsets)), pa.array(model.score(data, offsets))], names=["doc_id", "n", "lp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    chosen = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
     return _result(chosen.mapInArrow(run, "doc_id long, n long, lp double"))
 
 
@@ -302,7 +302,7 @@ def score_by_join(docs: DataFrame, kept: DataFrame, discount: float = DISCOUNT,
                 at = ranked[change]
                 yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(doc[at] + low)), pa.array(key[at]), pa.array(count)], names=["row", "run", "times"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    rows = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
     saved = common.Saved(docs.sparkSession, "lmjoin")
     rows = saved.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     runs = saved.put(rows.where("t is not null").select("t", "row").mapInArrow(run, "row long, run long, times long"), "runs")

@@ -318,5 +318,5 @@ def scan(docs: DataFrame, model: Classifier | None = None, confirm: float = CONF
                 confirmed = pc.fill_null(pc.greater_equal(likeness, confirm), False)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(number.astype(np.int32)), pa.array(names, pa.string()), pa.array(np.round(sure[hit], 6)), likeness, confirmed], names=["doc_id", "paragraph", "family", "probability", "similarity", "confirmed"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    chosen = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
     return chosen.mapInArrow(run, "doc_id long, paragraph int, family string, probability double, similarity double, confirmed boolean")

@@ -58,7 +58,7 @@ def sample(docs: DataFrame, weights: DataFrame, targets: dict[str, float] | None
     weights: (doc_id, weight), one row an id. targets: weight by source; None: tokens of the source to `temperature`.
     budget_tokens: tokens in all; None: budget_share of those of docs.
     """
-    rows = docs.select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), F.col("source").alias("source"), tokens(F.col("text")).alias("n"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
+    rows = common.pick(docs, doc_id="doc_id", source="source", text="text").select("doc_id", F.coalesce(F.col("source").cast("string"), F.lit("")).alias("s"), "source", tokens(F.col("text")).alias("n"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h"))
     weighed = weights.select(F.col("doc_id").alias("w_id"), F.col("weight").cast("double").alias("w"))
     rows = rows.join(weighed, F.col("doc_id") == F.col("w_id"), "left").drop("w_id")
     rows = rows.withColumn("weight", F.when(F.col("w") <= 0, LEAST_WEIGHT).otherwise(F.coalesce("w", F.lit(QUALITY_WEIGHT["unknown"]))))
@@ -106,7 +106,7 @@ def mix_documents(docs: DataFrame, weights: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id are taken by id here: each such row as often as the id's first row.
     """
-    docs = docs.select(*common.DOCUMENT_COLUMNS)
+    docs = common.documents(docs)
     taken = sample(docs, weights, **options).groupBy(F.col("doc_id").alias("t_id")).agg(F.max("copies").alias("copies"))
     both = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("t_id")))
     return both.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*common.DOCUMENT_COLUMNS)

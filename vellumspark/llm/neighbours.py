@@ -66,7 +66,7 @@ def codes(cells: np.ndarray) -> np.ndarray:
 
 def clean(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
     """(id, v) of usable rows, one an id, and the vectors' length (0: there are none)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where("id is not null and v is not null and size(v) > 0")
+    rows = common.pick(vectors, id=id_col, v=vector_col).select(F.col("id").cast("long"), F.col("v").cast("array<float>")).where("id is not null and v is not null and size(v) > 0")
     rows = rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     best = rows.groupBy(F.size("v").alias("dims")).count().orderBy(F.desc("count"), F.desc("dims")).first()
     if best is None:

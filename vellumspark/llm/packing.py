@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import common, mixing
 
 CAPACITY = 2048
 SHARD_BINS = 1024
@@ -137,7 +137,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS
     """(bin_id, place, doc_id, copy, first_token, n_tokens): a row for each piece, in its place in its bin."""
     if capacity < 1 or shard_bins < 1:
         raise ValueError("capacity and shard_bins must be 1 or more")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), mixing.tokens(F.col(text_col).cast("string")).alias("n")).where("n > 0")
+    rows = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), mixing.tokens(F.col("t").cast("string")).alias("n")).where("n > 0")
     total = F.broadcast(rows.agg(F.ceil(F.sum("n") / F.lit(float(capacity) * shard_bins)).cast("long").alias("shards")))
     rows = rows.crossJoin(total).select("doc_id", "n", F.pmod(F.xxhash64("doc_id"), "shards").alias("shard"))
     # rows that repeat an id lie in one shard

@@ -251,13 +251,13 @@ def _rewritten(text: Column, key: bytes, reveal: bool) -> Column:
 def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, reveal: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced), a row for each row of docs."""
     common.tune(docs.sparkSession)
-    chosen = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("t"))
+    chosen = common.pick(docs, doc_id=id_col, t=text_col).withColumn("t", F.col("t").cast("string"))
     return chosen.withColumn("r", _rewritten(F.col("t"), key, reveal)).select("doc_id", F.coalesce("r.text", "t").alias("text"), F.coalesce("r.n", F.lit(0)).alias("n_replaced"))
 
 
 def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
     """docs with pseudonyms in their texts: the columns of documents; n_chars is that of the new text."""
     common.tune(docs.sparkSession)
-    done = docs.select(*common.DOCUMENT_COLUMNS).withColumn("r", _rewritten(F.col("text"), key, False))
+    done = common.documents(docs).withColumn("r", _rewritten(F.col("text"), key, False))
     text = F.coalesce("r.text", "text")
     return done.select("doc_id", text.alias("text"), "lang", "source", F.when(F.col("r.n") > 0, F.length("r.text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars"))

@@ -93,7 +93,7 @@ def measure(docs: DataFrame, limits: dict[int, float] | None = None, line_limit:
                 n, shares, lines = coverage(data, offsets, lengths)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(n.astype(np.int64)), *map(pa.array, shares), pa.array(lines)], names=["i", "n", *_names(lengths), "l"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    chosen = common.pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long"), F.col("t").cast("string"))
     schema = "i long, n long, " + ", ".join(f"{c} double" for c in _names(lengths)) + ", l double"
     found = chosen.mapInArrow(run, schema)
     keep = F.col("n") > 0
@@ -110,7 +110,7 @@ def filter_documents(docs: DataFrame, limits: dict[int, float] | None = None, li
     limits = GRAM_LIMITS if limits is None else limits
     common.tune(docs.sparkSession)
     lengths = sorted(limits)
-    docs = docs.select(*common.DOCUMENT_COLUMNS)
+    docs = common.documents(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -102,7 +102,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 made = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(sizes.astype(np.int32))], names=["doc_id", "fp_hi", "fp_lo", "size"])
                 yield made.filter(pa.array(sizes > 0))
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
+    chosen = common.pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long"), F.col("t").cast("string")).where("i is not null and t is not null")
     return chosen.mapInArrow(run, "doc_id long, fp_hi long, fp_lo long, size int")
 
 
@@ -257,4 +257,4 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     saved = common.Saved(docs.sparkSession, "dropped")
     gone = saved.put(duplicates(docs, **options).select("doc_id"), "gone")
     small = gone.count() * 16 <= BROADCAST_BYTES
-    return docs.select(*common.DOCUMENT_COLUMNS).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
+    return common.documents(docs).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")

@@ -48,8 +48,8 @@ def unpacked(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def records(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Web pages as WARC response records: (record_id, header, payload, trailer, declared)."""
-    payload = F.encode(F.coalesce(F.col(html_col), F.lit("")), "UTF-8")
-    rows = pages.select(F.col(id_col).cast("long").alias("record_id"), F.col(url_col).cast("string").alias("u"), payload.alias("payload"))
+    payload = F.encode(F.coalesce(F.col("h").cast("string"), F.lit("")), "UTF-8")
+    rows = common.pick(pages, i=id_col, u=url_col, h=html_col).select(F.col("i").cast("long").alias("record_id"), F.col("u").cast("string"), payload.alias("payload"))
     rows = rows.withColumn("declared", F.sha2("payload", 256)).withColumn("size", F.octet_length("payload").cast("long"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_CRLF}Content-Type: text/html; charset=utf-8{_CRLF}Content-Length: "), F.col("size").cast("string"), F.lit(_CRLF * 2))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(_CRLF))
