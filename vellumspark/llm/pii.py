@@ -211,25 +211,41 @@ _KINDS = (
     ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
-    ("phone", r"(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+1\d{10}(?!\w)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\w)"),
-    ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|-\d)"),
+    ("phone", r"(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+1\d{10}(?!\w)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\w|\.\d)"),
+    ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)"),
 )
 _ANY = re.compile("|".join(f"(?P<{kind}>{re.sub(r'\\([12])', lambda m: f'(?P=s{m[1]})', re.sub(r'\(\[-/\.\]\)', lambda m, n=iter('12'): f'(?P<s{next(n)}>[-/.])', pattern))})" for kind, pattern in _KINDS))
 
 
+#: Kinds in groups, whose match may reach into a number that follows.
+_GROUPED = frozenset(("phone", "iban"))
+
+
+def _valid(kind: str, found: str, formats: Formats) -> tuple[str, str] | None:
+    """(value, pseudonym) of the longest start of a match, in whole groups, that validates."""
+    while True:
+        new = formats.find(kind, found)
+        if new is not None or kind not in _GROUPED:
+            return None if new is None else (found, new)
+        groups = re.match(r"(.*\w\)?)[ .-]+\(?\w+\)?\Z", found, re.S)
+        if groups is None:
+            return None
+        found = groups[1]
+
+
 def rewrite(text: str, formats: Formats) -> tuple[str, int]:
     """The text with every valid value replaced, and how many were."""
     out, done, count, at = [], 0, 0, 0
     while match := _ANY.search(text, at):
-        new = formats.find(match.lastgroup if match.lastgroup not in ("s1", "s2") else "date", match[0])
-        if new is None:
+        valid = _valid("date" if match.lastgroup in ("s1", "s2") else match.lastgroup, match[0], formats)
+        if valid is None:
             at = match.start() + 1
             # within a run of digits nothing else can start
             while at < len(text) and text[at].isdigit() and text[at - 1].isdigit():
                 at += 1
             continue
-        out += [text[done : match.start()], new]
-        done = at = match.end()
+        out += [text[done : match.start()], valid[1]]
+        done = at = match.start() + len(valid[0])
         count += 1
     return "".join([*out, text[done:]]) if count else text, count
 
