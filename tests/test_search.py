@@ -67,6 +67,9 @@ def test_dense_is_brute_force(spark):
     vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_key long, embedding array<float>")
     asked = vectors.withColumnRenamed("chunk_key", "query_id").where("query_id < 5")
     got = search.dense_search(vectors, asked, 6).collect()
+    fast = search.dense_search(vectors.repartition(3), asked, 6, dims=8).collect()
+    shown = lambda rows: sorted((r.query_id, r.rank, r.chunk_key, round(r.dense_score, 10)) for r in rows)
+    assert shown(got) == shown(fast)
     y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
     for q in range(5):
         s = y @ y[q]

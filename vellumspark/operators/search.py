@@ -9,7 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,19 +94,53 @@ def bm25_search(index: Index, queries: DataFrame, top_k: int = 20) -> DataFrame:
 
 # --- dense ----------------------------------------------------------------------------------------------------
 
-#: Bytes of query vectors up to which they are sent to every task; more of them make a cartesian product by blocks.
+#: Bytes of query vectors (8 a number) up to which they are sent to every task as one matrix.
 BROADCAST_BYTES = 64 << 20
 
 
+def _block_search(vectors: DataFrame, asked: pa.Table, top_k: int) -> DataFrame:
+    """(query_id, chunk_key, dense_score): each batch of vectors against the matrix of queries, its top_k for each."""
+    spark, key_type = vectors.sparkSession, vectors.schema["chunk_key"].dataType.simpleString()
+    ids = asked["query_id"].combine_chunks()
+    queries = np.stack([np.asarray(q, float) for q in asked["q"].to_pylist()])
+    shared = spark.sparkContext.broadcast((queries, np.sqrt((queries**2).sum(1))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, q_norm = shared.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = batch.column(0)
+            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
+            norm = np.sqrt((x**2).sum(1))
+            ranked_keys = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+            for low in range(0, len(q), 512):
+                score = np.maximum(0.0, (q[low : low + 512] @ x.T) / (q_norm[low : low + 512, None] * norm[None, :] + 1e-10))
+                shown = np.round(score, PLACES)
+                least = -np.partition(-shown, top_k - 1, axis=1)[:, top_k - 1] if shown.shape[1] > top_k else np.zeros(len(shown))
+                r, c = np.nonzero((shown >= least[:, None]) & (score > 0))
+                order = np.lexsort((ranked_keys[c], -shown[r, c], r))
+                r, c = r[order], c[order]
+                first = np.arange(len(r)) - np.searchsorted(r, r, "left") < top_k
+                r, c = r[first], c[first]
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + low)), keys.take(pa.array(c)), pa.array(score[r, c])], names=["query_id", "chunk_key", "dense_score"])
+
+    query_type = {"int64": "long", "int32": "int", "string": "string"}[str(ids.type)]
+    return vectors.select("chunk_key", F.col("embedding").cast("array<float>")).mapInArrow(run, f"query_id {query_type}, chunk_key {key_type}, dense_score double")
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, dims: int | None = None) -> DataFrame:
     """(query_id, chunk_key, rank, dense_score): the best positive cosines over all vectors, exactly.
 
-    vectors: chunk_key, embedding; queries: query_id, embedding.
+    vectors: chunk_key, embedding; queries: query_id, embedding; all of dims numbers. Queries that fit are a matrix that
+    every task multiplies by its vectors; with dims unknown, or too many queries, the product is one of built-in
+    expressions over all pairs.
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q"))
-    small = dims is not None and asked.count() * dims * 8 <= BROADCAST_BYTES
-    both = vectors.crossJoin(F.broadcast(asked) if small else asked)
-    scored = both.select("query_id", "chunk_key", F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("embedding"))).alias("dense_score")).where("dense_score > 0")
+    asked = queries.select("query_id", F.col("embedding").alias("q")).where("q is not null")
+    if dims is not None and 0 < asked.count() * dims * 8 <= BROADCAST_BYTES:
+        scored = _block_search(vectors.where("embedding is not null"), asked.toArrow(), top_k)
+    else:
+        scored = vectors.crossJoin(asked).select("query_id", "chunk_key", F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("embedding"))).alias("dense_score")).where("dense_score > 0")
     top = ranked(scored, "dense_score", "chunk_key", limit=top_k)
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), "dense_score")
 

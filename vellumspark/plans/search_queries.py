@@ -313,13 +313,13 @@ oracle(
 
 
 def _cached(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Documents as chunks, and a cache of those in English."""
+    """Documents as chunks, and a cache of those in two languages."""
     docs = table(spark, sf_dir, "documents")
-    cache = docs.where("lang = 'en'").select(enrich.text_hash(F.col("text")).alias("text_hash"), F.concat(F.lit("en-"), F.length("text").cast("string")).alias("payload")).distinct()
+    cache = docs.where("lang in ('en', 'de')").select(enrich.text_hash(F.col("text")).alias("text_hash"), F.concat(F.lit("en-"), F.length("text").cast("string")).alias("payload")).distinct()
     return docs.select("doc_id", F.lit(0).alias("chunk_index"), "text"), cache
 
 
-_LOOKED = """k AS (SELECT DISTINCT sha256(text) AS text_hash, concat('en-', length(text)) AS payload FROM documents WHERE lang = 'en'),
+_LOOKED = """k AS (SELECT DISTINCT sha256(text) AS text_hash, concat('en-', length(text)) AS payload FROM documents WHERE lang IN ('en', 'de')),
     l AS (SELECT doc_id, sha256(text) AS text_hash, payload, CASE WHEN payload IS NOT NULL OR row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) > 1 THEN 'HIT' ELSE 'MISS' END AS cache_status FROM documents LEFT JOIN k ON k.text_hash = sha256(text))"""
 
 
@@ -341,12 +341,12 @@ oracle("cache_stats", f"WITH {_LOOKED}, s AS (SELECT count(*) FILTER (cache_stat
 
 @query
 def cache_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, cache = _cached(spark, sf_dir)
-    new = docs.where("doc_id % 2 = 0").select(enrich.text_hash(F.col("text")).alias("text_hash"), F.lit("new").alias("payload")).distinct()
+    _, cache = _cached(spark, sf_dir)
+    new = table(spark, sf_dir, "documents").where("lang in ('en', 'fr')").select(enrich.text_hash(F.col("text")).alias("text_hash"), F.lit("new").alias("payload")).distinct()
     return enrich.cache_upsert(cache, new)
 
 
-oracle("cache_upsert", f"WITH {_LOOKED}, n AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE doc_id % 2 = 0) SELECT text_hash, 'new' AS payload FROM n UNION ALL SELECT text_hash, payload FROM k WHERE text_hash NOT IN (SELECT text_hash FROM n)")
+oracle("cache_upsert", f"WITH {_LOOKED}, n AS (SELECT DISTINCT sha256(text) AS text_hash FROM documents WHERE lang IN ('en', 'fr')) SELECT text_hash, 'new' AS payload FROM n UNION ALL SELECT text_hash, payload FROM k WHERE text_hash NOT IN (SELECT text_hash FROM n)")
 
 
 @query
