@@ -138,6 +138,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS
     if capacity < 1 or shard_bins < 1:
         raise ValueError("capacity and shard_bins must be 1 or more")
     rows = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), mixing.tokens(F.col("t").cast("string")).alias("n")).where("n > 0")
+    # lengths are a few bytes a document: saved, so that the texts are read once for the total and the packing
+    rows = common.Saved(docs.sparkSession, "packing").put(rows, "lengths")
     total = F.broadcast(rows.agg(F.ceil(F.sum("n") / F.lit(float(capacity) * shard_bins)).cast("long").alias("shards")))
     rows = rows.crossJoin(total).select("doc_id", "n", F.pmod(F.xxhash64("doc_id"), "shards").alias("shard"))
     # rows that repeat an id lie in one shard
