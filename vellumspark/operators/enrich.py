@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -148,29 +149,29 @@ def extractive_model(prompts: list[str]) -> list[str]:
 def ask(misses: DataFrame, model: Model, config: EnrichmentConfig, wait: Callable[[float], None] = time.sleep) -> DataFrame:
     """(text_hash, payload, prompt_tokens, completion_tokens): replies to (text_hash, prompt), one row each.
 
-    A batch is tried again, prompt by prompt, up to max_retries times with pauses of 1, 2, 4 ... seconds; a prompt that
-    keeps failing has a null payload. Prompts and replies count as words.
+    A batch's prompts are asked max_concurrency at a time, each up to max_retries times with pauses of 1, 2, 4 ...
+    seconds; a prompt that keeps failing has a null payload. Prompts and replies count as words.
     """
 
+    def reply_to(prompt: str) -> str | None:
+        for turn in range(config.max_retries):
+            try:
+                found = model([prompt])[0]
+            except Exception:  # noqa: BLE001 - a model's failure is a blank chunk, not a failed job
+                found = None
+            if isinstance(found, str):
+                return found
+            wait(2.0**turn)
+        return None
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for low in range(0, len(batch), config.batch_size):
-                part = batch.iloc[low : low + config.batch_size]
-                replies: list = [None] * len(part)
-                left = list(range(len(part)))
-                for turn in range(config.max_retries):
-                    try:
-                        got = model([part["prompt"].iloc[k] for k in left])
-                    except Exception as error:  # noqa: BLE001 - a model's failure is a blank chunk, not a failed job
-                        got = [error] * len(left)
-                    for k, reply in zip(left, got, strict=True):
-                        replies[k] = reply if isinstance(reply, str) else None
-                    left = [k for k in left if replies[k] is None]
-                    if not left:
-                        break
-                    wait(2.0**turn)
-                tokens = [len(p.split()) for p in part["prompt"]]
-                yield pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "payload": replies, "prompt_tokens": tokens, "completion_tokens": [0 if r is None else len(r.split()) for r in replies]})
+        with ThreadPoolExecutor(min(config.batch_size, config.max_concurrency)) as pool:
+            for batch in batches:
+                for low in range(0, len(batch), config.batch_size):
+                    part = batch.iloc[low : low + config.batch_size]
+                    replies = list(pool.map(reply_to, part["prompt"]))
+                    words = [[len((t or "").split()) for t in texts] for texts in (part["prompt"], replies)]
+                    yield pd.DataFrame({"text_hash": part["text_hash"].to_numpy(), "payload": replies, "prompt_tokens": words[0], "completion_tokens": words[1]})
 
     return misses.mapInPandas(run, "text_hash string, payload string, prompt_tokens long, completion_tokens long")
 
