@@ -23,6 +23,7 @@ Extra columns are ignored. Without any text the model is uniform. Scores don't d
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -251,7 +252,8 @@ def build(k: np.ndarray, gram: np.ndarray, n: np.ndarray, total: np.ndarray, dis
 
 # --- scores ---------------------------------------------------------------------------------------------------
 
-_READY: dict[int, Automaton] = {}
+#: The compiled automaton of the query at hand, kept in each Python worker.
+_READY: dict[str, Automaton] = {}
 
 
 def _result(df: DataFrame) -> DataFrame:
@@ -263,13 +265,13 @@ def score_by_automaton(docs: DataFrame, automaton: Automaton, id_col: str = "doc
     """(doc_id, n_bytes, log_prob, bits_per_byte), a row for each row of docs."""
     common.tune(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    number = shared._jbroadcast.id() if hasattr(shared._jbroadcast, "id") else id(shared)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if number not in _READY:
+        if name not in _READY:
             _READY.clear()
-            _READY[number] = shared.value.compiled()
-        model = _READY[number]
+            _READY[name] = shared.value.compiled()
+        model = _READY[name]
         for batch in batches:
             for low, high, data, offsets in common.pieces(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(offsets)), pa.array(model.score(data, offsets))], names=["doc_id", "n", "lp"])
