@@ -51,10 +51,17 @@ class Index:
         return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")))
 
 
-def build_index(chunks: DataFrame, key: str, text: Column) -> Index:
-    """An inverted index of one pass over the text; chunks without words count towards n and the mean length."""
+def build_index(chunks: DataFrame, key: str, text: Column, queries: DataFrame | None = None) -> Index:
+    """An inverted index of one pass over the text; chunks without words count towards n and the mean length.
+
+    With queries the index holds their words only, which is all that they read: other words fall away ahead of the
+    shuffle. An index to be saved is built without.
+    """
     rows = chunks.select(F.col(key).alias("chunk_key"), T.words(text).alias("ws"))
-    tf = rows.select("chunk_key", F.size("ws").alias("dl"), F.explode("ws").alias("term")).groupBy("chunk_key", "dl", "term").agg(F.count("*").alias("tf"))
+    said = rows.select("chunk_key", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
+    if queries is not None:
+        said = said.join(query_terms(queries).select("term").distinct(), "term", "left_semi")
+    tf = said.groupBy("chunk_key", "dl", "term").agg(F.count("*").alias("tf"))
     postings = tf.select("chunk_key", "term", F.col("tf").cast("int").alias("tf"), "dl")
     terms = postings.groupBy("term").agg(F.count("*").alias("df"))
     lengths = chunks.select(T.word_count(F.lower(text)).alias("dl"))
@@ -266,7 +273,7 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | No
     config = config or RetrievalConfig()
     keyed = chunks.withColumn("chunk_key", F.col("chunk_id"))
     asked = queries.where(T.strip(F.coalesce("query", F.lit(""))) != "")
-    index = index or build_index(keyed, "chunk_key", search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context")))
+    index = index or build_index(keyed, "chunk_key", search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context")), asked)
     lexical = bm25_search(index, asked, 3 * top_k)
     if dense is not None:
         near = dense(asked, 3 * top_k)

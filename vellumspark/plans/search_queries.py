@@ -83,8 +83,9 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _document_index(spark: SparkSession, sf_dir: str) -> search.Index:
-    return search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+def _document_index(spark: SparkSession, sf_dir: str, asked: bool = True) -> search.Index:
+    """An index of all documents, for the benchmark's words or for all."""
+    return search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _queries(spark, sf_dir) if asked else None)
 
 
 def _bm25_sql(source: str, key: str, k: int, name: str = "lex") -> str:
@@ -101,7 +102,7 @@ def _bm25_sql(source: str, key: str, k: int, name: str = "lex") -> str:
 
 @query
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _document_index(spark, sf_dir)
+    index = _document_index(spark, sf_dir, asked=False)
     return index.terms.crossJoin(F.broadcast(index.totals)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -182,7 +183,7 @@ oracle("filtered_search", f"WITH {_FUSED}, f AS (SELECT query_id, chunk_key, (ro
 
 def _dialogue_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = dialogue_chunks(spark, sf_dir).withColumn("chunk_key", F.col("chunk_id"))
-    hits = search.bm25_search(search.build_index(chunks, "chunk_key", F.col("text")), _queries(spark, sf_dir), 3)
+    hits = search.bm25_search(search.build_index(chunks, "chunk_key", F.col("text"), _queries(spark, sf_dir)), _queries(spark, sf_dir), 3)
     return chunks, hits.select("query_id", "chunk_key", "rank", F.col("bm25_score").alias("score"), F.lit(0.0).alias("dense_score"), "bm25_score")
 
 
