@@ -51,16 +51,20 @@ class Splitter:
         if depth == len(self.separators):
             return self._windows(text)
         glue, done, held = self.separators[depth], [], ""
+        # words never join over a separator that isn't of word characters, so their counts add up
+        adds = isinstance(self.codec, WordCodec) and not self.codec.count(glue)
+        total = 0
         for part in text.split(glue):
             longer = held + glue + part if held else part
-            if self._fits(longer):
-                held = longer
+            size = self.codec.count(part) if adds else 0
+            if total + size <= self.size if adds else self._fits(longer):
+                held, total = longer, total + size
                 continue
             if held:
                 done.append(held)
-            held = ""
-            if self._fits(part):
-                held = part
+            held, total = "", 0
+            if size <= self.size if adds else self._fits(part):
+                held, total = part, size
             else:
                 done += self._level(part, depth + 1)
         if held:

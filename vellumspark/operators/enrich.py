@@ -76,25 +76,25 @@ def extracted(reply: Column, enrichments: tuple[str, ...] = ENRICHMENTS) -> dict
     Keys don't depend on case. A false value (empty, 0, null) gives way to the next alias; the last alias counts as it is.
     """
     is_object = F.schema_of_variant(reply).startswith("OBJECT")
-    m = F.when(is_object, _map(reply))
+    found = F.when(is_object, _map(reply))
 
-    def value(name: str) -> Column:
+    def field(m: Column, name: str) -> Column:
         *first, last = ALIASES[name]
-        found = F.coalesce(*[_truthy(F.try_element_at(m, F.lit(k))) for k in first], F.try_element_at(m, F.lit(last)))
-        return F.when(found != "null", found)
-
-    out = {}
-    for name in enrichments:
-        v = value(name)
+        v = F.coalesce(*[_truthy(F.try_element_at(m, F.lit(k))) for k in first], F.try_element_at(m, F.lit(last)))
+        v = F.when(v != "null", v)
         if name == "summary":
-            out[name] = _plain(v)
-        elif name == "confidence":
+            return _plain(v)
+        if name == "confidence":
             number = _plain(v).try_cast("double")
             number = F.when(F.isnan(number), 0.0).otherwise(F.coalesce(number, F.lit(0.0)))
-            out[name] = F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
-        else:
-            out[name] = F.when(v.isNotNull(), _listed(v))
-    return out
+            return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+        return F.when(v.isNotNull(), _listed(v))
+
+    # the map is bound to a lambda's variable, so that it is made once for a field and not at each mention
+    def bound(name: str) -> Column:
+        return F.get(F.transform(F.array(found), lambda m: field(m, name)), F.lit(0))
+
+    return {name: bound(name) for name in enrichments}
 
 
 # --- the cache and the model ----------------------------------------------------------------------------------
