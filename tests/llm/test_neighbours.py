@@ -45,6 +45,15 @@ def test_recall(spark, kind):
     assert all(abs(d - exact[q][i]) < 1e-5 * max(1, d) for q, v in list(got.items())[:50] for i, d in v)
 
 
+@pytest.mark.parametrize("size", ["sf0.01", "sf0.1"])
+def test_recall_on_the_given_tables(spark, size):
+    rows = sorted(spark.read.parquet(f"/root/testdata/{size}/embeddings.parquet").select("vec_id", "embedding").collect())
+    ids, x = [r.vec_id for r in rows], np.array([r.embedding for r in rows])
+    want, got = brute(x, ids, 10), listed(nn.neighbours(frame(spark, x, ids)))
+    hits = sum(len({i for i, _ in want[q]} & {i for i, _ in got.get(q, [])}) for q in want)
+    assert hits / (10 * len(ids)) >= 0.93
+
+
 def test_layout_does_not_matter(spark):
     x = np.random.default_rng(1).normal(size=(400, 8))
     one = listed(nn.neighbours(frame(spark, x), k=5))

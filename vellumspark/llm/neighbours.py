@@ -31,7 +31,7 @@ from . import common
 K = 10
 TABLES = 6
 HASHES = 5
-PROBES = 11
+PROBES = 20
 WIDTH = 2.0
 BLOCK_ROWS = 8192
 SEED = 20
