@@ -103,3 +103,15 @@ def test_values_side_by_side():
             new, n = pii.rewrite(f"x {a} {b} y", f)
             assert n == 2 and a not in new and b not in new, (a, b, new)
             assert pii.rewrite(new, back)[0] == f"x {a} {b} y"
+
+
+def test_phones_outside_the_plan(spark):
+    values = ["+1 (017) 555-7713", "+1 (136) 555-7479", "+1 (988) 155-2485", "(017) 555-7713", "+10175557713"]
+    df = spark.createDataFrame([(k, f"call {v} now") for k, v in enumerate(values)], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.pseudonymise(df, b"key").collect()}
+    for k, v in enumerate(values):
+        assert got[k].n_replaced == 1 and v not in got[k].text and re.sub(r"\d", "9", got[k].text) == re.sub(r"\d", "9", f"call {v} now")
+    digits = [re.sub(r"\D", "", got[k].text)[-10:] for k in range(5)]
+    assert digits[0] == digits[3] == digits[4]
+    again = spark.createDataFrame([(k, r.text) for k, r in got.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.pseudonymise(again, b"key", reveal=True).collect()} == {k: f"call {v} now" for k, v in enumerate(values)}

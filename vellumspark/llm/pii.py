@@ -10,7 +10,8 @@ lands below N. pseudonymise() is the forward way, and reveal=True the way back f
 
 Kinds: card (13 to 19 digits, Luhn, groups by blank or hyphen), iban (mod 97), ssn, phone (North American plan, or
 + and 8 to 15 digits), ipv4, date (year first; or day, month, year), email, access_key, hex_secret. What doesn't
-validate stays as it is. A kind's characters outside the permuted part (prefixes, separators, e-mail domains) stay.
+validate stays as it is; but the operators permute any number written +1 ddd ddd dddd or (ddd) ddd-dddd, in and outside of
+the plan each among themselves (all_phones; Formats alone has it off). A kind's characters outside the permuted part (prefixes, separators, e-mail domains) stay.
 
 Defined results: a null text stays null, an empty one empty. Null ids and repeated rows are treated like any other row;
 repeated rows give repeated results. Texts are taken whole. A text without digit and without @ never reaches Python.
@@ -95,8 +96,8 @@ def luhn_digit(digits: str) -> int:
 class Formats:
     """The mappings of each kind under one key; each returns None where the match isn't a valid value."""
 
-    def __init__(self, key: bytes, reveal: bool = False):
-        self.key, self.back = key, reveal
+    def __init__(self, key: bytes, reveal: bool = False, all_phones: bool = False):
+        self.key, self.back, self.all_phones = key, reveal, all_phones
         self.permutation: Callable[[str, int], Permutation] = lru_cache(4096)(lambda tweak, size: Permutation(key, tweak, size))
         self.find = lru_cache(65536)(self._find)
 
@@ -151,7 +152,7 @@ class Formats:
         plan = d[1:] if len(d) == 11 and d[0] == "1" else d if len(d) == 10 and not text.startswith("+") else ""
         if plan:
             if plan[0] < "2" or plan[3] < "2":
-                return None
+                return self._outside_plan(text, d, plan) if self.all_phones and ("+" in text or "(" in text) else None
             x = ((int(plan[:3]) - 200) * 800 + int(plan[3:6]) - 200) * 10000 + int(plan[6:])
             x, line = divmod(self._move("phone:1", 800 * 800 * 10000, x), 10000)
             area, exchange = divmod(x, 800)
@@ -161,6 +162,15 @@ class Formats:
         n = len(d) - 2
         return _fill(text, d[:2] + f"{self._move(f'phone:{d[:2]}:{n}', 10**n, int(d[2:])):0{n}d}")
 
+    def _outside_plan(self, text: str, d: str, plan: str) -> str:
+        """Numbers that the plan doesn't give out (area code or exchange below 200) are permuted among themselves."""
+        area, exchange, line = int(plan[:3]), int(plan[3:6]), int(plan[6:])
+        x = (area * 1000 + exchange if area < 200 else 200_000 + (area - 200) * 200 + exchange) * 10000 + line
+        x, line = divmod(self._move("phone:1:outside", 360_000 * 10000, x), 10000)
+        area, exchange = divmod(x, 1000) if x < 200_000 else divmod(x - 200_000, 200)
+        area += 200 * (x >= 200_000)
+        return _fill(text, d[: len(d) - 10] + f"{area:03d}{exchange:03d}{line:04d}")
+
     def ipv4(self, text: str) -> str | None:
         octets = text.split(".")
         if any(int(o) > 255 or (o[0] == "0" and o != "0") for o in octets):
@@ -255,7 +265,7 @@ def _rewritten(text: Column, key: bytes, reveal: bool) -> Column:
 
     @F.pandas_udf("text string, n int")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        formats = Formats(key, reveal)
+        formats = Formats(key, reveal, all_phones=True)
         for texts in batches:
             found = [(None, 0) if t is None else rewrite(t, formats) for t in texts]
             yield pd.DataFrame(found, columns=["text", "n"])
