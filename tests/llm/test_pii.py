@@ -115,3 +115,26 @@ def test_phones_outside_the_plan(spark):
     assert digits[0] == digits[3] == digits[4]
     again = spark.createDataFrame([(k, r.text) for k, r in got.items()], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.pseudonymise(again, b"key", reveal=True).collect()} == {k: f"call {v} now" for k, v in enumerate(values)}
+
+
+def grouped_card(layout, sep, first="4"):
+    body = (first + "1029384756473829101928")[: sum(layout) - 1]
+    digits = iter(body + str(pii.luhn_digit(body)))
+    return sep.join("".join(next(digits) for _ in range(n)) for n in layout)
+
+
+@pytest.mark.parametrize("value", ['TOKEN = "9233A8ECF7C5B09FE5949719B6B82BC439E9329B"', "password=E3B3ED3CC8548923D6", "secret: aBcDeF0123456789", "token=123456789012", *(grouped_card(g, sep) for g in ((4, 6, 4), (4, 4, 4, 4, 3), (4, 4, 5), (6, 13), (4, 4, 4, 1)) for sep in " -")])
+def test_secrets_in_capitals_and_cards_in_any_groups(value):
+    text = f"before {value} after."
+    new, n = pii.rewrite(text, pii.Formats(b"key"))
+    assert n == 1 and value not in new and len(new) == len(text)
+    assert pii.rewrite(new, pii.Formats(b"key", True)) == (text, 1)
+    if value.upper() == value:
+        assert new[7:-7].upper() == new[7:-7]
+
+
+def test_card_before_a_number():
+    for k in range(100):
+        text = f"{grouped_card((4, 4, 4, 4), ' ', str(4000 + k))} {k % 10}{k // 10}7 x"
+        new, n = pii.rewrite(text, pii.Formats(b"key"))
+        assert n == 1 and pii.rewrite(new, pii.Formats(b"key", True)) == (text, 1)

@@ -8,8 +8,9 @@ becomes the same pseudonym in every document and in every way of writing it, and
 A permutation of 0..N-1 is an alternating Feistel network over a x b >= N (round function: keyed BLAKE2b), walked until it
 lands below N. pseudonymise() is the forward way, and reveal=True the way back for a holder of the key.
 
-Kinds: card (13 to 19 digits, Luhn, groups by blank or hyphen), iban (mod 97), ssn, phone (North American plan, or
-+ and 8 to 15 digits), ipv4, date (year first; or day, month, year), email, access_key, hex_secret. What doesn't
+Kinds: card (13 to 19 digits, Luhn, any groups by one blank or one hyphen each), iban (mod 97), ssn, phone (North American plan, or
++ and 8 to 15 digits), ipv4, date (year first; or day, month, year), email, access_key, hex_secret (small, capital or
+mixed letters; the case stays, and mixed case is a value of its own). What doesn't
 validate stays as it is; but the operators permute any number written +1 ddd ddd dddd or (ddd) ddd-dddd, in and outside of
 the plan each among themselves (all_phones; Formats alone has it off). A kind's characters outside the permuted part (prefixes, separators, e-mail domains) stay.
 
@@ -206,8 +207,17 @@ class Formats:
         return text[:4] + self._letters("access_key", text[4:], UPPER_DIGITS)
 
     def hex_secret(self, text: str) -> str | None:
-        head, body = re.fullmatch(r"(.*?)([0-9a-f]+)", text, re.S).groups()
-        return head + self._letters("hex", body, "0123456789abcdef")
+        head, body = re.fullmatch(r"(.*?)([0-9a-fA-F]+)", text, re.S).groups()
+        lower, upper = body.lower(), body.upper()
+        if lower == upper:
+            return head + self._letters("hex:digits", body, "0123456789")
+        mixed = body not in (lower, upper)
+        new = body if mixed else lower
+        # walked until the case can be told from the letters, as it can in the value
+        while True:
+            new = self._letters("hex:mixed", new, "0123456789abcdefABCDEF") if mixed else self._letters("hex", new, "0123456789abcdef")
+            if new.lower() != new.upper() and (not mixed or new not in (new.lower(), new.upper())):
+                return head + (new.upper() if body == upper else new)
 
     def _find(self, kind: str, text: str) -> str | None:
         return getattr(self, kind)(text)
@@ -215,31 +225,36 @@ class Formats:
 
 _KINDS = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9_][A-Za-z0-9_.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+(?![\w-])"),
-    ("hex_secret", r"(?i:\b(?:password|passwd|secret|token|api_?key)\b)\s*[=:]\s*[\"']?[0-9a-f]{12,64}(?![0-9A-Za-z])"),
+    ("hex_secret", r"(?i:\b(?:password|passwd|secret|token|api_?key)\b)\s*[=:]\s*[\"']?[0-9a-fA-F]{12,64}(?![0-9A-Za-z])"),
     ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("date", r"(?<![\w./-])(?:\d{4}([-/.])\d{2}\1\d{2}|\d{2}([-/.])\d{2}\2\d{4})(?![\w/-]|\.\d)"),
     ("ipv4", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])(?:\+1[ .-]?|1[ .-])?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+1\d{10}(?!\w)|(?<![\w+])\+[2-9]\d{0,2}(?:[ .-]?\(?\d{2,5}\)?){2,5}(?!\w|\.\d)"),
-    ("card", r"(?<![\w.-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)"),
+    ("card", r"(?<![\w.-])(?:\d{13,19}|(?:\d(?: ?\d){12,18}|\d(?:-?\d){12,18})(?!\w|-\d|\.\d)|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?!\w|-\d)"),
 )
 _ANY = re.compile("|".join(f"(?P<{kind}>{re.sub(r'\\([12])', lambda m: f'(?P=s{m[1]})', re.sub(r'\(\[-/\.\]\)', lambda m, n=iter('12'): f'(?P<s{next(n)}>[-/.])', pattern))})" for kind, pattern in _KINDS))
 
 
 #: Kinds in groups, whose match may reach into a number that follows.
-_GROUPED = frozenset(("phone", "iban"))
+_GROUPED = frozenset(("card", "phone", "iban"))
 
 
 def _valid(kind: str, found: str, formats: Formats) -> tuple[str, str] | None:
     """(value, pseudonym) of the longest start of a match, in whole groups, that validates."""
+    longer: list[str] = []
     while True:
         new = formats.find(kind, found)
+        # a card before a number of odd length: walked until card and number together don't pass for a longer card
+        while new is not None and kind == "card" and any(formats.find(kind, new + x[len(new) :]) is not None for x in longer):
+            new = formats.find(kind, new)
         if new is not None or kind not in _GROUPED:
             return None if new is None else (found, new)
         groups = re.match(r"(.*\w\)?)[ .-]+\(?\w+\)?\Z", found, re.S)
         if groups is None:
             return None
+        longer.append(found)
         found = groups[1]
 
 
