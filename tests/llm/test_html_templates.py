@@ -87,3 +87,15 @@ def test_empty_and_crowded(pages):
     wide = pages.withColumns({c: F.lit("z") for c in ("host", "key", "row", "n", "text")})
     wide = wide.toDF(*[*wide.columns[:-1], "Html"])
     assert texts(ht.extract(wide)) == texts(ht.extract(pages))
+
+
+def test_copies_running_text_and_small_hosts(spark):
+    link = '<a href="/x">word</a>'
+    rows = [(k, f"http://c.example/{k}", f"<body><nav>{link}</nav><p>First {k}<br>it is {link} <b>not</b> so {k}</p></body>") for k in range(10)]
+    rows += [(100 + k, f"http://d.example/{k}", "<body><p>One article.</p></body>") for k in range(20)]
+    rows += [(200 + k, f"http://e.example/{k}", f"<body><nav>Home</nav><p>Text {k}</p></body>") for k in range(3)]
+    rows += [(300 + k, f"http://f.example/{k}", f"<body><p>{'Told on some' if k < 8 else f'Own {k}'}</p><p>Text {k}</p></body>") for k in range(400)]
+    got = {r.page_id: r for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[4].text == "First 4\nit is word not so 4" and got[4].n_removed == 1
+    assert got[105].text == "One article." and got[201].text == "Text 1"
+    assert got[302].text == "Told on some\nText 2"

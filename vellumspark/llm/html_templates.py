@@ -1,9 +1,10 @@
 """Site template removal from web pages: subtrees that recur across many pages of a host go, the rest becomes text.
 
 Every element's subtree has a hash made of its tag, its attributes, its text (blanks folded) and its children's hashes.
-Spark counts, by host, on how many pages each hash occurs. A subtree is a template where that is at least `min_pages`
-and at least `min_share` of the host's pages; the outermost template subtrees of a page are deleted. html, head and body
-are never templates themselves. What is left of the body is written as text: block elements end lines, blanks are folded,
+Spark counts, by host, on how many distinct pages (by a hash of the page) each hash occurs. A subtree is a template where
+that is at least `min_pages` and at least `min_share` of the host's distinct pages; the outermost template subtrees of a
+page are deleted. html, head, body and void elements are never templates themselves, and an inline element stays where the
+block that holds it stays and has words of its own. What is left of the body is written as text: block elements end lines, blanks are folded,
 entities are decoded; script, style, template and noscript have no text.
 
 The parser follows HTML's habits as far as text needs: void elements, script and style as raw text, comments, omitted
@@ -32,8 +33,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-MIN_PAGES = 8
-MIN_SHARE = 0.01
+MIN_PAGES = 3
+MIN_SHARE = 0.1
 BROADCAST_TEMPLATES = 4_000_000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>", re.S)
@@ -128,10 +129,32 @@ def parse(page: str) -> tuple[Node, list[Node]]:
     return root, closed
 
 
+def _running(root: Node, gone: set[int]) -> set[int]:
+    """Inline elements of gone that lie in running text: in a block that stays and has words outside of gone elements."""
+    words: set[int] = set()
+    inline: list[tuple[int, int]] = []
+    todo = [(root, id(root), True)]
+    while todo:
+        item, block, kept = todo.pop()
+        for part in item.parts[1:]:
+            if isinstance(part, str):
+                if kept and block not in words and any(c.isalnum() for c in html.unescape(part)):
+                    words.add(block)
+            elif part.tag in _BLOCK:
+                if id(part) not in gone:
+                    todo.append((part, id(part), True))
+            elif part.tag not in _SILENT:
+                if id(part) in gone:
+                    inline.append((id(part), block))
+                todo.append((part, block, kept and id(part) not in gone))
+    return {node for node, block in inline if block in words}
+
+
 def text_of(root: Node, gone: set[int]) -> tuple[str, int]:
     """Text of what isn't deleted, and the number of deleted subtrees. gone: ids of nodes to delete."""
     out: list[str] = []
     removed = 0
+    gone = gone - _running(root, gone) if gone else gone
     todo: list[Node | str] = [root]
     while todo:
         item = todo.pop()
@@ -158,7 +181,7 @@ def _keys(host: str, closed: list[Node]) -> np.ndarray:
     seed = xxhash.xxh3_64_intdigest(host)
     own = np.frombuffer(b"".join(n.digest for n in closed), ">u8").astype(np.uint64)
     keys = common.mix(own ^ np.uint64(seed)).view(np.int64)
-    keys[[k for k, n in enumerate(closed) if n.tag in _KEPT]] = 0
+    keys[[k for k, n in enumerate(closed) if n.tag in _KEPT or n.tag in _VOID]] = 0
     return keys
 
 
@@ -192,9 +215,10 @@ def page_keys(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key): subtrees that recur on min_pages pages and min_share of the pages of their host."""
-    counts = page_keys(rows).groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    whole = rows.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    """(key): subtrees that recur on min_pages distinct pages and min_share of the distinct pages of their host."""
+    rows = rows.select("host", "html", F.xxhash64("html").alias("page"))
+    counts = page_keys(rows, ("page",)).groupBy("host", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages)
+    whole = rows.where("host <> '' and html is not null").groupBy("host").agg(F.countDistinct("page").alias("pages"))
     return counts.join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("key")
 
 
