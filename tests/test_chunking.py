@@ -141,3 +141,15 @@ def test_process_files(spark, tmp_path):
     assert pipeline.process_files(spark, str(tmp_path)).chunks.first().contextual_text == "Document: note\nSection: H\nbody"
     with pytest.raises(Exception, match="(?i)path"):
         pipeline.process_files(spark, str(tmp_path / "none"))
+
+
+def test_registered_structural_query_splits(spark, tmp_path):
+    from vellumspark.plans import catalog
+
+    long = " ".join(f"Word{k} and more words, as it goes." for k in range(400))
+    texts = {1: "short text", 2: long, 3: "w " * 600, 4: ""}
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.doc_id, r.section_ord, r.chunk_ord): r.text for r in catalog.queries()["structural_chunks_split"](spark, str(tmp_path)).collect()}
+    split = chunking.Splitter(WordCodec(), 512, 50)
+    want = {(d, 0, k): c.strip() for d, t in texts.items() for k, c in enumerate(c for c in split(t.strip()) if c.strip())}
+    assert got == want and len([k for k in got if k[0] == 2]) > 5

@@ -229,6 +229,13 @@ def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("structural_chunks", r"SELECT doc_id, 0::INTEGER AS section_ord, 0::INTEGER AS chunk_ord, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents WHERE trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''")
 
 
+@query
+def structural_chunks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default size: sections beyond it are split, which SQL can't say."""
+    sections = plain.text_sections(table(spark, sf_dir, "documents"))
+    return chunking.structural(sections, ChunkerConfig()).select("doc_id", "section_ord", "chunk_ord", "text")
+
+
 @query
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     sections = plain.text_sections(table(spark, sf_dir, "documents"))
