@@ -158,3 +158,9 @@ def test_pack_awkward(awkward, crowded, empty):
     assert sum(r.n_tokens for r in rows if r.doc_id == 10) == len(prose(10, 30000).split())
     with pytest.raises(ValueError):
         packing.pack(awkward, 0)
+
+
+def test_steps_into_the_emptier_bin():
+    sizes = [5] * 12 + [59]
+    done = packing.local_search([list(range(12)), [12]], sizes, 100)
+    assert sorted(sum(sizes[k] for k in b) for b in done) == [20, 99]

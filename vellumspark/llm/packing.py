@@ -2,8 +2,8 @@
 
 Documents are cut into full sequences of `capacity` tokens and a rest; full pieces are bins of their own. Rests are
 packed by best fit, longest first. Then the local search works on the bins that aren't full: it moves a rest to another
-bin, exchanges one for one, or two for one, whenever that increases the sum of squared fills; the fuller bin grows, the
-emptier one shrinks, until bins are empty or no such step is left. Every step raises the sum, which is bounded, so the
+bin, exchanges one for one, or two for one, whenever that increases the sum of squared fills, until bins are empty or no
+such step is left: the fuller bin grows, or the emptier one by more than the fuller one's lead. Every step raises the sum, which is bounded, so the
 search ends by itself; there is no limit on steps.
 
 Packing is done shard by shard: a document's shard is a hash of its id, and there are as many shards as the tokens ask
@@ -48,9 +48,9 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def _step(fuller: list[int], other: list[int], sizes: list[int], room: int, lead: int) -> tuple[list[int], list[int]] | None:
-    """The best move or exchange that brings 1 to `room` tokens into the fuller bin: (out of it, out of the other).
+    """The best move or exchange that brings 1 to `room` tokens into the first bin: (out of it, out of the other).
 
-    lead: fill of the fuller bin less that of the other, 0 or more; the gain rises with the tokens moved, so the best is
+    lead: fill of the first bin less that of the other; where it is below 0, more than that must be brought. The gain rises with the tokens moved, so the best is
     the greatest transfer. Among equals, a move before one-for-one before two-for-one before one-for-two.
     """
     best, found = 0, None
@@ -114,6 +114,9 @@ def local_search(bins: list[list[int]], sizes: list[int], capacity: int) -> list
                 if tried.get(pair) == state:
                     continue
                 step = _step(bins[fuller], bins[other], sizes, capacity - fill[fuller], fill[fuller] - fill[other])
+                if step is None:  # the other way, if the emptier bin can overtake
+                    back = _step(bins[other], bins[fuller], sizes, capacity - fill[other], fill[other] - fill[fuller])
+                    step = back and (back[1], back[0])
                 if step is None:
                     tried[pair] = state
                     continue
