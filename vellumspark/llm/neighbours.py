@@ -1,7 +1,7 @@
 """Approximate nearest neighbours by multiprobe p-stable hashing.
 
-Each of TABLES tables hashes a vector by HASHES Gaussian projections, floor((a.v + b) / w), to a cell. Every row is a
-query: in each table it visits its own cell and the perturbed cells (each coordinate less or more by one, or as it is) in
+Each of TABLES tables hashes a vector by HASHES Gaussian projections, floor((a.v + b) / w), to a cell. Every row is
+indexed; queries are the rows whose id is divisible by `every` (1: all of them). In each table a query visits its own cell and the perturbed cells (each coordinate less or more by one, or as it is) in
 ascending estimated cost, the summed squared distance of its projections to the boundaries to be crossed: the order of
 success probability for p-stable projections. PROBES cells are visited. All vectors of all visited cells are candidates;
 their exact distances decide. w is WIDTH times the root mean squared distance of the vectors to their mean.
@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K = 10
-TABLES = 6
-HASHES = 5
-PROBES = 20
+TABLES = 2
+HASHES = 4
+PROBES = 40
 WIDTH = 2.0
 BLOCK_ROWS = 8192
 SEED = 20
@@ -113,8 +113,8 @@ def _nearest(index: pa.Table, queries: pa.Table, dims: int, k: int) -> pa.Table:
     return pa.table({"query_id": join(found_q, np.int64), "neighbour_id": join(found_i, np.int64), "d": join(found_d, np.float64)})
 
 
-def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, block_rows: int = BLOCK_ROWS, seed: int = SEED, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, neighbour_id, rank, distance): up to k neighbours of every vector, rank from 1."""
+def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int = HASHES, probes: int = PROBES, width: float = WIDTH, block_rows: int = BLOCK_ROWS, seed: int = SEED, every: int = 1, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, neighbour_id, rank, distance): up to k neighbours, rank from 1, of every vector whose id `every` divides."""
     spark = vectors.sparkSession
     common.tune(spark)
     saved = common.Saved(spark, "neighbours")
@@ -162,7 +162,8 @@ def neighbours(vectors: DataFrame, k: int = K, tables: int = TABLES, hashes: int
     # blocks are few beside the rows, but grow with them: Spark itself decides whether to broadcast their sizes
     sizes = saved.put(index.groupBy("t", "block").count().select("t", "block", F.ceil(F.col("count") / block_rows).cast("int").alias("parts")), "blocks")
     index = index.join(sizes, ["t", "block"]).select("t", "block", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "v", "code")
-    queries = rows.mapInArrow(probed, "t int, block long, id long, v array<float>, visits array<long>").join(sizes, ["t", "block"])
+    asked = rows if every == 1 else rows.where(F.col("id") % every == 0)
+    queries = asked.mapInArrow(probed, "t int, block long, id long, v array<float>, visits array<long>").join(sizes, ["t", "block"])
     queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("t", "block", "part", "id", "v", "visits")
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
