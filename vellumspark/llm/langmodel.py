@@ -1,19 +1,20 @@
 """Language-model scores from a weighted backoff automaton over the bytes of UTF-8 text.
 
-Spark counts all runs of up to ORDER bytes of all texts. They are smoothed by interpolated absolute discounting: with c
-the count of context h and byte w, and C that of h before any byte,
+All runs of up to ORDER bytes of all texts of the corpus are counted. They are smoothed by interpolated absolute
+discounting: with c the count of context h and byte w, C that of h before any byte and d the number of bytes that follow h,
 
-    p(w | h) = (c - D) / C + b(h) p(w | h less its first byte),   b(h) = 1 - (sum of the kept c - D) / C,
+    p(w | h) = (c - D) / C + b(h) p(w | h less its first byte),   b(h) = D d / C,
 
-and below single bytes p is 1/256. Runs of three bytes or more that occur less than MIN_COUNT times are left out; their
-mass is in b(h), so p still adds up to 1. Contexts become states, kept runs become arcs with log p, and each state has a
-failure arc of weight log b(h) to the state of its longest proper suffix. A text is read once, left to right: the state
-is carried, each byte adds the weight of its arc or of the failure arcs taken before it. The state after 4 bytes depends
-on these bytes alone, so a worker reads thousands of stretches side by side in numpy, each after 4 bytes of lead-in. Where
-the states times bytes fit in DENSE_BYTES, failure arcs are resolved beforehand into a table; the scores are the same.
+and below single bytes p is 1/256. Every run counts, however rare. Contexts become states, runs become arcs with log p,
+and each state has a failure arc of weight log b(h) to the state of its longest proper suffix. A text is read once, left
+to right: the state is carried, each byte adds the weight of its arc and of the failure arcs taken before it. The state
+after ORDER - 1 bytes depends on these bytes alone, so a worker reads thousands of stretches of _STRETCH bytes side by side
+in numpy, each after ORDER - 1 bytes of lead-in whose weights don't count.
 
-The automaton is broadcast only while it has at most BROADCAST_ARCS arcs. Beyond that score_by_join() gives the same
-scores by joins of the texts' runs with the table of arcs.
+No task holds the whole automaton. Texts lie in blocks of about block_bytes; a block is scored by the part of the automaton
+that its own runs can reach: the runs of its texts that the corpus has, with the counts of the whole corpus. Every weight
+is made from these counts alone in double precision, so a text has the same score in any block, and the automaton may be of
+any size. What is gathered (runs by block, then counts by run) grows with the corpus.
 
 Defined results: a null or empty text has 0 bytes, log-probability 0 and a null rate. A text is read from the start state
 and its end isn't predicted. Null ids and repeated rows are counted and scored like any other row. Texts are taken whole.
@@ -23,26 +24,27 @@ Extra columns are ignored. Without any text the model is uniform. Scores don't d
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 ORDER = 5
 DISCOUNT = 0.75
-#: Least count of a kept run, by its length.
-MIN_COUNT = {1: 1, 2: 1, 3: 2, 4: 2, 5: 2}
-BROADCAST_ARCS = 4_000_000
-DENSE_BYTES = 160 << 20
+#: Bytes of text that are scored together; a longer text is a block of its own.
+BLOCK_BYTES = 32 << 20
 _STRETCH = 512
+_PIECE = 4 << 20
 _PAD = 256  # the symbol after a text's last byte
 _BITS = 9
+#: A run of k bytes is the number k in the bits from here on, and the bytes below.
+_LENGTH = 8 * ORDER
 
 
 # --- counts ---------------------------------------------------------------------------------------------------
@@ -63,53 +65,74 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys, np.bincount(at, np.concatenate([n for _, n in parts])).astype(np.int64)
 
 
-def window_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(run, n): how often each run of ORDER symbols occurs in all texts. Counted within each task first."""
-    common.tune(docs.sparkSession)
+def runs(windows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of 1 to ORDER bytes and their counts, from distinct windows in ascending order; run 0, the empty one, comes first."""
+    keys, counts = [np.zeros(1, np.int64)], [np.zeros(1, np.int64)]
+    gram = np.zeros(len(windows), np.int64)
+    for k in range(1, ORDER + 1):
+        symbol = (windows >> (_BITS * (ORDER - k))) & ((1 << _BITS) - 1)
+        gram = (gram << 8) | symbol
+        inside = symbol < _PAD
+        windows, gram, n = windows[inside], gram[inside], n[inside]
+        if not len(gram):
+            break
+        first = np.flatnonzero(np.diff(gram, prepend=-1))
+        keys.append((k << _LENGTH) | gram[first])
+        counts.append(np.add.reduceat(n, first))
+    return np.concatenate(keys), np.concatenate(counts)
+
+
+def blocks(rows: DataFrame, block_bytes: int = BLOCK_BYTES, with_texts: bool = True) -> DataFrame:
+    """(block, doc_id, t, run, n): the rows themselves under their block (run is null), and each block's runs with counts.
+
+    rows: (doc_id, t). To be saved: the block of a row hangs on the order in which a task reads.
+    """
+    common.tune(rows.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, filled = TaskContext.get().partitionId() << 24, 0
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
 
-        def sent(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], names=["run", "n"])
+        def rest(names: list[pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(names, names=["block", "doc_id", "t", "run", "n"])
+
+        def counted() -> pa.RecordBatch:
+            keys, n = runs(*_merged(parts)) if parts else (np.zeros(1, np.int64), np.zeros(1, np.int64))
+            return rest([pa.array(np.full(len(keys), block)), pa.nulls(len(keys), pa.int64()), pa.nulls(len(keys), pa.string()), pa.array(keys), pa.array(n)])
 
         for batch in batches:
-            for _, _, data, offsets in common.pieces(batch.column(0)):
-                keys, n = np.unique(_windows(data, offsets), return_counts=True)
-                parts.append((keys, n.astype(np.int64)))
-                waiting += len(keys)
-            if waiting > 3_000_000:
-                parts = [_merged(parts)]
-                waiting = len(parts[0][0])
-                if waiting > 2_000_000:
-                    yield sent(*parts[0])
-                    parts, waiting = [], 0
+            for low, high, data, offsets in common.pieces(batch.column(1)):
+                if filled and filled + len(data) > block_bytes:
+                    yield counted()
+                    block, filled, parts, waiting = block + 1, 0, [], 0
+                filled += len(data)
+                if len(data):
+                    keys, n = np.unique(_windows(data, offsets), return_counts=True)
+                    parts.append((keys, n))
+                    waiting += len(keys)
+                    if waiting > 3_000_000:
+                        parts = [_merged(parts)]
+                        waiting = len(parts[0][0])
+                if with_texts:
+                    size = high - low
+                    yield rest([pa.array(np.full(size, block)), batch.column(0).slice(low, size), batch.column(1).slice(low, size), pa.nulls(size, pa.int64()), pa.nulls(size, pa.int64())])
         if parts:
-            yield sent(*_merged(parts))
+            yield counted()
 
-    return common.pick(docs, t=text_col).select(F.col("t").cast("string")).mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(walk, "block long, doc_id long, t string, run long, n long")
 
 
-def arcs(windows: DataFrame, min_count: dict[int, int] | None = None) -> DataFrame:
-    """(k, gram, n, total): kept runs of k bytes (an integer of 8 bits a byte), their counts and their contexts' counts.
+def model(counted: DataFrame) -> DataFrame:
+    """(run, n, total, followers): counts of the corpus' runs, and what they are as contexts (null: nothing follows).
 
-    windows: (run, n) of window_counts(), saved: it is read for every k.
+    counted: (run, n), saved.
     """
-    min_count = MIN_COUNT if min_count is None else min_count
-    grams = None
-    for k in range(1, ORDER + 1):
-        symbols = [F.shiftright("run", _BITS * (ORDER - 1 - j)).bitwiseAND((1 << _BITS) - 1) for j in range(k)]
-        gram: Column = F.lit(0).cast("long")
-        for s in symbols:
-            gram = F.shiftleft(gram, 8).bitwiseOR(s)
-        one = windows.where(symbols[-1] < _PAD).select(F.lit(k).alias("k"), gram.alias("gram"), "n").groupBy("k", "gram").agg(F.sum("n").alias("n"))
-        grams = one if grams is None else grams.unionByName(one)
-    totals = grams.groupBy("k", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"))
-    least = F.lit(1)
-    for k, n in min_count.items():
-        least = F.when(F.col("k") == k, n).otherwise(least)
-    return grams.where(F.col("n") >= least).withColumn("context", F.shiftright("gram", 8)).join(totals, ["k", "context"]).select("k", "gram", "n", "total")
+    own = counted.groupBy("run").agg(F.sum("n").alias("n"))
+    k = F.shiftright("run", _LENGTH)
+    context = F.when(k <= 1, F.lit(0).cast("long")).otherwise(F.shiftleft(k - 1, _LENGTH).bitwiseOR(F.shiftright(F.col("run").bitwiseAND((1 << _LENGTH) - 1), 8)))
+    contexts = own.where(k > 0).groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("followers"))
+    return own.join(contexts, F.col("run") == F.col("context"), "left").select("run", "n", "total", "followers")
 
 
 # --- the automaton --------------------------------------------------------------------------------------------
@@ -117,116 +140,89 @@ def arcs(windows: DataFrame, min_count: dict[int, int] | None = None) -> DataFra
 
 @dataclass
 class Automaton:
-    """States are numbered by length of context, then by context; state 0 is the empty one and has an arc for each byte."""
+    """States are numbered by length of context, then by context; state 0 is the empty one and has an arc for each byte.
+
+    Arcs lie in order of state and byte. bits has 256 bits a state, one for each byte that it has an arc for, and rank the
+    number of arcs before each 64 of them, so an arc is found by counting bits.
+    """
 
-    contexts: list[np.ndarray]
     fail: np.ndarray
     backoff: np.ndarray
-    arc: np.ndarray  # state * 256 + byte, ascending
+    bits: np.ndarray
+    rank: np.ndarray
     weight: np.ndarray
     target: np.ndarray
-    tables: tuple | None = field(default=None, repr=False)
-
-    def compiled(self, limit: int = DENSE_BYTES) -> Automaton:
-        """With failure arcs resolved into a table of states x symbols, where it fits in limit bytes."""
-        symbol = np.zeros(256, np.int64)
-        # bytes without any arc but the start state's are one symbol: they all lead there with the same weight
-        low = np.bincount(self.arc & 255, minlength=256)
-        seen = np.flatnonzero((low > 1) | (self.weight[:256] > self.weight[:256].min() + 1e-12))
-        symbol[:] = len(seen)
-        symbol[seen] = np.arange(len(seen))
-        width, states = len(seen) + 1, len(self.fail)
-        if self.tables is not None or states * width * 8 > limit:
-            return self
-        to, add = np.zeros((states, width), np.int32), np.zeros((states, width), np.float32)
-        byte = np.append(seen, int(np.argmin(self.weight[:256])))
-        to[0], add[0] = self.target[byte], self.weight[byte]
-        base = 1
-        state, label = self.arc >> 8, symbol[self.arc & 255]
-        for level in self.contexts[1:]:
-            rows = np.arange(base, base + len(level))
-            to[rows] = to[self.fail[rows]]
-            add[rows] = add[self.fail[rows]] + self.backoff[rows, None]
-            a, b = np.searchsorted(state, [base, base + len(level)])
-            to[state[a:b], label[a:b]] = self.target[a:b]
-            add[state[a:b], label[a:b]] = self.weight[a:b]
-            base += len(level)
-        self.tables = (symbol.astype(np.int32), width, to.ravel(), add.ravel())
-        return self
 
     def _step(self, state: np.ndarray, byte: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Follow failure arcs until each state has an arc for its byte, and take that."""
-        total = np.zeros(len(state))
-        state = state.copy()
-        todo = np.arange(len(state))
-        at = np.zeros(len(state), np.int64)
-        while len(todo):
-            key = (state[todo] << 8) | byte[todo]
-            place = np.minimum(np.searchsorted(self.arc, key), len(self.arc) - 1)
-            found = self.arc[place] == key
-            at[todo[found]] = place[found]
-            todo = todo[~found]
-            total[todo] += self.backoff[state[todo]]
-            state[todo] = self.fail[state[todo]]
-        return self.target[at], total + self.weight[at]
+        bit = np.left_shift(np.uint64(1), (byte & 63).astype(np.uint64))
+        word = (state << 2) | (byte >> 6)
+        have = self.bits[word]
+        lost = np.flatnonzero((have & bit) == 0)
+        total = None
+        if len(lost):
+            state, total = state.copy(), np.zeros(len(state))
+            while len(lost):
+                total[lost] += self.backoff[state[lost]]
+                state[lost] = self.fail[state[lost]]
+                word[lost] = (state[lost] << 2) | (byte[lost] >> 6)
+                have[lost] = self.bits[word[lost]]
+                lost = lost[(have[lost] & bit[lost]) == 0]
+        at = self.rank[word] + np.bitwise_count(have & (bit - np.uint64(1)))
+        return self.target[at], self.weight[at] if total is None else total + self.weight[at]
 
     def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Log-probability of each text of a piece."""
         n, lead = len(data), ORDER - 1
+        scores = np.zeros(len(offsets) - 1)
         if not n:
-            return np.zeros(len(offsets) - 1)
+            return scores
         lanes = -(-n // _STRETCH)
-        padded = np.zeros(lead + lanes * _STRETCH, np.int64 if self.tables is None else np.int32)
-        padded[lead : lead + n] = data if self.tables is None else self.tables[0][data]
+        padded = np.zeros(lead + lanes * _STRETCH, np.uint8)
+        padded[lead : lead + n] = data
         start = np.zeros(len(padded), bool)
         start[lead + offsets[:-1][offsets[:-1] < n]] = True
-        shape, strides = (lanes, lead + _STRETCH), lambda x: (x.strides[0] * _STRETCH, x.strides[0])
-        byte = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, shape, strides(padded)).T)
-        going = np.ascontiguousarray(~np.lib.stride_tricks.as_strided(start, shape, strides(start)).T)
-        out = np.empty((_STRETCH, lanes), np.float32 if self.tables is not None else np.float64)
-        state = np.zeros(lanes, np.int32 if self.tables is not None else np.int64)
+        shape, strides = (lanes, lead + _STRETCH), (_STRETCH, 1)
+        byte = np.ascontiguousarray(np.lib.stride_tricks.as_strided(padded, shape, strides).T)
+        going = np.ascontiguousarray(~np.lib.stride_tricks.as_strided(start, shape, strides).T)
+        out = np.empty((_STRETCH, lanes))
+        state = np.zeros(lanes, np.int64)
         for t in range(lead + _STRETCH):
-            state *= going[t]  # a text begins at state 0
-            if self.tables is not None:
-                _, width, to, add = self.tables
-                at = state * np.int64(width) + byte[t]
-                state, weight = to[at], add[at]
-            else:
-                state, weight = self._step(state, byte[t])
+            state = state * going[t]  # a text begins at state 0
+            state, weight = self._step(state, byte[t].astype(np.int64))
             if t >= lead:
                 out[t - lead] = weight
-        summed = np.zeros(n + 1)
-        np.cumsum(np.ascontiguousarray(out.T).ravel()[:n], dtype=np.float64, out=summed[1:])
-        return summed[offsets[1:]] - summed[offsets[:-1]]
-
-
-def smoothed(k: np.ndarray, gram: np.ndarray, n: np.ndarray, total: np.ndarray, discount: float = DISCOUNT) -> tuple[list, list, list]:
-    """By length of context 0..ORDER-1: grams (ascending), their log p, and (contexts, log b)."""
-    grams, weights, states = [], [], []
-    for size in range(1, ORDER + 1):
-        at = np.flatnonzero(k == size)
-        at = at[np.argsort(gram[at], kind="stable")]
-        g, c, whole = gram[at], n[at].astype(float), total[at].astype(float)
-        if size == 1:
-            left = 1.0 if not len(g) else 1 - (c - discount).sum() / whole[0]
-            p = np.full(256, left / 256)
-            p[g] += (c - discount) / whole
-            grams.append(np.arange(256))
-            weights.append(np.log(p))
-            states.append((np.zeros(1, np.int64), np.zeros(1)))
-            continue
-        contexts, first = np.unique(g >> 8, return_index=True)
-        b = 1 - np.add.reduceat((c - discount) / whole, first) if len(first) else np.zeros(0)
-        low = np.exp(weights[-1][np.searchsorted(grams[-1], g & ((1 << 8 * (size - 1)) - 1))])
-        grams.append(g)
-        weights.append(np.log((c - discount) / whole + np.repeat(b, np.diff(np.append(first, len(g)))) * low))
-        states.append((contexts, np.log(b)))
-    return grams, weights, states
-
-
-def build(k: np.ndarray, gram: np.ndarray, n: np.ndarray, total: np.ndarray, discount: float = DISCOUNT) -> Automaton:
-    grams, weights, states = smoothed(k, gram, n, total, discount)
-    contexts = [c for c, _ in states]
+        out = np.ascontiguousarray(out.T).ravel()[:n]
+        some = np.flatnonzero(np.diff(offsets))
+        # summed text by text, so that a text's neighbours in the piece don't touch its last digits
+        scores[some] = np.add.reduceat(out, offsets[some])
+        return scores
+
+
+def build(run: np.ndarray, n: np.ndarray, total: np.ndarray, followers: np.ndarray, discount: float = DISCOUNT) -> Automaton:
+    """The automaton of runs as in model(): of all of them, or of all substrings of some texts. total 0: not a context."""
+    order = np.argsort(run)
+    run, n, total, followers = run[order], n[order].astype(float), total[order].astype(float), followers[order].astype(float)
+    cut = np.searchsorted(run, [k << _LENGTH for k in range(ORDER + 2)])
+    level = [slice(cut[k], cut[k + 1]) for k in range(ORDER + 1)]
+    gram = [run[level[k]] & ((1 << _LENGTH) - 1) for k in range(ORDER + 1)]
+    whole = total[0] if len(run) and run[0] == 0 else 0.0
+    p = np.full(256, (discount * followers[0] / whole if whole else 1.0) / 256)
+    if whole:
+        p[gram[1]] += (n[level[1]] - discount) / whole
+    contexts, backoff = [np.zeros(1, np.int64)], [np.zeros(1)]
+    grams, probability = [np.arange(256)], [p]
+    for k in range(1, ORDER):
+        is_context = total[level[k]] > 0
+        held, whole = gram[k][is_context], total[level[k]][is_context]
+        b = discount * followers[level[k]][is_context] / whole
+        contexts.append(held)
+        backoff.append(np.log(b))
+        longer = gram[k + 1]
+        at = np.searchsorted(held, longer >> 8)
+        low = probability[-1][np.searchsorted(grams[-1], longer & ((1 << 8 * k) - 1))]
+        grams.append(longer)
+        probability.append((n[level[k + 1]] - discount) / whole[at] + b[at] * low)
     base = np.concatenate([[0], np.cumsum([len(c) for c in contexts])])
 
     def state_of(g: np.ndarray, size: int) -> np.ndarray:
@@ -234,103 +230,57 @@ def build(k: np.ndarray, gram: np.ndarray, n: np.ndarray, total: np.ndarray, dis
         out = np.zeros(len(g), np.int64)
         todo = np.arange(len(g))
         for length in range(min(size, ORDER - 1), 0, -1):
-            level = contexts[length]
-            if not len(level) or not len(todo):
+            held = contexts[length]
+            if not len(held) or not len(todo):
                 continue
             key = g[todo] & ((1 << 8 * length) - 1)
-            at = np.minimum(np.searchsorted(level, key), len(level) - 1)
-            found = level[at] == key
+            at = np.minimum(np.searchsorted(held, key), len(held) - 1)
+            found = held[at] == key
             out[todo[found]] = base[length] + at[found]
             todo = todo[~found]
         return out
 
     fail = np.concatenate([state_of(c, length - 1) if length else np.zeros(1, np.int64) for length, c in enumerate(contexts)])
-    arc = [(base[size] + np.searchsorted(contexts[size], g >> 8)) * 256 + (g & 255) for size, g in enumerate(grams)]
-    target = [state_of(g, size + 1) for size, g in enumerate(grams)]
-    return Automaton(contexts, fail, np.concatenate([b for _, b in states]), np.concatenate(arc), np.concatenate(weights), np.concatenate(target))
+    arc = np.concatenate([(base[size] + np.searchsorted(contexts[size], g >> 8)) * 256 + (g & 255) for size, g in enumerate(grams)])
+    target = np.concatenate([state_of(g, size + 1) for size, g in enumerate(grams)])
+    bits = np.zeros(4 * base[-1], np.uint64)
+    np.bitwise_or.at(bits, arc >> 6, np.left_shift(np.uint64(1), (arc & 63).astype(np.uint64)))
+    return Automaton(fail, np.concatenate(backoff), bits, np.searchsorted(arc, np.arange(len(bits)) * 64), np.log(np.concatenate(probability)), target)
 
 
 # --- scores ---------------------------------------------------------------------------------------------------
 
-#: The compiled automaton of the query at hand, kept in each Python worker.
-_READY: dict[str, Automaton] = {}
 
+def _numbers(table: pa.Table, name: str) -> np.ndarray:
+    return table[name].fill_null(0).combine_chunks().to_numpy(zero_copy_only=False)
 
-def _result(df: DataFrame) -> DataFrame:
-    n, lp = F.col("n"), F.col("lp")
-    return df.select("doc_id", n.alias("n_bytes"), F.round(lp, 3).alias("log_prob"), F.when(n > 0, F.round(-lp / n / math.log(2), 5)).alias("bits_per_byte"))
 
+def score(docs: DataFrame, corpus: DataFrame | None = None, discount: float = DISCOUNT, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, log_prob, bits_per_byte), a row for each row of docs, under the model of all of corpus.
 
-def score_by_automaton(docs: DataFrame, automaton: Automaton, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, log_prob, bits_per_byte), a row for each row of docs."""
-    common.tune(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(automaton)
-    name = uuid.uuid4().hex
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if name not in _READY:
-            _READY.clear()
-            _READY[name] = shared.value.compiled()
-        model = _READY[name]
-        for batch in batches:
-            for low, high, data, offsets in common.pieces(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(np.diff(offsets)), pa.array(model.score(data, offsets))], names=["doc_id", "n", "lp"])
-
-    chosen = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
-    return _result(chosen.mapInArrow(run, "doc_id long, n long, lp double"))
-
-
-def score_by_join(docs: DataFrame, kept: DataFrame, discount: float = DISCOUNT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The same scores from the table of arcs (k, gram, n, total), by joins; for models too large to broadcast.
-
-    Each text's runs (context and byte) are counted by row; the weight of every distinct run is found once, from the
-    shortest context to the longest, and joined back.
+    Without corpus the model is that of docs: each text is then part of what it is measured by.
     """
-    common.tune(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for low, high, data, offsets in common.pieces(batch.column(0)):
-                doc = np.repeat(np.arange(high - low), np.diff(offsets))
-                since = np.arange(len(data)) - offsets[:-1][doc]
-                symbols = np.concatenate([np.zeros(ORDER - 1, np.int64), data.astype(np.int64)])
-                key = np.zeros(len(data), np.int64)
-                for k in range(ORDER):
-                    back = ORDER - 1 - k
-                    key = (key << _BITS) | np.where(since >= back, symbols[k : k + len(data)], _PAD)
-                ranked = np.lexsort((key, doc))
-                change = np.flatnonzero((np.diff(doc[ranked], prepend=-1) != 0) | (np.diff(key[ranked], prepend=-1) != 0))
-                count = np.diff(np.append(change, len(data)))
-                at = ranked[change]
-                yield pa.RecordBatch.from_arrays([batch.column(1).take(pa.array(doc[at] + low)), pa.array(key[at]), pa.array(count)], names=["row", "run", "times"])
-
-    rows = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
-    saved = common.Saved(docs.sparkSession, "lmjoin")
-    rows = saved.put(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    runs = saved.put(rows.where("t is not null").select("t", "row").mapInArrow(run, "row long, run long, times long"), "runs")
-    found = runs.select("run").distinct().withColumn("p", F.lit(1.0 / 256))
-    parts = kept.withColumn("part", (F.col("n") - discount) / F.col("total"))
-    for k in range(1, ORDER + 1):
-        gram: Column = F.lit(0).cast("long")
-        for j in range(ORDER - k, ORDER):
-            gram = F.shiftleft(gram, 8).bitwiseOR(F.shiftright("run", _BITS * (ORDER - 1 - j)).bitwiseAND(255))
-        inside = F.shiftright("run", _BITS * (k - 1)).bitwiseAND((1 << _BITS) - 1) < _PAD
-        level = parts.where(F.col("k") == k)
-        backs = level.groupBy(F.shiftright("gram", 8).alias("b_context")).agg((1 - F.sum("part")).alias("b"))
-        own = F.when(inside, gram)
-        found = found.withColumn("g", own).withColumn("c", F.shiftright("g", 8))
-        found = found.join(level.select(F.col("gram").alias("g"), "part"), "g", "left").join(backs, F.col("c") == F.col("b_context"), "left")
-        found = found.select("run", (F.coalesce("part", F.lit(0.0)) + F.coalesce("b", F.lit(1.0)) * F.col("p")).alias("p"))
-    sums = runs.join(found, "run").groupBy("row").agg(F.sum("times").alias("n"), F.sum(F.col("times") * F.log("p")).alias("lp"))
-    return _result(rows.select("row", "doc_id").join(sums, "row", "left").select("doc_id", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("lp", F.lit(0.0)).alias("lp")))
-
-
-def score(docs: DataFrame, corpus: DataFrame | None = None, broadcast_arcs: int = BROADCAST_ARCS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Scores of docs under the model of all of corpus (None: of docs): (doc_id, n_bytes, log_prob, bits_per_byte)."""
     saved = common.Saved(docs.sparkSession, "lm")
-    windows = saved.put(window_counts(docs if corpus is None else corpus, text_col), "windows")
-    kept = saved.put(arcs(windows), "arcs")
-    if kept.count() > broadcast_arcs:
-        return score_by_join(docs, kept, id_col=id_col, text_col=text_col)
-    table = kept.toArrow()
-    return score_by_automaton(docs, build(*(table[c].to_numpy() for c in ("k", "gram", "n", "total"))), id_col, text_col)
+
+    def chosen(df: DataFrame) -> DataFrame:
+        return common.pick(df, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), F.col("t").cast("string"))
+
+    laid = saved.put(blocks(chosen(docs), block_bytes), "blocks")
+    own = laid.where("run is not null").select("block", "run", "n")
+    counted = own if corpus is None else saved.put(blocks(chosen(corpus), block_bytes, False), "corpus").where("run is not null")
+    known = saved.put(model(counted.select("run", "n")), "model")
+    # a run is in a block once, so a run of all texts has as many rows here as there are blocks
+    arcs = own.select("block", "run").toDF("at", "run").join(known, "run")
+
+    def read(texts: pa.Table, reached: pa.Table) -> pa.Table:
+        automaton = build(*(_numbers(reached, c) for c in ("run", "n", "total", "followers")), discount)
+        made = []
+        for batch in texts.combine_chunks().to_batches():
+            for low, high, data, offsets in common.pieces(batch.column("t"), _PIECE):
+                made.append(pa.table({"doc_id": batch.column("doc_id").slice(low, high - low), "n": pa.array(np.diff(offsets)), "lp": pa.array(automaton.score(data, offsets))}))
+        return pa.concat_tables(made) if made else pa.table({"doc_id": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "lp": pa.array([], pa.float64())})
+
+    texts = laid.where("run is null").select("block", "doc_id", "t")
+    found = texts.groupBy("block").cogroup(arcs.groupBy("at")).applyInArrow(read, "doc_id long, n long, lp double")
+    n, lp = F.col("n"), F.col("lp")
+    return found.select("doc_id", n.alias("n_bytes"), F.round(lp, 3).alias("log_prob"), F.when(n > 0, F.round(-lp / n / math.log(2), 5)).alias("bits_per_byte"))
