@@ -14,9 +14,9 @@ def edited(text, share, seed):
     return " ".join(rng.choice(WORDS) if rng.random() < share else w for w in text.split())
 
 
-def slow_groups(ids, prints, sizes, radius, ratio):
-    """Least id of each document's group, by comparing all pairs."""
-    parent = {i: i for i in ids}
+def slow_classes(ids, prints, radius):
+    """(least id of its class, number of links) of each document, by comparing all pairs."""
+    parent, links = {i: i for i in ids}, {i: 0 for i in ids}
 
     def find(x):
         while parent[x] != x:
@@ -26,23 +26,42 @@ def slow_groups(ids, prints, sizes, radius, ratio):
     for a in range(len(ids)):
         for b in range(a):
             apart = int(np.bitwise_count(prints[a] ^ prints[b]).sum())
-            if apart <= radius and max(sizes[a], sizes[b]) <= ratio * min(sizes[a], sizes[b]) + 1e-9:
+            if apart <= radius:
+                links[ids[a]] += 1
+                links[ids[b]] += 1
                 x, y = sorted((find(ids[a]), find(ids[b])))
                 parent[y] = x
-    return {i: find(i) for i in ids}
+    return {i: (find(i), links[i]) for i in ids}
 
 
-@pytest.mark.parametrize("tile_rows", [7, 50, 16384])
-@pytest.mark.parametrize("radius", [0, 6, 28, 60])
+@pytest.mark.parametrize("tile_rows", [7, 50, None])
+@pytest.mark.parametrize("radius", [0, 10, 44, 90])
 def test_groups_are_brute_force(spark, tile_rows, radius):
     texts = [prose(k % 40, 30 + 3 * (k % 40)) if k < 40 else edited(prose(k % 40, 30 + 3 * (k % 40)), 0.03 * (k % 5), k) for k in range(120)]
     df = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
     own = {r.doc_id: r for r in simhash.fingerprints(df).collect()}
     ids = sorted(own)
-    prints = [np.array([own[i].fp_hi, own[i].fp_lo], np.int64).view(np.uint64) for i in ids]
-    want = slow_groups(ids, prints, [own[i].size for i in ids], radius, 1.5)
-    got = {r.doc_id: r.keep_id for r in simhash.duplicates(df, radius=radius, tile_rows=tile_rows).collect()}
-    assert got == {i: k for i, k in want.items() if i != k}
+    prints = [np.array([own[i][c] for c in simhash.PRINT], np.int64).view(np.uint64) for i in ids]
+    want = slow_classes(ids, prints, radius)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.classes(df, radius=radius, tile_rows=tile_rows).collect()}
+    assert got == want
+
+
+def test_pairs_of_very_different_sizes_are_not_skipped(spark):
+    """A text, and the same with a third more: within the radius or not, by bits alone."""
+    texts = [prose(k, 90) for k in range(30)] + [prose(k, 90) + " " + prose(k + 500, 60) for k in range(30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {r.doc_id: np.array([r[c] for c in simhash.PRINT], np.int64).view(np.uint64) for r in simhash.fingerprints(df).collect()}
+    want = slow_classes(sorted(own), [own[i] for i in sorted(own)], simhash.RADIUS)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.classes(df).collect()}
+    assert got == want and any(c != i for i, (c, _) in got.items())
+
+
+def test_hot_texts_count_their_copies(spark):
+    texts = ["one and the same text again"] * 300 + ["another text stands here"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r.class_id, r.n_links) for r in simhash.classes(df).collect()}
+    assert got == {(0, 299), (300, 0)}
 
 
 def test_near_copies_are_caught_and_clean_texts_left(spark):
@@ -51,8 +70,8 @@ def test_near_copies_are_caught_and_clean_texts_left(spark):
     clean += [(200, shared + " " + prose(200, 150)), (201, shared + " " + prose(201, 150))]
     copies = [(1000 + k, edited(prose(k, 150), 0.03, k)) for k in range(100)] + [(2000, prose(5, 150)), (2001, prose(5, 150).upper())]
     df = spark.createDataFrame(clean + copies, "doc_id long, text string")
-    got = {r.doc_id: r.keep_id for r in simhash.duplicates(df).collect()}
-    assert not [i for i in got if i < 1000]
+    got = {r.doc_id: r.class_id for r in simhash.classes(df).collect()}
+    assert not [i for i, c in got.items() if i < 1000 and c != i]
     assert sum(got.get(1000 + k) == k for k in range(100)) >= 98 and got[2000] == got[2001] == 5
 
 
@@ -65,7 +84,7 @@ def test_fingerprint_is_the_sign_of_votes():
     keys, at = w.grams(3)
     keys = np.array(sorted({int(k) >> 16 for k in keys[w.doc()[at] == 0]}), np.uint64)
     keys = common.mix(keys)
-    bits = np.unpackbits(np.stack([keys, simhash._second(keys)], axis=1).view(np.uint8), axis=1).astype(int)
+    bits = np.unpackbits(simhash.bits_of(keys).view(np.uint8), axis=1).astype(int)
     assert np.array_equal(np.packbits(bits.sum(0) * 2 > len(keys)).view(np.uint64), prints[0])
 
 
@@ -74,8 +93,8 @@ def test_votes_beyond_255_shingles():
     prints, sizes = simhash.fingerprint(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     w = common.words(np.frombuffer(text, np.uint8), np.array([0, len(text)]))
     keys = common.mix(np.unique(w.grams(3)[0] >> np.uint64(16)))
-    bits = np.unpackbits(np.stack([keys, simhash._second(keys)], axis=1).view(np.uint8), axis=1).astype(int)
-    tie = np.unpackbits(np.stack([keys.min(), simhash._second(keys.min()[None])[0]]).view(np.uint8)).astype(int)
+    bits = np.unpackbits(simhash.bits_of(keys).view(np.uint8), axis=1).astype(int)
+    tie = np.unpackbits(simhash.bits_of(keys.min()[None]).view(np.uint8)).astype(int)
     assert sizes[0] == len(keys) and np.array_equal(np.packbits(bits.sum(0) * 2 + tie > len(keys)).view(np.uint64), prints[0])
 
 
@@ -89,13 +108,13 @@ def test_components_both_ways(spark):
 
 
 def test_awkward_rows(awkward, crowded, empty):
-    got = sorted(tuple(r) for r in simhash.duplicates(awkward).collect())
-    assert got == [(7, 1)]
-    assert sorted(tuple(r) for r in simhash.duplicates(crowded).collect()) == got
+    got = sorted(tuple(r) for r in simhash.classes(awkward).collect())
+    assert got == sorted([(i, i, int(i == 1)) for i in (1, 2, 3, 4, 6, 8, 9, 10, 11)] + [(7, 1, 1)])
+    assert sorted(tuple(r) for r in simhash.classes(crowded).collect()) == got
     kept = simhash.deduplicate(crowded)
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert kept.count() == awkward.count() - 1
-    assert simhash.duplicates(empty).count() == simhash.deduplicate(empty).count() == 0
+    assert simhash.classes(empty).count() == simhash.deduplicate(empty).count() == 0
 
 
 def test_removed_ids_too_many_to_broadcast(awkward, monkeypatch):

@@ -9,14 +9,20 @@ A permutation of 0..N-1 is an alternating Feistel network over a x b >= N (round
 lands below N. pseudonymise() is the forward way, and reveal=True the way back for a holder of the key.
 
 Kinds: card (13 to 19 digits, Luhn, any groups by one blank or one hyphen each), iban (mod 97), ssn, phone (North American plan, or
-+ and 8 to 15 digits), ipv4, date (year first; or day, month, year), email, access_key, hex_secret (small, capital or
-mixed letters; the case stays, and mixed case is a value of its own). What doesn't
-validate stays as it is; but the operators permute any number written +1 ddd ddd dddd or (ddd) ddd-dddd, in and outside of
-the plan each among themselves (all_phones; Formats alone has it off). A kind's characters outside the permuted part (prefixes, separators, e-mail domains) stay.
++ and 8 to 15 digits), ipv4, date (year first; day, month, year; or month, day, year where it can't be read the other way),
+email, access_key, hex_secret (small, capital or mixed letters; the case stays, and mixed case is a value of its own). What
+doesn't validate stays as it is; but the operators permute any number written +1 ddd ddd dddd or (ddd) ddd-dddd, in and
+outside of the plan each among themselves (all_phones; Formats alone has it off). A kind's characters outside the permuted
+part (prefixes, separators, e-mail domains) stay. Dates of a day up to 12 stay among themselves, so that every way of
+writing a date can be read after as before. Digits of any script count, and a pseudonym has the script of its value (of
+several, the first that isn't ASCII's).
+
+The key has no default. session_key() takes it from the setting spark.vellumspark.pii.secret, which Spark keeps out of its
+logs; where that is unset the key is random and lasts as long as the application.
 
 Defined results: a null text stays null, an empty one empty. Null ids and repeated rows are treated like any other row;
-repeated rows give repeated results. Texts are taken whole. A text without digit and without @ never reaches Python.
-Extra columns are ignored by pseudonymise() and dropped by pseudonymise_documents().
+repeated rows give repeated results. Texts are taken whole. A text without a digit, an @ and the words before a secret never
+reaches Python. Extra columns are ignored by pseudonymise() and dropped by pseudonymise_documents(). No rows give no rows.
 """
 
 from __future__ import annotations
@@ -24,24 +30,35 @@ from __future__ import annotations
 import datetime
 import math
 import re
+import secrets
+import unicodedata
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from hashlib import blake2b
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Only for tests and demonstrations: a real key comes from the caller's secret store.
-DEMO_KEY = b"vellumspark demonstration key"
+KEY_SETTING = "spark.vellumspark.pii.secret"
 ROUNDS = 10
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER_DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
 
 
+_OWN_KEYS: dict[str, bytes] = {}
+
+
+def session_key(spark: SparkSession) -> bytes:
+    """The key of the setting; where it is unset, a random one of this application, which nobody can use afterwards."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return given.encode() if given else _OWN_KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
 class Permutation:
     """A keyed permutation of 0..size-1."""
 
@@ -94,6 +111,20 @@ def luhn_digit(digits: str) -> int:
     return -total % 10
 
 
+FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
+
+
+@lru_cache(1)
+def _days() -> tuple[list[int], list[int]]:
+    """Days up to the 12th of their month, which may be read as months, and the others."""
+    late = [datetime.date.fromordinal(d).day > 12 for d in range(FIRST_DAY, LAST_DAY + 1)]
+    return tuple([d for d, x in enumerate(late, FIRST_DAY) if x == which] for which in (False, True))
+
+
+def _ascii_digits(text: str) -> str:
+    return text if text.isascii() else "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in text)
+
+
 class Formats:
     """The mappings of each kind under one key; each returns None where the match isn't a valid value."""
 
@@ -130,7 +161,8 @@ class Formats:
 
     def iban(self, text: str) -> str | None:
         flat = text.replace(" ", "")
-        if not 15 <= len(flat) <= 34 or int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 != 1:
+        # check digits 00, 01 and 99 belong to no account, though the sum may be right
+        if not "02" <= flat[2:4] <= "98" or not 15 <= len(flat) <= 34 or int("".join(str(int(c, 36)) for c in flat[4:] + flat[:4])) % 97 != 1:
             return None
         account = self._letters(f"iban:{flat[:2]}:letters", self._letters(f"iban:{flat[:2]}", flat[4:], "0123456789"), UPPER_DIGITS[:26])
         check = 98 - int("".join(str(int(c, 36)) for c in account + flat[:2] + "00")) % 97
@@ -179,19 +211,20 @@ class Formats:
         x = self._move("ipv4", 1 << 32, int.from_bytes(bytes(map(int, octets)), "big"))
         return ".".join(map(str, x.to_bytes(4, "big")))
 
-    FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
-
     def date(self, text: str) -> str | None:
         sep = re.search(r"[-/.]", text)[0]
-        parts = text.split(sep)
-        order = (0, 1, 2) if len(parts[0]) == 4 else (2, 1, 0)
-        try:
-            day = datetime.date(*(int(parts[k]) for k in order)).toordinal() - self.FIRST_DAY
-        except ValueError:
+        parts = [int(x) for x in text.split(sep)]
+        day = None
+        for order in ((0, 1, 2),) if text.index(sep) == 4 else ((2, 1, 0), (2, 0, 1)):
+            try:
+                day = datetime.date(*(parts[k] for k in order)).toordinal()
+                break
+            except ValueError:
+                continue
+        if day is None or not FIRST_DAY <= day <= LAST_DAY:
             return None
-        if not 0 <= day < self.DAYS:
-            return None
-        new = datetime.date.fromordinal(self.FIRST_DAY + self._move("date", self.DAYS, day))
+        days = _days()[datetime.date.fromordinal(day).day > 12]
+        new = datetime.date.fromordinal(days[self._move(f"date:{len(days)}", len(days), bisect_left(days, day))])
         out = [""] * 3
         for k, value, wide in zip(order, (new.year, new.month, new.day), (4, 2, 2), strict=True):
             out[k] = f"{value:0{wide}d}"
@@ -220,7 +253,12 @@ class Formats:
                 return head + (new.upper() if body == upper else new)
 
     def _find(self, kind: str, text: str) -> str | None:
-        return getattr(self, kind)(text)
+        plain = _ascii_digits(text)
+        new = getattr(self, kind)(plain)
+        if plain == text or new is None:
+            return new
+        zero = next(ord(c) - unicodedata.decimal(c) for c in text if c.isdecimal() and not c.isascii())
+        return "".join(chr(zero + int(c)) if c in "0123456789" else c for c in new)
 
 
 _KINDS = (
@@ -275,6 +313,10 @@ def rewrite(text: str, formats: Formats) -> tuple[str, int]:
     return "".join([*out, text[done:]]) if count else text, count
 
 
+#: In Java's words: a digit of any script, an @, or what stands before a secret or in a key that may be letters alone.
+_GATE = r"[\p{Nd}@]|(?i)password|passwd|secret|token|api_?key|A[KS]IA"
+
+
 def _rewritten(text: Column, key: bytes, reveal: bool) -> Column:
     """struct(text, n): null where the text holds no candidate."""
 
@@ -285,18 +327,18 @@ def _rewritten(text: Column, key: bytes, reveal: bool) -> Column:
             found = [(None, 0) if t is None else rewrite(t, formats) for t in texts]
             yield pd.DataFrame(found, columns=["text", "n"])
 
-    # the texts that reach Python are those with a digit or an @; the others are passed as nulls
-    return run(F.when(text.rlike("[0-9@]"), text))
+    # the texts that reach Python are those that may hold a value; the others are passed as nulls
+    return run(F.when(text.rlike(_GATE), text))
 
 
-def pseudonymise(docs: DataFrame, key: bytes = DEMO_KEY, reveal: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes, reveal: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text, n_replaced), a row for each row of docs."""
     common.tune(docs.sparkSession)
     chosen = common.pick(docs, doc_id=id_col, t=text_col).withColumn("t", F.col("t").cast("string"))
     return chosen.withColumn("r", _rewritten(F.col("t"), key, reveal)).select("doc_id", F.coalesce("r.text", "t").alias("text"), F.coalesce("r.n", F.lit(0)).alias("n_replaced"))
 
 
-def pseudonymise_documents(docs: DataFrame, key: bytes = DEMO_KEY) -> DataFrame:
+def pseudonymise_documents(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with pseudonyms in their texts: the columns of documents; n_chars is that of the new text."""
     common.tune(docs.sparkSession)
     done = common.documents(docs).withColumn("r", _rewritten(F.col("text"), key, False))

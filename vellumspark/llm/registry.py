@@ -14,8 +14,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that go as near copies, with the document that stays in their place."""
-    return simhash.duplicates(_table(spark, sf_dir, "documents"))
+    """Every document with its class of near copies and its number of links."""
+    return simhash.classes(_table(spark, sf_dir, "documents"))
 
 
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with personal data replaced by format-preserving pseudonyms."""
-    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"), pii.session_key(spark))
 
 
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

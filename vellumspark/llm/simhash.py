@@ -1,24 +1,25 @@
 """SimHash near-duplicates by exact comparison of tiles of fingerprints, in numpy.
 
-A fingerprint has 128 bits: each is the sign of the votes of the hashes of all distinct runs of three words. Words are
-lower-cased runs of letters, digits, _ and bytes beyond ASCII. Two documents are near copies if their fingerprints
-differ in at most `radius` bits and their numbers of shingles differ at most by the factor `size_ratio`; groups are the
-connected components of that relation. Every pair of distinct fingerprints is compared (exclusive-or and bit counts over
-blocks), save those that cannot match: tiles, and blocks of a tile, are skipped where their ranges of population counts
-are further apart than the radius or their ranges of sizes beyond the ratio. Nothing is capped or sampled.
+A fingerprint has 192 bits in three words: each bit is the sign of the votes of the hashes of all distinct runs of three
+words. Words are lower-cased runs of letters, digits, _ and bytes beyond ASCII. Two documents are linked if their
+fingerprints differ in at most `radius` bits; classes are the connected components of that relation. Every pair of distinct
+fingerprints is compared (exclusive-or and bit counts over blocks; the third word only where the first two are within the
+radius), save those that cannot match: pairs of tiles, and blocks of a tile, are skipped where their ranges of population
+counts are further apart than the radius. Nothing else is skipped, capped or sampled.
 
 Equal fingerprints are folded before the comparison, so a hot text of thousands of copies costs one row there. Each tile
-pair yields the spanning forest of its matches, not the matches, so a large group of copies costs linear output.
-
-Defined results: null, empty and blank texts, and rows without an id, belong to no group; deduplicate() keeps them. A
-text with no word but other characters is one shingle of its own. A text of one or two words is one shingle. Rows that
-repeat a doc_id count as one document (its least fingerprint stands for it) and stay or go together. Ties: the least
-doc_id of a group stays. Extra columns are ignored by duplicates() and dropped by deduplicate().
+pair yields the spanning forest of its matches and a number of links by fingerprint, not the matches, so a large class of
+copies costs linear output.
+
+Defined results: classes() has a row for each id. Null, empty and blank texts are classes of their own without links, and
+rows without an id have no row; deduplicate() keeps both. A text with no word but other characters is one shingle of its
+own. A text of one or two words is one shingle. Rows that repeat a doc_id count as one document (of its texts that aren't
+blank the least size, then the least fingerprint stands for it) and stay or go together. Ties: the least doc_id of a class
+names it and stays. Extra columns are ignored by classes() and dropped by deduplicate(). No documents give no rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,24 +29,29 @@ from pyspark.sql import functions as F
 
 from . import common
 
-RADIUS = 28
-SIZE_RATIO = 1.5
+RADIUS = 44
+WORDS = 3
 SHINGLE = 3
-TILE_ROWS = 16384
+#: Fingerprints in a tile: a sixteenth of all, between these bounds. The layout doesn't change the result.
+LEAST_TILE, MOST_TILE = 2048, 131072
 
-_ROW = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("id", "<i8"), ("size", "<i4")])
+PRINT = tuple(f"fp_{k}" for k in range(WORDS))
+_ROW = np.dtype([*((c, "<u8") for c in PRINT), ("id", "<i8"), ("copies", "<i8")])
 _BLOCK, _WIDTH = 16, 2048
 #: For each byte, its bits as eight bytes of 0 or 1.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).copy().view(np.uint64).ravel()
 
 
-def _second(keys: np.ndarray) -> np.ndarray:
-    """The other 64 of a shingle's 128 bits."""
-    return common.mix(keys ^ np.uint64(0xA5A5A5A5A5A5A5A5))
+_SALTS = (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C)
+
+
+def bits_of(keys: np.ndarray) -> np.ndarray:
+    """The words of shingles' bits, a row a shingle; the first is the key itself."""
+    return np.stack([keys, *(common.mix(keys ^ np.uint64(salt)) for salt in _SALTS)], axis=1)
 
 
 def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Of a piece: fingerprints (documents x 2, uint64) and numbers of shingles; 0 shingles where a text is blank."""
+    """Of a piece: fingerprints (documents x WORDS, uint64) and numbers of shingles; 0 shingles where a text is blank."""
     docs = len(offsets) - 1
     w = common.words(data, offsets)
     n_words = np.diff(w.first)
@@ -68,30 +74,30 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     keys = np.unique((doc.astype(np.uint64) << room) | (keys >> np.uint64(16)))
     doc, keys = (keys >> room).astype(np.int64), common.mix(keys & ((np.uint64(1) << room) - np.uint64(1)))
     sizes = np.bincount(doc, minlength=docs)
-    out = np.zeros((docs, 2), np.uint64)
+    out = np.zeros((docs, WORDS), np.uint64)
     if not len(keys):
         return out, sizes
     first = np.concatenate([[0], np.cumsum(sizes)])
-    # votes in bytes: 16 words of eight byte lanes a shingle, added up over at most 255 shingles, then over a document
+    # votes in bytes: a word of eight byte lanes for each byte of a shingle's bits, added up over at most 255 shingles, then over a document
     cuts = np.unique(np.concatenate([first[:-1][sizes > 0], *[np.arange(first[d], first[d + 1], 255) for d in np.flatnonzero(sizes > 255)]]))
-    votes = np.zeros((len(cuts), 128), np.uint8)
+    votes = np.zeros((len(cuts), 64 * WORDS), np.uint8)
     step = 512
     for low in range(0, len(cuts), step):
         a, b = cuts[low], cuts[low + step] if low + step < len(cuts) else len(keys)
-        both = np.stack([keys[a:b], _second(keys[a:b])], axis=1)
-        lanes = _SPREAD[both.view(np.uint8).reshape(len(both), 16)]
+        own = bits_of(keys[a:b])
+        lanes = _SPREAD[own.view(np.uint8).reshape(len(own), 8 * WORDS)]
         votes[low : low + step] = np.add.reduceat(lanes, cuts[low : low + step] - a, axis=0).view(np.uint8)
     some = np.flatnonzero(sizes)
     total = np.add.reduceat(votes, np.searchsorted(cuts, first[some]), axis=0, dtype=np.int64)
     # a tie takes the bit of the shingle of least hash, so that ties don't lean one way
     least = np.minimum.reduceat(keys, first[some])
-    tie = np.unpackbits(np.stack([least, _second(least)], axis=1).view(np.uint8), axis=1)
+    tie = np.unpackbits(bits_of(least).view(np.uint8), axis=1)
     out[some] = np.packbits(total * 2 + tie > sizes[some][:, None], axis=1).view(np.uint64)
     return out, sizes
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp_hi, fp_lo, size) of each row that has an id and a text that isn't blank."""
+    """(doc_id, fp_0, fp_1, fp_2, size) of each row that has an id; size 0 where the text is blank."""
     common.tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,153 +105,156 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for low, high, data, offsets in common.pieces(common.lowered(batch.column(1))):
                 prints, sizes = fingerprint(data, offsets)
                 prints = prints.view(np.int64)
-                made = pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), pa.array(prints[:, 0].copy()), pa.array(prints[:, 1].copy()), pa.array(sizes.astype(np.int32))], names=["doc_id", "fp_hi", "fp_lo", "size"])
-                yield made.filter(pa.array(sizes > 0))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(low, high - low), *(pa.array(prints[:, k].copy()) for k in range(WORDS)), pa.array(sizes.astype(np.int32))], names=["doc_id", *PRINT, "size"])
+
+    chosen = common.pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long"), F.col("t").cast("string")).where("i is not null")
+    return chosen.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in PRINT)}, size int")
 
-    chosen = common.pick(docs, i=id_col, t=text_col).select(F.col("i").cast("long"), F.col("t").cast("string")).where("i is not null and t is not null")
-    return chosen.mapInArrow(run, "doc_id long, fp_hi long, fp_lo long, size int")
 
+def population(rows: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(rows[c]).astype(np.int64) for c in PRINT)
 
-def _matches(a: np.ndarray, b: np.ndarray, radius: int, ratio: float, same: bool) -> Iterator[tuple[int, np.ndarray]]:
-    """(row of a, its matches in b); same: a is b, and only later rows are reported. Both are sorted by size."""
-    sizes_b, ones_b = b["size"], np.bitwise_count(b["hi"]) + np.bitwise_count(b["lo"])
-    ones_a = np.bitwise_count(a["hi"]) + np.bitwise_count(a["lo"])
-    hi_b, lo_b = np.ascontiguousarray(b["hi"]), np.ascontiguousarray(b["lo"])
-    hi_a, lo_a = np.ascontiguousarray(a["hi"]), np.ascontiguousarray(a["lo"])
+
+def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) that match; same: a is b, and only later rows are reported. Both are sorted by population."""
+    ones_a, ones_b = population(a), population(b)
+    side_a, side_b = ([np.ascontiguousarray(x[c]) for c in PRINT] for x in (a, b))
     work = np.empty((_BLOCK, _WIDTH), np.uint64)
     count, more, near = np.empty((_BLOCK, _WIDTH), np.uint8), np.empty((_BLOCK, _WIDTH), np.uint8), np.empty((_BLOCK, _WIDTH), bool)
-    starts = np.arange(0, len(b), _WIDTH)
-    low_ones, high_ones = (f.reduceat(ones_b, starts) for f in (np.minimum, np.maximum)) if len(b) else ([], [])
     for i in range(0, len(a), _BLOCK):
         rows = slice(i, min(i + _BLOCK, len(a)))
         k = rows.stop - i
-        size = a["size"][rows]
-        first = np.searchsorted(sizes_b, math.ceil(size[0] / ratio - 1e-9))
-        last = np.searchsorted(sizes_b, math.floor(size[-1] * ratio + 1e-9), "right")
-        first = max(first, i) if same else first
-        ones = ones_a[rows].astype(int)
-        for t in range(int(first) // _WIDTH, -(-int(last) // _WIDTH)):
-            if int(low_ones[t]) - ones.max() > radius or ones.min() - int(high_ones[t]) > radius:
-                continue
-            j, stop = t * _WIDTH, min((t + 1) * _WIDTH, len(b))
+        first = np.searchsorted(ones_b, ones_a[i] - radius)
+        last = np.searchsorted(ones_b, ones_a[rows.stop - 1] + radius, "right")
+        first = max(int(first), i) if same else int(first)
+        for j in range(first, int(last), _WIDTH):
+            stop = min(j + _WIDTH, int(last))
             x, c, m, hit = (z[:k, : stop - j] for z in (work, count, more, near))
-            np.bitwise_xor(hi_a[rows, None], hi_b[j:stop], out=x)
+            np.bitwise_xor(side_a[0][rows, None], side_b[0][j:stop], out=x)
             np.bitwise_count(x, out=c)
-            np.bitwise_xor(lo_a[rows, None], lo_b[j:stop], out=x)
+            np.bitwise_xor(side_a[1][rows, None], side_b[1][j:stop], out=x)
             np.bitwise_count(x, out=m)
             np.add(c, m, out=c)
             np.less_equal(c, radius, out=hit)
             if not hit.any():
                 continue
             r, s = np.nonzero(hit)
+            apart = c[r, s].astype(np.int64)
             r, s = r + i, s + j
-            big, small = np.maximum(a["size"][r], sizes_b[s]), np.minimum(a["size"][r], sizes_b[s])
-            good = big <= small * ratio + 1e-9
-            good &= (s > r) if same else True
-            r, s = r[good], s[good]
-            for row in np.unique(r):
-                yield int(row), s[r == row]
+            for word in range(2, WORDS):
+                apart += np.bitwise_count(side_a[word][r] ^ side_b[word][s])
+            good = (apart <= radius) & (s > r) if same else apart <= radius
+            if good.any():
+                yield r[good], s[good]
 
 
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int, ratio: float) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning star edges (id, least id) of the matches between two tiles, or within one where b is None."""
-    a = np.sort(a, order=["size", "id"])
+def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two tiles, or of one where b is None: star edges (id, least id) that span the matches, and (id, documents linked)."""
+    a = a[np.lexsort((a["id"], population(a)))]
     if b is None:
-        every, shift, found = a["id"], 0, _matches(a, a, radius, ratio, True)
+        every, shift, found = a, 0, _matches(a, a, radius, True)
     else:
-        b = np.sort(b, order=["size", "id"])
-        every, shift, found = np.concatenate([a["id"], b["id"]]), len(a), _matches(a, b, radius, ratio, False)
-    ranked = np.argsort(every, kind="stable")  # the forest's roots are least places, so places follow ids
+        b = b[np.lexsort((b["id"], population(b)))]
+        every, shift, found = np.concatenate([a, b]), len(a), _matches(a, b, radius, False)
+    ranked = np.argsort(every["id"], kind="stable")  # the forest's roots are least places, so places follow ids
     place = np.empty(len(every), np.int64)
     place[ranked] = np.arange(len(every))
+    links = np.zeros(len(every), np.int64)
     forest = common.Forest(len(every))
-    for row, others in found:
-        forest.join(place[np.append(others + shift, row)])
+    for r, s in found:
+        s = s + shift
+        np.add.at(links, r, every["copies"][s])
+        np.add.at(links, s, every["copies"][r])
+        for row in np.unique(r):
+            forest.join(place[np.append(s[r == row], row)])
     root = forest.find(np.arange(len(every)))
     keep = np.flatnonzero(root != np.arange(len(every)))
-    ids = every[ranked]
-    return ids[keep], ids[root[keep]]
+    ids = every["id"][ranked]
+    linked = np.flatnonzero(links)
+    return ids[keep], ids[root[keep]], every["id"][linked], links[linked]
 
 
-def tiles(cells: list[tuple[int, int, int]], tile_rows: int) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int, int, int]]]:
-    """Lay cells (size class, population count, rows) out in tiles of about tile_rows.
+def tiles(cells: list[tuple[int, int]], tile_rows: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
+    """Lay cells (population count, rows) out in tiles of about tile_rows.
 
-    Returns (class, count, first tile, number of tiles) by cell, and (least class, greatest class, least count,
-    greatest count) by tile. Cells come in order and neighbours share a tile; one of more rows is spread by hash.
+    Returns (count, first tile, number of tiles) by cell, and (least count, greatest count) by tile. Cells come in order
+    and neighbours share a tile; one of more rows is spread by hash.
     """
     places, ranges, filled = [], [], tile_rows
-    for k, ones, rows in sorted(cells):
+    for ones, rows in sorted(cells):
         parts = -(-rows // tile_rows)
         if parts == 1 and filled + rows <= tile_rows:
-            old = ranges[-1]
-            ranges[-1] = (old[0], k, min(old[2], ones), max(old[3], ones))
+            ranges[-1] = (ranges[-1][0], ones)
             filled += rows
-            places.append((k, ones, len(ranges) - 1, 1))
+            places.append((ones, len(ranges) - 1, 1))
         else:
-            places.append((k, ones, len(ranges), parts))
-            ranges += [(k, k, ones, ones)] * parts
+            places.append((ones, len(ranges), parts))
+            ranges += [(ones, ones)] * parts
             filled = rows if parts == 1 else tile_rows
-    return places, ranges
+    return places, np.array(ranges, np.int64).reshape(-1, 2)
 
 
-def tile_pairs(ranges: list[tuple[int, int, int, int]], radius: int, class_reach: int) -> np.ndarray:
-    """Pairs (i <= j) of tiles that may hold a match."""
-    at = np.array(ranges).reshape(-1, 4)
-    out = []
-    for i in range(len(at)):
-        rest = at[i:]
-        apart = np.maximum(rest[:, 0] - at[i, 1], at[i, 0] - rest[:, 1]) > class_reach
-        apart |= np.maximum(rest[:, 2] - at[i, 3], at[i, 2] - rest[:, 3]) > radius
-        j = np.flatnonzero(~apart) + i
-        out.append(np.stack([np.full(len(j), i), j], axis=1))
-    return np.concatenate(out) if out else np.zeros((0, 2), int)
+def last_partner(ranges: np.ndarray, radius: int) -> np.ndarray:
+    """For each tile the last one that may hold a match; all from itself on to that one may, as both counts ascend."""
+    return np.searchsorted(ranges[:, 0], ranges[:, 1] + radius, "right") - 1
 
 
-def pair_edges(prints: DataFrame, radius: int = RADIUS, size_ratio: float = SIZE_RATIO, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(u, v): edges whose components are those of all near pairs. prints: (id, fp_hi, fp_lo, size), one row a fingerprint."""
+def pair_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
+    """(u, v, links): edges whose components are those of all near pairs, and rows without v that number u's links.
+
+    prints: (id, fp_0, fp_1, fp_2, copies), one row a fingerprint, saved.
+    """
     spark = prints.sparkSession
-    # the class is a step of a quarter of the ratio, so sizes within the ratio are at most 5 classes apart
-    width = math.log(size_ratio) / 4
-    cell = prints.withColumn("k", F.floor(F.log("size") / width).cast("int")).withColumn("ones", (F.bit_count("fp_hi") + F.bit_count("fp_lo")).cast("int"))
-    # at most 129 counts times the classes of 31-bit sizes: the rows gathered here don't grow with the data
-    cells = [tuple(r) for r in cell.groupBy("k", "ones").count().collect()]
+    cell = prints.withColumn("ones", sum((F.bit_count(c) for c in PRINT[1:]), F.bit_count(PRINT[0])).cast("int"))
+    # a row for each population count, of which there are at most 193
+    cells = [tuple(r) for r in cell.groupBy("ones").count().collect()]
+    tile_rows = tile_rows or min(MOST_TILE, max(LEAST_TILE, sum(n for _, n in cells) // 16))
     places, ranges = tiles(cells, tile_rows)
-    pairs = tile_pairs(ranges, radius, 5)
-    if not len(pairs):
-        return spark.createDataFrame([], "u long, v long")
-    place = spark.createDataFrame(places, "k int, ones int, tile int, parts int")
-    sides = np.concatenate([np.stack([pairs[:, 0], np.arange(len(pairs)), np.zeros(len(pairs), int)], axis=1), np.stack([pairs[:, 1], np.arange(len(pairs)), np.ones(len(pairs), int)], axis=1)[pairs[:, 0] != pairs[:, 1]]])
-    sides = spark.createDataFrame(pa.table({"tile": pa.array(sides[:, 0].astype(np.int32)), "pair": pa.array(sides[:, 1].astype(np.int64)), "side": pa.array(sides[:, 2].astype(np.int32))}))
-    tiled = cell.join(F.broadcast(place), ["k", "ones"]).select((F.col("tile") + F.pmod(F.xxhash64("fp_hi", "fp_lo", "size"), F.col("parts"))).cast("int").alias("tile"), "fp_hi", "fp_lo", "id", "size")
+    if not places:
+        return spark.createDataFrame([], "u long, v long, links long")
+    place = spark.createDataFrame(places, "ones int, tile int, parts int")
+    last = last_partner(ranges, radius)
+    number = int((last - np.arange(len(last)) + 1).sum())
+    # the pairs are made in Spark: the driver holds a row for each tile only
+    reach = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(last))), "last": pa.array(last)}))
+    pairs = reach.select("i", F.explode(F.sequence("i", "last")).alias("j")).withColumn("pair", F.col("i") * len(last) + F.col("j"))
+    sides = pairs.select(F.col("i").alias("tile"), "pair", F.lit(0).alias("side")).unionByName(pairs.where("j > i").select(F.col("j").alias("tile"), "pair", F.lit(1).alias("side")))
+    tiled = cell.join(F.broadcast(place), "ones").select((F.col("tile") + F.pmod(F.xxhash64(*PRINT), F.col("parts"))).cast("long").alias("tile"), *PRINT, "id", "copies")
 
     def pack(table: pa.Table) -> pa.Table:
         rows = np.empty(len(table), _ROW)
-        for name, column in (("hi", "fp_hi"), ("lo", "fp_lo"), ("id", "id"), ("size", "size")):
-            rows[name] = table[column].to_numpy().view(np.uint64) if name in ("hi", "lo") else table[column].to_numpy()
+        for name in _ROW.names:
+            rows[name] = table[name].to_numpy().view(_ROW[name])
         return pa.table({"tile": table["tile"][:1], "rows": pa.array([rows.tobytes()], pa.binary())})
 
-    packed = tiled.groupBy("tile").applyInArrow(pack, "tile int, rows binary")
+    packed = tiled.groupBy("tile").applyInArrow(pack, "tile long, rows binary")
 
     def meet(table: pa.Table) -> pa.Table:
         found = dict(zip(table["side"].to_pylist(), table["rows"], strict=True))
         a, b = (np.frombuffer(found[s].as_buffer(), _ROW) if s in found else None for s in (0, 1))
-        u, v = compare(a, b, radius, size_ratio)
-        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+        u, v, linked, links = compare(a, b, radius)
+        return pa.table({"u": pa.array(np.concatenate([u, linked])), "v": pa.concat_arrays([pa.array(v), pa.nulls(len(linked), pa.int64())]), "links": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(links)])})
 
     # a task per pair or few: the comparison is the work here, so the number is asked for and not left to row sizes
-    tasks = min(len(pairs), 4096)
-    return packed.join(sides, "tile").select("pair", "side", "rows").repartition(tasks, "pair").groupBy("pair").applyInArrow(meet, "u long, v long")
+    tasks = min(number, 4096)
+    return packed.join(sides, "tile").select("pair", "side", "rows").repartition(tasks, "pair").groupBy("pair").applyInArrow(meet, "u long, v long, links long")
 
 
-def duplicates(docs: DataFrame, radius: int = RADIUS, size_ratio: float = SIZE_RATIO, tile_rows: int = TILE_ROWS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, keep_id): every document that goes, with the one of its group that stays."""
+def classes(docs: DataFrame, radius: int = RADIUS, tile_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, class_id, n_links): every document, the least id of its class, and the number of documents within the radius."""
     saved = common.Saved(docs.sparkSession, "simhash")
-    own = fingerprints(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct("size", "fp_hi", "fp_lo")).alias("p")).select("doc_id", "p.*")
+    own = fingerprints(docs, id_col, text_col).groupBy("doc_id").agg(F.min(F.struct((F.col("size") == 0).alias("blank"), "size", *PRINT)).alias("p")).select("doc_id", "p.*")
     own = saved.put(own, "prints")
-    folded = saved.put(own.groupBy("fp_hi", "fp_lo", "size").agg(F.min("doc_id").alias("id")), "folded")
-    groups = common.components(pair_edges(folded, radius, size_ratio, tile_rows), saved)
-    first = own.join(folded, ["fp_hi", "fp_lo", "size"]).select("doc_id", "id")
-    return first.join(groups, F.col("id") == F.col("u"), "left").select("doc_id", F.coalesce("v", "id").alias("keep_id")).where("doc_id <> keep_id")
+    # texts that are blank are told apart from a fingerprint of zeros
+    folded = saved.put(own.where("not blank").groupBy(*PRINT).agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "folded")
+    found = saved.put(pair_links(folded, radius, tile_rows), "links")
+    groups = common.components(found.where("v is not null").select("u", "v"), saved)
+    links = found.where("v is null").groupBy(F.col("u").alias("l_id")).agg(F.sum("links").alias("links"))
+    # each fingerprint's class and links, at its own size, then a join by fingerprint: a hot one has a row a document there
+    judged = folded.join(groups, F.col("id") == F.col("u"), "left").join(links, F.col("id") == F.col("l_id"), "left")
+    judged = judged.select(*PRINT, F.coalesce("v", "id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    whole = own.where("not blank").join(judged, list(PRINT)).select("doc_id", "class_id", "n_links")
+    return whole.unionByName(own.where("blank").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links")))
 
 
 #: Ids of documents that go, in bytes, up to which they are broadcast; more of them are joined by a shuffle.
@@ -253,8 +262,8 @@ BROADCAST_BYTES = 32 << 20
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """docs, one document of each group: the columns of documents, texts as they were."""
+    """docs, one document of each class: the columns of documents, texts as they were."""
     saved = common.Saved(docs.sparkSession, "dropped")
-    gone = saved.put(duplicates(docs, **options).select("doc_id"), "gone")
+    gone = saved.put(classes(docs, **options).where("doc_id <> class_id").select("doc_id"), "gone")
     small = gone.count() * 16 <= BROADCAST_BYTES
     return common.documents(docs).join(F.broadcast(gone) if small else gone, "doc_id", "left_anti")
