@@ -14,7 +14,7 @@ from vellumspark.llm import mixing, packing
 
 
 def slow_mix(rows, weights, targets, budget, seed=mixing.SEED):
-    """rows: (id, source, tokens). Copies by id."""
+    """rows: (id, source, tokens), a text of so many w. Copies by id."""
     per = defaultdict(int)
     for _, s, n in rows:
         per[s] += n
@@ -26,11 +26,12 @@ def slow_mix(rows, weights, targets, budget, seed=mixing.SEED):
         room = math.floor(budget * round(targets[s] / whole, 9))
         epochs, room = divmod(room, have)
 
-        def key(i):
-            u = (int(hashlib.md5(f"{seed}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        def key(i, n):
+            text = hashlib.md5(("w " * n).encode()).hexdigest()
+            u = (int(hashlib.md5(f"{seed}:{i}:{text}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
             return -math.log(u) / weights.get(i, 1.0)
 
-        own, run, going = sorted((key(i), i, n) for i, t, n in rows if t == s), 0, True
+        own, run, going = sorted((key(i, n), i, n) for i, t, n in rows if t == s), 0, True
         for _, i, n in own:
             run += n
             going &= run <= room
@@ -39,12 +40,12 @@ def slow_mix(rows, weights, targets, budget, seed=mixing.SEED):
     return out
 
 
-@pytest.mark.parametrize("ranges", [1, 7, 4096])
+@pytest.mark.parametrize("ranges", [0, 1, 1024])
 @pytest.mark.parametrize("budget", [0, 500, 5000, 20000])
 def test_mix_is_the_plain_loop(spark, ranges, budget):
     rng = random.Random(budget)
     rows = [(k, rng.choice("aaaab"), rng.randint(0, 30)) for k in range(400)] + [(900, "zero", 0), (901, "untold", 5)]
-    weights = {k: rng.choice([0.2, 1.0, 3.0]) for k in range(0, 400, 2)}
+    weights = {k: rng.choice([0.01, 0.2, 1.0, 3.0]) for k in range(0, 400, 2)}
     docs = spark.createDataFrame([(i, s, "w " * n) for i, s, n in rows], "doc_id long, source string, text string")
     w = spark.createDataFrame(list(weights.items()), "doc_id long, weight double")
     targets = {"a": 1.0, "b": 2.0, "zero": 1.0}
@@ -70,6 +71,29 @@ def test_mix_awkward(awkward, crowded, empty, spark):
     assert mixing.sample(empty, w).count() == mixing.mix_documents(empty, w).count() == 0
 
 
+def test_ranges_are_even_for_every_weight(spark):
+    from pyspark.sql import functions as F
+
+    drawn = spark.range(20_000).select(F.lit("s").alias("s"), F.lit("s").alias("source"), F.col("id").alias("doc_id"), F.lit("h").alias("h"), F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("m"))
+    for weight in (100.0, 1.0, 0.1, 0.01, 1e-6):
+        key = -F.log(mixing.draw(F.col("doc_id"), F.col("h"), 1)) / weight
+        most = drawn.select(F.floor(F.log(key) * mixing.RANGES).alias("r")).groupBy("r").count().agg(F.max("count")).first()[0]
+        assert most <= 30
+
+
+def test_repeated_rows_stay_within_the_budget(spark):
+    """A third of all rows are one row, another third one id with texts of its own, and some have no id."""
+    rows = [(7, "same words here", "en", "s", 1)] * 100 + [(8, "text w" + " w" * (k % 9) + str(k), "en", "s", 1) for k in range(100)] + [(None, f"no id {k}", "en", "s", 1) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    none = spark.createDataFrame([], "doc_id long, weight double")
+    whole = sum(len(r[1].split()) for r in rows)
+    for budget in (0, 50, 301, whole - 1, whole, whole + 77, 3 * whole):
+        got = Counter((r.doc_id, r.text) for r in mixing.mix_documents(docs, none, targets={"s": 1.0}, budget_tokens=budget).collect())
+        taken = sum(len(t.split()) * n for (_, t), n in got.items())
+        assert taken <= budget and taken >= budget - 300 - 20
+        assert got[(7, "same words here")] % 100 == 0
+
+
 def test_copies_are_rows(spark):
     docs = spark.createDataFrame([(1, "one two", "en", "a", 7), (2, "x", "en", "b", 1)], "doc_id long, text string, lang string, source string, n_chars long")
     w = spark.createDataFrame([], "doc_id long, weight double")
@@ -160,6 +184,19 @@ def test_pack_awkward(awkward, crowded, empty):
         packing.pack(awkward, 0)
 
 
+def test_rows_without_an_id_or_of_one_id_are_spread(spark):
+    docs = spark.createDataFrame([(None, "w " * (1 + k % 90)) for k in range(2000)] + [(5, "w " * (1 + k % 70)) for k in range(1000)], "doc_id long, text string")
+    rows = packing.pack(docs, 100, 20).collect()
+    shards = Counter(r.bin_id >> 32 for r in rows)
+    assert len(shards) > 40 and max(shards.values()) < 200
+    for i, n in ((None, 2000), (5, 1000)):
+        assert sorted({r.copy for r in rows if r.doc_id == i}) == list(range(n))
+    fill = Counter()
+    for r in rows:
+        fill[r.bin_id] += r.n_tokens
+    assert max(fill.values()) <= 100 and sum(fill.values()) == sum(1 + k % 90 for k in range(2000)) + sum(1 + k % 70 for k in range(1000))
+
+
 def test_steps_into_the_emptier_bin():
     sizes = [5] * 12 + [59]
     done = packing.local_search([list(range(12)), [12]], sizes, 100)

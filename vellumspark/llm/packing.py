@@ -3,16 +3,18 @@
 Documents are cut into full sequences of `capacity` tokens and a rest; full pieces are bins of their own. Rests are
 packed by best fit, longest first. Then the local search works on the bins that aren't full: it moves a rest to another
 bin, exchanges one for one, or two for one, whenever that increases the sum of squared fills, until bins are empty or no
-such step is left: the fuller bin grows, or the emptier one by more than the fuller one's lead. Every step raises the sum, which is bounded, so the
-search ends by itself; there is no limit on steps.
+such step is left: the fuller bin grows, or the emptier one by more than the fuller one's lead. Every step raises the sum,
+which is bounded, so the search ends by itself; there is no limit on steps.
 
-Packing is done shard by shard: a document's shard is a hash of its id, and there are as many shards as the tokens ask
-for, so a shard has about `shard_bins` bins at any size of the data. At most one bin a shard is left that a whole-corpus
-packing could save, less than 1 in shard_bins.
+Packing is done shard by shard: a row's shard is a hash of its id and of its place in the saved table of lengths, so rows
+without an id, or of one id, lie in all shards. There are as many shards as the tokens ask for, so a shard has about
+`shard_bins` bins at any size of the data. At most one bin a shard is left that a whole-corpus packing could save, less than 1
+in shard_bins.
 
 Tokens are runs of characters other than white space. Defined results: null and empty texts have no tokens and no row.
 Documents without an id are packed under a null id. Rows that repeat an id are packed each, told apart by `copy` (0, 1,
-...). Ties in length go by id, then copy. Extra columns are ignored. No documents give no bins.
+...). Ties in length go by id, then copy. Which bin a row is in hangs on the order in which the table is read; a bin is never
+overfull, and no row is lost. Extra columns are ignored. No documents give no bins.
 """
 
 from __future__ import annotations
@@ -141,15 +143,30 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS
     if capacity < 1 or shard_bins < 1:
         raise ValueError("capacity and shard_bins must be 1 or more")
     rows = common.pick(docs, doc_id=id_col, t=text_col).select(F.col("doc_id").cast("long"), mixing.tokens(F.col("t").cast("string")).alias("n")).where("n > 0")
-    # lengths are a few bytes a document: saved, so that the texts are read once for the total and the packing
-    rows = common.Saved(docs.sparkSession, "packing").put(rows, "lengths")
+    # lengths are a few bytes a document: saved, so that the texts are read once and a row keeps its place
+    rows = common.Saved(docs.sparkSession, "packing").put(rows.withColumn("at", F.monotonically_increasing_id()), "lengths")
     total = F.broadcast(rows.agg(F.ceil(F.sum("n") / F.lit(float(capacity) * shard_bins)).cast("long").alias("shards")))
-    rows = rows.crossJoin(total).select("doc_id", "n", F.pmod(F.xxhash64("doc_id"), "shards").alias("shard"))
-    # rows that repeat an id lie in one shard
-    rows = rows.withColumn("copy", (F.row_number().over(Window.partitionBy("shard", "doc_id").orderBy("n")) - 1).cast("long"))
-
-    def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("doc_id", "ascending"), ("copy", "ascending")])
+    rows = rows.crossJoin(total).select("doc_id", "n", "at", F.pmod(F.xxhash64("doc_id", "at"), "shards").alias("shard"))
+    # copies are numbered over the shards: a hot id has a row a shard here, whatever its rows are
+    before = F.sum("count").over(Window.partitionBy("doc_id").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = rows.groupBy("shard", "doc_id").count().withColumn("before", before).where("before > 0").select("shard", "doc_id", "before").toDF("in_shard", "of", "before")
+
+    def numbered(table: pa.Table, ahead: pa.Table) -> pa.Table:
+        """The shard's rows by id and length, with copy: their number among those of their id."""
+        table = table.sort_by([("doc_id", "ascending"), ("n", "ascending"), ("at", "ascending")])
+        # a null id is told from the number that stands in its place
+        told = lambda c: (c.fill_null(0).to_numpy(), c.is_null().to_numpy())
+        ids, empty = told(table["doc_id"])
+        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (empty[1:] != empty[:-1])]))
+        copy = np.arange(len(ids)) - np.repeat(first, np.diff(np.append(first, len(ids))))
+        earlier = dict(zip(zip(*(x.tolist() for x in told(ahead["of"])), strict=True), ahead["before"].to_pylist(), strict=True))
+        if earlier:
+            offset = np.array([earlier.get(k, 0) for k in zip(ids[first].tolist(), empty[first].tolist(), strict=True)])
+            copy = copy + np.repeat(offset, np.diff(np.append(first, len(ids))))
+        return table.append_column("copy", pa.array(copy))
+
+    def run(table: pa.Table, ahead: pa.Table) -> pa.Table:
+        table = numbered(table, ahead)
         n = table["n"].to_numpy()
         full, rest = n // capacity, n % capacity
         owner = np.repeat(np.arange(len(n)), full)
@@ -174,4 +191,4 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard_bins: int = SHARD_BINS
             }
         )
 
-    return rows.groupBy("shard").applyInArrow(run, "bin_id long, place int, doc_id long, copy long, first_token long, n_tokens long")
+    return rows.groupBy("shard").cogroup(ahead.groupBy("in_shard")).applyInArrow(run, "bin_id long, place int, doc_id long, copy long, first_token long, n_tokens long")
