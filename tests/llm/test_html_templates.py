@@ -1,8 +1,12 @@
-"""Templates against counts made by hand, the parser, and both ways of removal."""
+"""Templates against a plain twin, the parser, and both ways of removal."""
+
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.llm import plain_html
 from vellumspark.llm import html_templates as ht
 
 
@@ -12,7 +16,7 @@ def page(k, nav="<nav><ul><li>Home</li><li>News</li></ul></nav>", foot="<footer>
 
 @pytest.fixture(scope="module")
 def pages(spark):
-    rows = [(k, f"http://A.example/{k}", page(k)) for k in range(20)] + [(100 + k, "https://user@b.example:8080/x", page(k, foot=f"<footer>{k}</footer>")) for k in range(5)]
+    rows = [(k, f"http://A.example/{k}", page(k)) for k in range(20)] + [(100 + k, f"https://user@b.example:8080/x{k}", page(k, foot=f"<footer>{k}</footer>")) for k in range(5)]
     rows += [(200, None, page(1)), (201, "nonsense", page(1)), (202, "http://a.example/z", None), (203, "http://a.example/z", ""), (None, "http://a.example/n", page(300)), (0, "http://a.example/0", page(0))]
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 
@@ -37,16 +41,65 @@ def test_both_ways_agree(pages):
     assert texts(ht.extract(pages, min_pages=4)) == texts(ht.extract(pages, min_pages=4, broadcast_templates=0))
 
 
-def test_counts_are_brute_force(pages):
-    from collections import Counter
-
-    count = Counter()
-    for r in pages.collect():
-        if r.html and (r.url or "").lower().startswith("http://a.example"):
-            count.update({n.digest for n in ht.parse(r.html)[1] if n.tag not in ht._KEPT})
-    rows = ht._pages(pages, "page_id", "url", "html")
-    got = ht.page_keys(rows).where("host = 'a.example'").groupBy("key").count().collect()
-    assert sorted(r["count"] for r in got) == sorted(count.values())
+@pytest.mark.parametrize(("min_pages", "min_share"), [(3, 0.1), (2, 0.0), (5, 0.3)])
+def test_pages_are_the_plain_twin(spark, pages, min_pages, min_share):
+    for df in (pages, spark.read.parquet("/root/testdata/sf0.01/pages.parquet")):
+        want = plain_html.slow_extract([tuple(r) for r in df.select("page_id", "url", "html").collect()], min_pages, min_share)
+        assert texts(ht.extract(df, min_pages, min_share)) == want
+
+
+def fuzz(rng):
+    tags = "p div b a ul li table tr td script br hr span nav h1 dl dt dd button textarea head".split()
+    odd = ["x", "word ", " &amp; ", "<!-- c -->", "<", "<!-- open", "<![CDATA[q]]>", '"', "<a href='x", "\n", "\0"]
+    out = ""
+    for _ in range(rng.randint(1, 25)):
+        k, t = rng.random(), rng.choice(tags)
+        out += f"<{t}>" if k < 0.45 else f"</{t}>" if k < 0.75 else rng.choice(odd)
+    return out
+
+
+def test_broken_pages_are_the_plain_twin():
+    import numpy as np
+
+    rng = random.Random(3)
+    for _ in range(1500):
+        page = fuzz(rng)
+        root, _ = plain_html.parse(page)
+        nodes, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            nodes.append(node)
+            todo += [x for x in reversed(node.parts[1:]) if isinstance(x, plain_html.Node)]
+        made = ht.parse(page)
+        assert made.tag == [n.tag for n in nodes]
+        gone = np.array([False, *(rng.random() < 0.3 for _ in nodes[1:])])
+        text, n = ht.text_of(ht.unpacked(*ht.packed(made)), gone)
+        slow, m = plain_html.text_of(root, {id(x) for x, g in zip(nodes, gone, strict=True) if g})
+        assert (text, n) == (slow.replace("\0", "\ufffd"), m), page
+        same = {}
+        for node, digest in zip(nodes[1:], made.digest[1:], strict=True):
+            assert same.setdefault(digest, node.same) == node.same
+
+
+def test_parsing_takes_time_in_proportion():
+    def took(page):
+        began = time.thread_time()
+        ht.text_of(ht.parse(page))
+        return time.thread_time() - began
+
+    for shape in ("<div>", "<p><button><div></b>", "<a ", "<!x ", "<table><tr><td><p>", "</div>x", "<script>", "<ul><li>", '<a ">'):
+        one, four = (min(took(shape * n) for _ in range(3)) for n in (10_000, 40_000))
+        assert four < 9 * max(one, 0.005), shape
+
+
+def test_a_page_crawled_again_is_one_page(spark):
+    """Rows of one payload, and of one url with changes, on a host that has nothing else in common."""
+    article = "<body><h1>Head</h1><p>The whole article.</p>{}</body>"
+    rows = [(k, "http://g.example/one", article.format("")) for k in range(8)]
+    rows += [(100 + k, f"http://h.example/{k}", article.format("")) for k in range(8)]
+    rows += [(200 + k, "http://i.example/one", article.format(f"<i>seen {k} times</i>")) for k in range(8)]
+    got = {r.page_id: r for r in ht.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(r.text.startswith("Head\nThe whole article.") and not r.n_removed for r in got.values()) and len(got) == 24
 
 
 @pytest.mark.parametrize(
@@ -68,16 +121,16 @@ def test_counts_are_brute_force(pages):
     ],
 )
 def test_text(html, text):
-    assert ht.text_of(ht.parse(html)[0], set())[0] == text
+    assert ht.text_of(ht.parse(html))[0] == text
 
 
 def test_deep_pages():
-    root, closed = ht.parse("<div>" * 20_000 + "x")
-    assert len(closed) == 20_000 and ht.text_of(root, set())[0] == "x"
+    page = ht.parse("<div>" * 20_000 + "x")
+    assert len(page.tag) == 20_001 and ht.text_of(page)[0] == "x"
 
 
 def test_hash_sees_structure():
-    h = lambda s: ht.parse(s)[1][-1].digest
+    h = lambda s: ht.parse(s).digest[1]
     assert h("<p>a  b</p>") == h("<p>a\nb</p>") and h("<p>a</p>") != h("<div>a</div>")
     assert h("<p>a<b>c</b></p>") != h("<p>ac</p>") and h("<p class=x>a</p>") != h("<p>a</p>")
 

@@ -1,11 +1,15 @@
 """Site template removal from web pages: subtrees that recur across many pages of a host go, the rest becomes text.
 
 Every element's subtree has a hash made of its tag, its attributes, its text (blanks folded) and its children's hashes.
-Spark counts, by host, on how many distinct pages (by a hash of the page) each hash occurs. A subtree is a template where
-that is at least `min_pages` and at least `min_share` of the host's distinct pages; the outermost template subtrees of a
-page are deleted. html, head, body and void elements are never templates themselves, and an inline element stays where the
-block that holds it stays and has words of its own. What is left of the body is written as text: block elements end lines, blanks are folded,
-entities are decoded; script, style, template and noscript have no text.
+Spark counts, by host, on how many distinct pages each hash occurs: pages of one payload are one page, and so are pages of
+one url. A subtree is a template where that is at least `min_pages` and at least `min_share` of the host's distinct pages;
+the outermost template subtrees of a page are deleted. html, head, body and void elements are never templates themselves,
+and an inline element stays where the block that holds it stays and has words of its own. What is left of the body is
+written as text: block elements end lines, blanks are folded, entities are decoded; script, style, template and noscript
+have no text.
+
+A page is parsed once, from left to right in time proportional to its length: what comes out is its pieces of text and, for
+each element, its hash and the pieces it spans. That is saved; counting reads the hashes, deletion the rest.
 
 The parser follows HTML's habits as far as text needs: void elements, script and style as raw text, comments, omitted
 end tags of p, li, dt, dd, option, tr, td and th, end tags without a start ignored, elements left open closed at the end.
@@ -22,10 +26,14 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
@@ -43,7 +51,6 @@ _RAW = frozenset(("script", "style", "noscript", "template", "textarea", "title"
 _SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
 _KEPT = frozenset(("html", "head", "body"))
 _BLOCK = frozenset("address article aside blockquote body dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
-_INLINE_BREAK = frozenset(("br", "hr"))
 #: A start tag closes these open elements, if no element of the second set lies between.
 _CLOSES = {t: (frozenset(("p",)), frozenset(("table", "button"))) for t in "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()}
 _CLOSES |= {
@@ -58,130 +65,176 @@ _CLOSES |= {
 _BLANKS = re.compile(r"[ \t\n\r\f\v]+")
 
 
-class Node:
-    """An element: parts are its attributes' key, texts and child nodes in order."""
+#: Kinds of elements.
+_OTHER, _IS_BLOCK, _IS_SILENT = 0, 1, 2
+_KIND = {tag: _IS_BLOCK for tag in _BLOCK} | {tag: _IS_SILENT for tag in _SILENT}
+_OWNERLESS = -1
+
+
+@dataclass
+class Page:
+    """A parsed page. tokens: texts (decoded, blanks folded) and line ends, in order, and the element that holds each.
 
-    __slots__ = ("digest", "parts", "tag")
+    By element, in the order in which they start: tag, digest, parent, kind, and the tokens [start, end) that it spans, its
+    own line ends included. Element 0 is the page itself.
+    """
 
-    def __init__(self, tag: str, attributes: str):
-        self.tag, self.parts, self.digest = tag, [attributes], b""
+    tokens: list[str]
+    owner: list[int]
+    tag: list[str]
+    digest: list[int]
+    parent: list[int]
+    kind: list[int]
+    start: list[int]
+    end: list[int]
 
-    def close(self) -> None:
-        """All children are closed."""
-        h = xxhash.xxh3_64(self.tag)
-        for part in self.parts:
-            h.update(b"\x01" + part.digest if isinstance(part, Node) else b"\x00" + _BLANKS.sub(" ", part).encode("utf-8", "surrogatepass"))
-        self.digest = h.digest()
 
+#: What swallows the rest of a page that doesn't close it.
+_OPEN_END = re.compile(r"<!--|<!\[CDATA\[")
 
-def parse(page: str) -> tuple[Node, list[Node]]:
-    """The root, and all elements in the order in which they close."""
-    root = Node("#root", "")
-    stack, closed = [root], []
-    at = 0
+
+def parse(page: str) -> Page:
+    tokens, owner, tags, digests, parents, kinds, starts, ends = [], [], ["#root"], [0], [_OWNERLESS], [_OTHER], [0], [0]
+    parts: list[list[str]] = [[]]  # of each open element: what its hash is made of
+    stack = [0]
+    depths: defaultdict[str, list[int]] = defaultdict(list)  # the depths at which each tag is open, ascending
+    silent = 0  # open elements without text
+    at, stop = 0, page.rfind(">") + 1
+
+    def add(text: str) -> None:
+        folded = _BLANKS.sub(" ", text)
+        parts[-1].append("\0" + folded)
+        if not silent:
+            tokens.append(_BLANKS.sub(" ", html.unescape(text)) if "&" in text else folded)
+            owner.append(stack[-1])
 
     def close_to(depth: int) -> None:
+        nonlocal silent
         while len(stack) > depth:
-            node = stack.pop()
-            node.close()
-            closed.append(node)
-
-    while match := _TOKEN.search(page, at):
-        if match.start() > at:
-            stack[-1].parts.append(page[at : match.start()])
-        at = match.end()
-        end, tag, attributes = (match[1], match[2], match[3]) if match[2] else (match[4], match[5], match[6])
-        if not tag:
-            if match[0].startswith("<![CDATA["):
-                stack[-1].parts.append(match[0][9:].removesuffix("]]>"))
-            continue
+            own = stack[-1]
+            kind, tag = kinds[own], tags[own]
+            if kind == _IS_SILENT:
+                silent -= 1
+            elif (kind == _IS_BLOCK or tag == "br") and not silent:
+                tokens.append("\n")
+                owner.append(own)
+            stack.pop()
+            depths[tag].pop()
+            ends[own] = len(tokens)
+            digest = digests[own] = xxhash.xxh3_64_intdigest("".join(parts.pop()).encode("utf-8", "surrogatepass"))
+            parts[-1].append(f"\1{digest:x}")
+
+    while match := _TOKEN.search(page, at, stop):
+        first, last = match.span()
+        if first > at:
+            add(page[at:first])
+        at = last
+        end, tag, attributes, end_2, tag_2, attributes_2 = match.groups()
+        if tag is None:
+            end, tag, attributes = end_2, tag_2, attributes_2
+            if tag is None:
+                if page.startswith("<![CDATA[", first):
+                    if not page.endswith("]]>", first, last):
+                        at = len(page)
+                    add(page[first + 9 : at].removesuffix("]]>"))
+                elif page.startswith("<!--", first) and not page.endswith("-->", first, last):
+                    at = len(page)
+                continue
         tag = tag.lower()
         if end:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].tag == tag:
-                    close_to(depth)
-                    break
+            if depths[tag]:
+                close_to(depths[tag][-1])
             continue
         if tag in _CLOSES:
             own, walls = _CLOSES[tag]
-            depth = None
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in walls:
-                    break
-                if stack[k].tag in own:
-                    depth = k
-            if depth is not None:
-                close_to(depth)
-        node = Node(tag, attributes.rstrip("/").strip())
-        stack[-1].parts.append(node)
+            if any(depths[t] for t in own):
+                wall = max((depths[w][-1] for w in walls if depths[w]), default=0)
+                least = min((x[k] for t in own if (x := depths[t]) and (k := bisect_right(x, wall)) < len(x)), default=None)
+                if least is not None:
+                    close_to(least)
+        kind = _KIND.get(tag, _OTHER)
+        new = len(tags)
+        tags.append(tag)
+        parents.append(stack[-1])
+        kinds.append(kind)
+        starts.append(len(tokens))
+        ends.append(0)
+        digests.append(0)
+        parts.append([tag, "\0", _BLANKS.sub(" ", attributes.rstrip("/").strip()) if attributes else ""])
+        depths[tag].append(len(stack))
+        stack.append(new)
+        if kind == _IS_SILENT:
+            silent += 1
+        elif (kind == _IS_BLOCK or tag == "br") and not silent:
+            tokens.append("\n")
+            owner.append(new)
         if tag in _VOID or (attributes.endswith("/") and tag not in _RAW):
-            node.close()
-            closed.append(node)
-            continue
-        stack.append(node)
-        if tag in _RAW:
-            stop = re.compile(rf"</{re.escape(tag)}(?=[\s/>])", re.I).search(page, at)
-            node.parts.append(page[at : stop.start() if stop else len(page)])
-            at = stop.start() if stop else len(page)
+            close_to(len(stack) - 1)
+        elif tag in _RAW:
+            found = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
+            last = found.start() if found else len(page)
+            if last > at:
+                add(page[at:last])
+            at = last
     if at < len(page):
-        stack[-1].parts.append(page[at:])
+        rest = page[at:]
+        while opened := _OPEN_END.search(rest):
+            if opened.start():
+                add(rest[: opened.start()])
+            rest = "" if opened[0] == "<!--" else rest[opened.end() :]
+        if rest:
+            add(rest)
     close_to(1)
-    return root, closed
+    ends[0] = len(tokens)
+    return Page(tokens, owner, tags, digests, parents, kinds, starts, ends)
 
 
-def _running(root: Node, gone: set[int]) -> set[int]:
+def _running(page: Page, gone: np.ndarray) -> np.ndarray:
     """Inline elements of gone that lie in running text: in a block that stays and has words outside of gone elements."""
-    words: set[int] = set()
-    inline: list[tuple[int, int]] = []
-    todo = [(root, id(root), True)]
-    while todo:
-        item, block, kept = todo.pop()
-        for part in item.parts[1:]:
-            if isinstance(part, str):
-                if kept and block not in words and any(c.isalnum() for c in html.unescape(part)):
-                    words.add(block)
-            elif part.tag in _BLOCK:
-                if id(part) not in gone:
-                    todo.append((part, id(part), True))
-            elif part.tag not in _SILENT:
-                if id(part) in gone:
-                    inline.append((id(part), block))
-                todo.append((part, block, kept and id(part) not in gone))
-    return {node for node, block in inline if block in words}
-
-
-def text_of(root: Node, gone: set[int]) -> tuple[str, int]:
-    """Text of what isn't deleted, and the number of deleted subtrees. gone: ids of nodes to delete."""
-    out: list[str] = []
-    removed = 0
-    gone = gone - _running(root, gone) if gone else gone
-    todo: list[Node | str] = [root]
-    while todo:
-        item = todo.pop()
-        if isinstance(item, str):
-            out.append(item)
-            continue
-        if id(item) in gone:
-            removed += 1
-            out.append("\n" if item.tag in _BLOCK else " ")
-            continue
-        if item.tag in _SILENT:
-            continue
-        edge = "\n" if item.tag in _BLOCK or item.tag in _INLINE_BREAK else ""
-        todo.append(edge)
-        for part in reversed(item.parts[1:]):
-            todo.append(part if isinstance(part, Node) else _BLANKS.sub(" ", html.unescape(part)))
-        todo.append(edge)
+    n = len(page.tag)
+    block, kept, dead = [0] * n, [True] * n, [False] * n
+    for k in range(1, n):
+        p = page.parent[k]
+        is_block = page.kind[k] == _IS_BLOCK
+        dead[k] = dead[p] or page.kind[k] == _IS_SILENT or (is_block and bool(gone[k]))
+        block[k] = k if is_block else block[p]
+        kept[k] = not gone[k] and (is_block or kept[p])
+    words = {block[o] for o, text in zip(page.owner, page.tokens, strict=True) if kept[o] and not dead[o] and any(map(str.isalnum, text))}
+    return np.array([k for k in np.flatnonzero(gone) if not dead[k] and page.kind[k] == _OTHER and block[k] in words], np.int64)
+
+
+def text_of(page: Page, gone: np.ndarray | None = None) -> tuple[str, int]:
+    """Text of what isn't deleted, and the number of deleted subtrees. gone: by element, whether it is to be deleted."""
+    out, removed, at = [], 0, 0
+    if gone is not None and gone.any():
+        gone = gone.copy()
+        gone[_running(page, gone)] = False
+        inside = [False] * len(page.tag)
+        for k in range(1, len(page.tag)):
+            if inside[page.parent[k]]:
+                inside[k] = True
+                continue
+            if gone[k]:
+                removed += 1
+                inside[k] = True
+                out += page.tokens[at : page.start[k]]
+                out.append("\n" if page.kind[k] == _IS_BLOCK else " ")
+                at = page.end[k]
+            elif page.kind[k] == _IS_SILENT:
+                inside[k] = True
+    out += page.tokens[at:]
     lines = (_BLANKS.sub(" ", line).strip() for line in "".join(out).split("\n"))
     return "\n".join(line for line in lines if line), removed
 
 
-def _keys(host: str, closed: list[Node]) -> np.ndarray:
-    """A key of host and hash for each element; 0 for those that may not be templates."""
+def keys_of(host: str, page: Page) -> np.ndarray:
+    """A key of host and hash for each element but the page itself; 0 for those that may not be templates."""
     seed = xxhash.xxh3_64_intdigest(host)
-    own = np.frombuffer(b"".join(n.digest for n in closed), ">u8").astype(np.uint64)
+    own = np.array(page.digest[1:], np.uint64)
     keys = common.mix(own ^ np.uint64(seed)).view(np.int64)
-    keys[[k for k, n in enumerate(closed) if n.tag in _KEPT or n.tag in _VOID]] = 0
+    if not host:
+        keys[:] = 0
+    keys[[k for k, tag in enumerate(page.tag[1:]) if tag in _KEPT or tag in _VOID]] = 0
     return keys
 
 
@@ -190,54 +243,81 @@ def host(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
 
 
-def _pages(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
-    return common.pick(pages, i=id_col, u=url_col, h=html_col).select(F.col("i").cast("long").alias("page_id"), host(F.col("u").cast("string")).alias("host"), F.col("h").cast("string").alias("html"))
+def packed(page: Page) -> tuple[str, bytes]:
+    """A page's tokens as one string, and the numbers of its elements and tokens."""
+    numbers = [len(page.tag), *page.parent, *page.kind, *page.start, *page.end, *page.owner]
+    return "\0".join(t.replace("\0", "\ufffd") for t in page.tokens), np.array(numbers, np.int32).tobytes()
+
 
+def unpacked(tokens: str, numbers: bytes) -> Page:
+    n, *rest = np.frombuffer(numbers, np.int32).tolist()
+    parent, kind, start, end = (rest[k * n : (k + 1) * n] for k in range(4))
+    owner = rest[4 * n :]
+    return Page(tokens.split("\0") if owner else [], owner, [""] * n, [], parent, kind, start, end)
 
-def page_keys(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
-    """(host, key, *extra) for each distinct subtree of each page that has a host. rows: (host, html, *extra)."""
-    common.tune(rows.sparkSession)
+
+def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page_id, host, page, url, keys, tokens, numbers): pages parsed; page and url are hashes of payload and url. To be saved."""
+    common.tune(pages.sparkSession)
+    rows = common.pick(pages, i=id_col, u=url_col, h=html_col).select(F.col("i").cast("long").alias("page_id"), F.col("u").cast("string").alias("u"), F.col("h").cast("string").alias("html"))
+    rows = rows.select("page_id", host(F.col("u")).alias("host"), F.xxhash64("html").alias("page"), F.xxhash64("u").alias("url"), "html")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, tokens, numbers = [], [], []
+            for name, text in zip(batch.column(1).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                page = parse(text or "")
+                keys.append(keys_of(name, page).tobytes())
+                said, told = packed(page)
+                tokens.append(said)
+                numbers.append(told)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(keys, pa.binary()), pa.array(tokens, pa.string()), pa.array(numbers, pa.binary())], names=["page_id", "host", "page", "url", "keys", "tokens", "numbers"])
+
+    return rows.mapInArrow(run, "page_id long, host string, page long, url long, keys binary, tokens string, numbers binary")
+
+
+def page_keys(rows: DataFrame, *extra: str) -> DataFrame:
+    """(host, key, *extra) for each distinct subtree of each row. rows: (host, keys, *extra)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found, count = [], []
-            for name, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                keys = np.unique(_keys(name, parse(page)[1]))
-                keys = keys[keys != 0]
-                found.append(keys)
-                count.append(len(keys))
-            if found:
-                row = pa.array(np.repeat(np.arange(len(count)), count))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.concatenate(found)), *[batch.column(2 + k).take(row) for k in range(len(extra))]], names=["host", "key", *extra])
+            found = [np.unique(np.frombuffer(k, np.int64)) for k in batch.column(1).to_pylist()]
+            row = pa.array(np.repeat(np.arange(len(found)), [len(k) for k in found]))
+            made = pa.RecordBatch.from_arrays([batch.column(0).take(row), pa.array(np.concatenate([*found, np.zeros(0, np.int64)])), *[batch.column(2 + k).take(row) for k in range(len(extra))]], names=["host", "key", *extra])
+            yield made.filter(pc.not_equal(made.column(1), 0))
 
     schema = ", ".join(["host string", "key long", *[f"{c} {dict(rows.dtypes)[c]}" for c in extra]])
-    return rows.where("host <> '' and html is not null").select("host", "html", *extra).mapInArrow(run, schema)
+    return rows.select("host", "keys", *extra).mapInArrow(run, schema)
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(key): subtrees that recur on min_pages distinct pages and min_share of the distinct pages of their host."""
-    rows = rows.select("host", "html", F.xxhash64("html").alias("page"))
-    counts = page_keys(rows, ("page",)).groupBy("host", "key").agg(F.countDistinct("page").alias("n")).where(F.col("n") >= min_pages)
-    whole = rows.where("host <> '' and html is not null").groupBy("host").agg(F.countDistinct("page").alias("pages"))
-    return counts.join(whole, "host").where(F.col("n") >= F.col("pages") * min_share).select("key")
+    """(key): subtrees that recur on min_pages distinct pages and min_share of the distinct pages of their host.
+
+    rows: parsed(), saved. Rows of one payload become one page, named by the least of their urls; pages that have one name
+    count once.
+    """
+    distinct = rows.where("host <> ''").groupBy("host", "page").agg(F.first("keys").alias("keys"), F.min("url").alias("name"))
+    counts = page_keys(distinct, "name").groupBy("host", "key").agg(F.countDistinct("name").alias("n")).where(F.col("n") >= min_pages)
+    names = rows.where("host <> ''").groupBy("host", "page").agg(F.min("url").alias("name"))
+    whole = names.groupBy("host").agg(F.countDistinct("name").alias("pages")).toDF("of", "pages")
+    return counts.join(whole, F.col("host") == F.col("of")).where(F.col("n") >= F.col("pages") * min_share).select("key")
 
 
 def _extract(shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function over (page_id, host, html), or with each page's own template keys where shared is None."""
+    """A mapInArrow function over (page_id, host, keys, tokens, numbers), or with each page's own template keys where shared is None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, counts = [], []
-            lists = batch.column(3).to_pylist() if shared is None else [None] * len(batch)
-            for name, page, own in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), lists, strict=True):
-                root, closed = parse(page or "")
-                gone: set[int] = set()
+            lists = batch.column(5).to_pylist() if shared is None else [None] * len(batch)
+            for keys, tokens, numbers, own in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), lists, strict=True):
                 wanted = np.sort(np.array(own or [], np.int64)) if shared is None else shared.value
-                if name and closed and len(wanted):
-                    keys = _keys(name, closed)
+                keys = np.frombuffer(keys, np.int64)
+                gone = None
+                if len(wanted) and len(keys):
                     at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    gone = {id(closed[k]) for k in np.flatnonzero((wanted[at] == keys) & (keys != 0))}
-                text, n = text_of(root, gone)
+                    gone = np.append(False, (wanted[at] == keys) & (keys != 0))
+                text, n = text_of(unpacked(tokens, numbers), gone)
                 texts.append(text)
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(counts, pa.int32())], names=["page_id", "host", "text", "n_removed"])
@@ -248,14 +328,13 @@ def _extract(shared: Broadcast | None) -> Callable[[Iterator[pa.RecordBatch]], I
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE, broadcast_templates: int = BROADCAST_TEMPLATES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, host, text, n_removed): the text of each page without its host's templates."""
     spark = pages.sparkSession
-    common.tune(spark)
     saved = common.Saved(spark, "templates")
-    rows = _pages(pages, id_col, url_col, html_col)
-    schema = "page_id long, host string, text string, n_removed int"
+    rows = saved.put(parsed(pages, id_col, url_col, html_col).withColumn("row", F.monotonically_increasing_id()), "parsed")
     known = saved.put(templates(rows, min_pages, min_share), "keys")
+    schema = "page_id long, host string, text string, n_removed int"
+    shown = ("page_id", "host", "keys", "tokens", "numbers")
     if known.count() <= broadcast_templates:
         shared = spark.sparkContext.broadcast(np.sort(known.toArrow()["key"].to_numpy()))
-        return rows.mapInArrow(_extract(shared), schema)
-    numbered = saved.put(rows.withColumn("row", F.monotonically_increasing_id()), "pages")
-    lists = page_keys(numbered, ("row",)).join(known, "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("keys"))
-    return numbered.join(lists, "row", "left").select("page_id", "host", "html", "keys").mapInArrow(_extract(None), schema)
+        return rows.select(*shown).mapInArrow(_extract(shared), schema)
+    lists = page_keys(rows, "row").join(known, "key", "left_semi").groupBy("row").agg(F.collect_list("key").alias("own")).toDF("at", "own")
+    return rows.join(lists, F.col("row") == F.col("at"), "left").select(*shown, "own").mapInArrow(_extract(None), schema)
