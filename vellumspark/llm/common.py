@@ -70,16 +70,19 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 _POWERS: dict[int, np.ndarray] = {}
+#: Powers kept in a worker, for each base. Longer texts are hashed in stretches of this length.
+POWERS = 1 << 20
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64; kept in the worker and grown by doubling."""
+    """base**0 .. base**(n-1) modulo 2**64; up to POWERS of them are kept in the worker and grown by doubling."""
     have = _POWERS.get(base)
     if have is None or len(have) < n:
         have = np.ones(1, np.uint64)
         while len(have) < n:
             have = np.concatenate([have, have * np.uint64(pow(base, len(have), 1 << 64))])
-        _POWERS[base] = have
+        if len(have) <= POWERS:
+            _POWERS[base] = have
     return have[:n]
 
 
@@ -147,6 +150,29 @@ def pieces(texts: pa.Array, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[in
         row = stop
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sum of (byte + 1) * _POLY ** place in the word, for each word; a stretch of data at a time.
+
+    The arrays that are as long as the data are those of one stretch, whatever the length of a text.
+    """
+    out = np.zeros(len(start), np.uint64)
+    first = 0
+    for low in range(0, len(data), POWERS):
+        part = data[low : low + POWERS]
+        summed = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(_POLY, len(part)), out=summed[1:])
+        # words that touch the stretch; one that began before it goes on where it was cut
+        stop = np.searchsorted(start, low + len(part))
+        at = slice(first, stop)
+        a, b = np.maximum(start[at] - low, 0), np.minimum(end[at] - low, len(part))
+        shift = powers(_POLY_INV, POWERS)[a]
+        if stop > first and start[first] < low:
+            shift[0] = pow(_POLY, low - int(start[first]), 1 << 64)
+        out[at] += (summed[b] - summed[a]) * shift
+        first = stop - 1 if stop and end[stop - 1] > low + len(part) else stop
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) -> Words:
     """Words of a piece, with a polynomial rolling hash of each word's bytes."""
     inside = np.zeros(len(data) + 2, bool)
@@ -159,17 +185,15 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) ->
     start = np.union1d(start, edges) if len(edges) else start
     end = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
     end = np.union1d(end, edges) if len(edges) else end
-    power = powers(_POLY, len(data))
-    summed = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=summed[1:])
-    hashed = (summed[end] - summed[start]) * powers(_POLY_INV, len(data) + 1)[start]
-    return Words(data, start, end, np.searchsorted(start, offsets), mix(hashed + (end - start).astype(np.uint64)))
+    return Words(data, start, end, np.searchsorted(start, offsets), mix(_hashes(data, start, end) + (end - start).astype(np.uint64)))
 
 
-def characters(data: np.ndarray) -> np.ndarray:
-    """Running number of characters (not bytes) before each place of UTF-8 data, and in all."""
-    out = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=out[1:])
+def characters(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Characters (not bytes) of UTF-8 data in each word."""
+    out = end - start
+    if len(data) and int(data.max()) >= 0x80:
+        more = np.flatnonzero((data & 0xC0) == 0x80)
+        out = out - (np.searchsorted(more, end) - np.searchsorted(more, start))
     return out
 
 
@@ -207,7 +231,7 @@ class Saved:
         self.spark, self.root = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
 
     def drop(self, *names: str) -> None:

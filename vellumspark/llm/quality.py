@@ -55,8 +55,7 @@ def _share(covered: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarr
 def coverage(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray]:
     """Of a piece, by document: words, coverage for each length, coverage by lines."""
     w = common.words(data, offsets, common.NOT_BLANK)
-    chars = common.characters(data)
-    size, doc = chars[w.end] - chars[w.start], w.doc()
+    size, doc = common.characters(data, w.start, w.end), w.doc()
     salt = common.mix(np.arange(len(offsets), dtype=np.uint64))
     shares = []
     for n in lengths:
@@ -65,9 +64,7 @@ def coverage(data: np.ndarray, offsets: np.ndarray, lengths: list[int]) -> tuple
         depth = np.bincount(at, minlength=len(size) + n) - np.bincount(at + n, minlength=len(size) + n)
         shares.append(_share(np.cumsum(depth)[: len(size)] > 0, size, w.first))
     # a line's hash is made of its words in order, so blanks at its ends and between words don't matter
-    newline = np.zeros(len(data) + 1, np.int64)
-    np.cumsum(data == 10, out=newline[1:])
-    number = newline[w.start] + doc
+    number = np.searchsorted(np.flatnonzero(data == 10), w.start) + doc
     head = np.flatnonzero(np.diff(number, prepend=-1)) if len(number) else np.zeros(0, np.int64)
     place = np.arange(len(size)) - np.repeat(head, np.diff(np.append(head, len(size))))
     power = common.powers(0x9E3779B97F4A7C15, int(place.max(initial=0)) + 1)
