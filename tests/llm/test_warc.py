@@ -1,6 +1,7 @@
 """Archive and files: exact round trips."""
 
 import gzip
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +57,42 @@ def test_damaged_files_lose_nothing(data):
     assert b"".join(h + p + t for _, h, p, t, _ in warc.split_records(data)) == data
 
 
+RECORD = b"WARC/1.0\r\nWARC-Type: resource\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n"
+
+
+def test_reading_goes_on_behind_damage():
+    good = [RECORD % (len(p), p) for p in (b"one", b"two", b"three", b"")]
+    broken = b"WARC/1.0\r\nContent-Lenght 3\r\n\r\nlost\r\n\r\n"
+    data = good[0] + broken + good[1] + b"noise\r\n" + good[2] + good[3]
+    for stretches in (data, iter([data]), iter([bytes([b]) for b in data])):
+        got = list(warc.split_records(stretches))
+        assert b"".join(h + p + t for _, h, p, t, _ in got) == data
+        assert [p for _, h, p, _, _ in got if h] == [b"one", b"two", b"three", b""]
+        assert [o for o, *_ in got] == sorted(o for o, *_ in got) and got[2][0] == len(good[0] + broken)
+
+
+def test_damaged_members_are_kept_as_they_are():
+    members = [gzip.compress(RECORD % (3, p), mtime=0) for p in (b"one", b"two", b"six")]
+    bad = members[1][:14] + b"\xff" * 6 + members[1][20:]
+    got = list(warc.split_records(warc.contents(members[0] + bad + b"\0" * 9 + members[2])))
+    assert [p for _, h, p, _, _ in got if h][:1] == [b"one"] and b"six" in [p for _, h, p, _, _ in got]
+    assert list(warc.split_records(warc.contents(members[0][:-9]))) == list(warc.split_records(RECORD % (3, b"one")))
+
+
+def test_reading_takes_time_in_proportion():
+    member = gzip.compress(RECORD % (2000, bytes(range(250)) * 8))
+    plain = RECORD % (10, b"0123456789")
+
+    def took(data):
+        began = time.thread_time()
+        n = sum(1 for _ in warc.split_records(warc.contents(data)))
+        return time.thread_time() - began, n
+
+    for one in (member, plain, b"x\n", b"WARC/1.0\r\n"):
+        (short, n), (long, m) = (min(took(one * k) for _ in range(3)) for k in (3000, 12000))
+        assert long < 9 * max(short, 0.01) and (m == 4 * n or m <= 1)
+
+
 def test_empty_and_crowded(pages, spark):
     assert warc.archive_report(warc.records(pages.where("false"))).count() == 0
     wide = pages.withColumns({c: F.lit("z") for c in ("header", "payload", "u", "size", "declared", "digest")})

@@ -10,7 +10,9 @@ rows that share a digest must agree in length and in a second hash of another ki
 
 Defined results: a null payload counts as an empty one; empty payloads share one row like any other payload. Null urls
 leave their header line out, null ids theirs. Repeated rows are records of their own that share a payload. Extra columns
-of the input are ignored. No records give empty tables. Payloads are taken whole at any length.
+of the input are ignored. No records give empty tables. Payloads are taken whole at any length. A file is read in time
+proportional to its size; it is held in memory as it is stored (Spark reads files of up to 2 GB), its contents a record at a
+time. What is damaged comes back as payloads without headers, up to the next record or gzip member.
 """
 
 from __future__ import annotations
@@ -106,40 +108,95 @@ def archive_report(rows: DataFrame) -> DataFrame:
 # --- WARC files -----------------------------------------------------------------------------------------------
 
 
-def _members(data: bytes) -> bytes:
-    """Contents of a file: all members of a gzip file, or the bytes themselves."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        part = zlib.decompressobj(31)
-        out.append(part.decompress(data) + part.flush())
-        data = part.unused_data.lstrip(b"\0")
-    return b"".join(out)
+#: Bytes that are decompressed at a time: what follows a member in them is copied once for each member.
+_STEP = 1 << 14
+_MEMBER = b"\x1f\x8b\x08"
+_BREAK = b"\r\n\r\n"
+#: Where a record may begin behind damage: the version and the first field's name.
+_NEXT = re.compile(rb"WARC/1\.[01]\r\n[A-Za-z][A-Za-z0-9-]{0,60}:")
 
 
-def split_records(data: bytes) -> Iterator[tuple[int, bytes, bytes, bytes, str | None]]:
+def contents(data: bytes) -> Iterator[bytes]:
+    """Stretches of a file's contents: of all members of a gzip file, or of the bytes themselves."""
+    view, at = memoryview(data), 0
+    if not data.startswith(_MEMBER):
+        for low in range(0, len(view), 1 << 20):
+            yield bytes(view[low : low + (1 << 20)])
+        return
+    while at < len(view):
+        part = zlib.decompressobj(31)
+        try:
+            while not part.eof and at < len(view):
+                piece = view[at : at + _STEP]
+                yield part.decompress(piece)
+                at += len(piece) - len(part.unused_data)
+            yield part.flush()
+        except zlib.error:
+            after = data.find(_MEMBER, at + 1)
+            after = len(view) if after < 0 else after
+            yield bytes(view[at:after])
+            at = after
+        while at < len(view) and not view[at]:  # some writers fill up with zeros
+            at += 1
+
+
+def split_records(data: bytes | Iterator[bytes]) -> Iterator[tuple[int, bytes, bytes, bytes, str | None]]:
     """(offset, header, payload, trailer, declared SHA-256 in hex) of each record; the parts add up to all of data.
 
-    Bytes that no record explains (a damaged header, a cut file) come back as the payload of a record without header.
+    Bytes that no record explains (a damaged header, a cut file) come back as the payload of a record without header, up to
+    where the next record seems to begin.
     """
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        size = re.search(rb"(?im)^content-length:\s*(\d+)\s*$", data[at:end]) if data.startswith(b"WARC/", at) and end >= 0 else None
+    source = iter((data,)) if isinstance(data, bytes) else data
+    held, at = bytearray(), 0
+
+    def more() -> bool:
+        for stretch in source:
+            if stretch:
+                held.extend(stretch)
+                return True
+        return False
+
+    def take(n: int) -> bytes:
+        nonlocal at
+        out = bytes(held[:n])
+        del held[:n]
+        at += len(out)
+        return out
+
+    while held or more():
+        while len(held) < 5 and more():
+            pass
+        size, end = None, -1
+        if held.startswith(b"WARC/"):
+            seen = 0
+            while (end := held.find(_BREAK, seen)) < 0:
+                seen = max(0, len(held) - 3)
+                if not more():
+                    break
+            size = re.search(rb"(?im)^content-length:\s*(\d{1,18})\s*$", held[:end]) if end >= 0 else None
+        begin = at
         if size is None:
-            yield at, b"", data[at:], b"", None
-            return
-        head, body = data[at : end + 4], data[end + 4 : end + 4 + int(size[1])]
-        if body.startswith(b"HTTP/") and (cut := body.find(b"\r\n\r\n")) >= 0 and re.search(rb"(?im)^content-type:\s*application/http", head):
-            head, body = head + body[: cut + 4], body[cut + 4 :]
+            seen = 1
+            while not (found := _NEXT.search(held, seen)):
+                seen = max(1, len(held) - 80)
+                if not more():
+                    break
+            yield begin, b"", take(found.start() if found else len(held)), b"", None
+            continue
         stop = end + 4 + int(size[1])
-        tail = stop
-        while data.startswith(b"\r\n", tail):
-            tail += 2
+        while len(held) < stop and more():
+            pass
+        head, body = take(end + 4), take(stop - end - 4)
+        if body.startswith(b"HTTP/") and (cut := body.find(_BREAK)) >= 0 and re.search(rb"(?im)^content-type:\s*application/http", head):
+            head, body = head + body[: cut + 4], body[cut + 4 :]
+        tail = 0
+        while True:
+            while held.startswith(b"\r\n", tail):
+                tail += 2
+            if len(held) - tail >= 2 or not more():
+                break
         declared = re.search(rb"(?im)^warc-payload-digest:\s*sha256:([0-9a-f]{64})\s*$", head)
-        yield at, head, body, data[min(stop, len(data)) : tail], declared[1].decode() if declared else None
-        at = max(tail, stop)
+        yield begin, head, body, take(tail), declared[1].decode() if declared else None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -153,7 +210,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 rows, held = [], 0
-                for offset, header, payload, trailer, declared in split_records(_members(content.as_py())):
+                for offset, header, payload, trailer, declared in split_records(contents(content.as_py())):
                     key = int.from_bytes(sha256(f"{name}:{offset}".encode()).digest()[:8], "big", signed=True)
                     rows.append((key, header, payload, trailer, declared, name, offset))
                     held += len(payload)
