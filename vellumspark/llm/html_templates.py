@@ -245,15 +245,20 @@ def host(url: Column) -> Column:
 
 def packed(page: Page) -> tuple[str, bytes]:
     """A page's tokens as one string, and the numbers of its elements and tokens."""
-    numbers = [len(page.tag), *page.parent, *page.kind, *page.start, *page.end, *page.owner]
-    return "\0".join(t.replace("\0", "\ufffd") for t in page.tokens), np.array(numbers, np.int32).tobytes()
+    n = len(page.tag)
+    start, end, owner = np.array(page.start), np.array(page.end), np.array(page.owner, np.int64)
+    # as differences, which are small: the table is compressed
+    numbers = np.concatenate([[n], np.arange(n) - np.array(page.parent), page.kind, np.diff(start, prepend=0), end - start, np.diff(owner, prepend=0)])
+    small = np.abs(numbers).max() < 1 << 15
+    return "\0".join(t.replace("\0", "\ufffd") for t in page.tokens), numbers.astype(np.int16 if small else np.int32).tobytes() + bytes([int(small)])
 
 
 def unpacked(tokens: str, numbers: bytes) -> Page:
-    n, *rest = np.frombuffer(numbers, np.int32).tolist()
-    parent, kind, start, end = (rest[k * n : (k + 1) * n] for k in range(4))
-    owner = rest[4 * n :]
-    return Page(tokens.split("\0") if owner else [], owner, [""] * n, [], parent, kind, start, end)
+    rest = np.frombuffer(numbers[:-1], np.int16 if numbers[-1] else np.int32).astype(np.int64)
+    n, rest = int(rest[0]), rest[1:]
+    up, kind, start, size = rest[: 4 * n].reshape(4, n)
+    start, owner = np.cumsum(start), np.cumsum(rest[4 * n :]).tolist()
+    return Page(tokens.split("\0") if owner else [], owner, [""] * n, [], (np.arange(n) - up).tolist(), kind.tolist(), start.tolist(), (start + size).tolist())
 
 
 def parsed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
