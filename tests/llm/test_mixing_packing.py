@@ -13,8 +13,15 @@ from tests.llm.conftest import prose
 from vellumspark.llm import mixing, packing
 
 
-def slow_mix(rows, weights, targets, budget, seed=mixing.SEED):
+def slow_mix(rows, weights, targets, budget):
     """rows: (id, source, tokens), a text of so many w. Copies by id."""
+    return slow_mix_texts([(i, "w " * n, s) for i, s, n in rows], weights, targets, budget)
+
+
+def slow_mix_texts(rows, weights, targets, budget, seed=mixing.SEED):
+    """rows: (id, text, source). Copies by id."""
+    md5 = {i: hashlib.md5(t.encode()).hexdigest() for i, t, _ in rows}
+    rows = [(i, s, len(t.split())) for i, t, s in rows]
     per = defaultdict(int)
     for _, s, n in rows:
         per[s] += n
@@ -26,12 +33,11 @@ def slow_mix(rows, weights, targets, budget, seed=mixing.SEED):
         room = math.floor(budget * round(targets[s] / whole, 9))
         epochs, room = divmod(room, have)
 
-        def key(i, n):
-            text = hashlib.md5(("w " * n).encode()).hexdigest()
-            u = (int(hashlib.md5(f"{seed}:{i}:{text}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
+        def key(i):
+            u = (int(hashlib.md5(f"{seed}:{i}:{md5[i]}".encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)
             return -math.log(u) / weights.get(i, 1.0)
 
-        own, run, going = sorted((key(i, n), i, n) for i, t, n in rows if t == s), 0, True
+        own, run, going = sorted((key(i), i, n) for i, t, n in rows if t == s), 0, True
         for _, i, n in own:
             run += n
             going &= run <= room
