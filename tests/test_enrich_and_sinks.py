@@ -152,3 +152,61 @@ def test_stream(spark, tmp_path):
     ingest.write_chunks(stream, str(tmp_path / "chunks"), str(tmp_path / "edges"), str(tmp_path / "cp")).awaitTermination(120)
     assert sorted(r.text for r in spark.read.parquet(str(tmp_path / "chunks")).collect()) == ["a b", "c"]
     assert ingest.counts(ingest.read_documents(spark, str(tmp_path / "in"))).isStreaming
+
+
+def test_chat_settings_reach_the_service(spark):
+    seen = []
+
+    def call(messages, model, temperature):
+        seen.append(([m["role"] for m in messages], model, temperature))
+        if "fail" in messages[1]["content"]:
+            raise OSError("no answer")
+        return "{}"
+
+    model = enrich.chat_model(call, EnrichmentConfig(model="large", temperature=0.3))
+    out = model(["a", "fail"])
+    assert out[0] == "{}" and isinstance(out[1], OSError) and seen[0] == (["system", "user"], "large", 0.3)
+
+
+def test_usage_with_prices(spark):
+    replies = spark.createDataFrame([(1000, 500), (1000, 0)], "prompt_tokens long, completion_tokens long")
+    assert enrich.usage(replies).first().asDict() == {"prompt_tokens": 2000, "completion_tokens": 500, "total_tokens": 2500, "cost": None}
+    assert enrich.usage(replies, 0.5, 2.0).first().cost == 2.0
+
+
+def test_export_to_a_store_with_vectors(spark, tmp_path):
+    from vellumspark.functions import embedding
+    from vellumspark.plans import pipeline
+
+    docs = spark.createDataFrame([(1, "a.txt", "One text.\n\nAnother text.")], "doc_id long, source string, text string")
+    chunks = pipeline.process_text(docs).chunks
+
+    def connect():
+        def send(records):
+            import json
+            import uuid
+
+            (tmp_path / uuid.uuid4().hex).write_text(json.dumps([(r["id"], len(r["values"]), sum(x * x for x in r["values"])) for r in records]))
+
+        return send
+
+    for kind in ("vectors", "collection"):
+        for f in tmp_path.iterdir():
+            f.unlink()
+        sinks.export(chunks, kind, connect=connect, embed=embedding.hashed(16))
+        import json
+
+        got = [x for f in tmp_path.iterdir() for x in json.loads(f.read_text())]
+        assert {g[0] for g in got} == {r.chunk_id for r in chunks.collect()} and all(g[1] == 16 and abs(g[2] - 1) < 1e-5 for g in got)
+    with pytest.raises(ValueError):
+        sinks.export(chunks, "vectors")
+
+
+def test_a_broken_write_leaves_the_old_cache(spark, tmp_path):
+    path = f"file://{tmp_path}/cache"
+    one = spark.createDataFrame([("a", "x")], "text_hash string, payload string")
+    sinks.write_cache(one, path)
+    (tmp_path / "cache").rename(tmp_path / "cache.old")
+    assert sinks.read_cache(spark, path).count() == 1
+    sinks.write_cache(one.union(one.selectExpr("'b'", "'y'")), path)
+    assert sinks.read_cache(spark, path).count() == 2 and not (tmp_path / "cache.old").exists()

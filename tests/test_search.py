@@ -126,3 +126,48 @@ def test_rerank_by(spark):
     hits = spark.createDataFrame([(1, "a", 0, 1.0, 3), (1, "b", 1, 0.9, 5), (1, "c", 2, 0.8, 5)], "query_id long, chunk_key string, rank int, score double, size int")
     got = search.rerank_by(hits, F.col("size"), 2).orderBy("rank").collect()
     assert [(r.chunk_key, r.score) for r in got] == [("b", 5.0), ("c", 5.0)]
+
+
+def test_hybrid_makes_no_product_of_all_pairs(spark):
+    """Default legs by an embed function; the plans of both legs, run and shown."""
+    from vellumspark.config import RetrievalConfig
+    from vellumspark.functions import embedding
+
+    texts = ["Revenue grew by ten percent", "The cat sat on the mat", "Costs fell in the second quarter", "Revenue and costs of the cat"]
+    chunks = chunk_table(spark, texts)
+    asked = spark.createDataFrame([(1, "revenue growth"), (2, "cat mat"), (3, "  ")], "query_id long, query string")
+    found = search.hybrid_search(chunks, asked, config=RetrievalConfig(0.5, 0.5, expand_parents=True, expand_neighbors=1), top_k=2, embed=embedding.hashed(32), reranker=search.overlap)
+    plan = found._jdf.queryExecution().toString()
+    assert "Cartesian" not in plan and found.count() > 0
+    best = {r.query_id: r.chunk_key for r in found.where("rank = 0").collect()}
+    by_text = {r.text: r.chunk_id for r in chunks.collect()}
+    assert set(best) == {1, 2} and best[2] == by_text[texts[1]]
+    assert search.shown(found).where("score <> round(score, 4)").count() == 0
+
+
+def test_dense_blocks_are_the_broadcast_matrix(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    vectors = spark.createDataFrame([(k, rng.normal(size=6).round(1).tolist()) for k in range(300)] + [(900, None)], "chunk_key long, embedding array<float>")
+    asked = vectors.withColumnRenamed("chunk_key", "query_id")
+    rows = lambda **o: sorted(map(str, search.dense_search(vectors, asked, 5, **o).collect()))
+    assert rows() == rows(broadcast_bytes=2000) and len(rows()) == 1500
+    assert search.dense_search(vectors, asked.where("false"), 5).count() == 0
+
+
+def test_unknown_ids_of_an_own_leg_fail(spark):
+    chunks = chunk_table(spark, ["one text", "another text"])
+    asked = spark.createDataFrame([(1, "text")], "query_id long, query string")
+    leg = lambda q, k: q.selectExpr("query_id", "'nowhere' AS chunk_key", "0 AS rank", "1.0D AS dense_score")
+    with pytest.raises(Exception, match="isn't there"):
+        search.hybrid_search(chunks, asked, dense=leg).collect()
+
+
+def test_passages_in_documents(spark):
+    docs = spark.createDataFrame([(1, "xx rare bird sings loud"), (2, "the bird sings"), (3, "rarebird sings aloud and long"), (4, None)], "chunk_key long, text string")
+    asked = spark.createDataFrame([(1, "are bird sings lou"), (2, "ird"), (3, "bird sings now"), (4, "sings"), (5, "the bird sings")], "query_id long, query string")
+    index = search.build_index(docs, "chunk_key", docs["text"])
+    got = sorted(tuple(r) for r in search.containing(docs, asked, index).collect())
+    want = sorted((q.query_id, d.chunk_key) for q in asked.collect() for d in docs.collect() if d.text and q.query in d.text)
+    assert got == want

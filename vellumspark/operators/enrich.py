@@ -8,9 +8,10 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vellumspark import workspace
 from vellumspark.config import ENRICHMENTS, EnrichmentConfig
 from vellumspark.functions import text as T
 from vellumspark.operators import graph
@@ -21,6 +22,25 @@ SECONDS_SAVED_BY_HIT = 1.5
 Model = Callable[[list[str]], list]
 
 
+#: What a chat model is told ahead of every prompt.
+SYSTEM = "You index passages for a search engine. Answer with one JSON object and nothing else."
+
+
+def chat_model(call: Callable[[list[dict[str, str]], str, float], str], config: EnrichmentConfig) -> Model:
+    """A model of a chat service: call(messages, model, temperature) gives a reply's text; the settings come from config."""
+
+    def model(prompts: list[str]) -> list:
+        out: list = []
+        for p in prompts:
+            try:
+                out.append(call([{"role": "system", "content": SYSTEM}, {"role": "user", "content": p}], config.model, config.temperature))
+            except Exception as failure:  # noqa: BLE001 - the caller decides whether to ask again
+                out.append(failure)
+        return out
+
+    return model
+
+
 def prompt(text: Column, context: Column) -> Column:
     where = F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit("It stands under the headings: "), context)).otherwise(F.lit("Its headings are not known."))
     ask = 'Describe the passage below as one JSON object. Keys: "summary" (one sentence), "entities" (names, places, sums and dates that occur), "keywords" (three to eight search terms), "confidence" (0 to 1: can it be read by itself?). Reply with the object only.'
@@ -110,9 +130,14 @@ def with_cache(chunks: DataFrame, cache: DataFrame) -> DataFrame:
     A chunk hits where the cache has its text, or where an earlier chunk of the same text is asked about first.
     cache: text_hash, payload.
     """
-    rows = chunks.withColumn("text_hash", text_hash(F.col("text"))).join(cache.select("text_hash", "payload"), "text_hash", "left")
-    first = F.row_number().over(Window.partitionBy("text_hash").orderBy("doc_id", "chunk_index"))
-    return rows.withColumn("cache_status", F.when(F.col("payload").isNotNull() | (first > 1), "HIT").otherwise("MISS"))
+    rows = chunks.withColumn("text_hash", text_hash(F.col("text")))
+    # a row for each distinct text says who asks first and what is known, so a hot text's chunks are only looked up
+    first = rows.groupBy("text_hash").agg(F.min(F.struct("doc_id", "chunk_index")).alias("first"))
+    seen = first.join(cache.select("text_hash", "payload"), "text_hash", "left").toDF("seen_hash", "first", "payload")
+    # equal texts have equal hashes; texts without one (nulls) have the null hash in common
+    rows = rows.join(seen, F.col("text_hash").eqNullSafe(F.col("seen_hash")), "left")
+    asks = F.struct("doc_id", "chunk_index").eqNullSafe(F.col("first"))
+    return rows.withColumn("cache_status", F.when(F.col("payload").isNotNull() | ~asks, "HIT").otherwise("MISS")).drop("seen_hash", "first")
 
 
 def cache_stats(looked_up: DataFrame, entries: Column | None = None) -> DataFrame:
@@ -176,11 +201,11 @@ def ask(misses: DataFrame, model: Model, config: EnrichmentConfig, wait: Callabl
     return misses.mapInPandas(run, "text_hash string, payload string, prompt_tokens long, completion_tokens long")
 
 
-def enrich(chunks: DataFrame, cache: DataFrame, model: Model = extractive_model, config: EnrichmentConfig | None = None, keep: Callable[[DataFrame], DataFrame] = lambda df: df.checkpoint()) -> tuple[DataFrame, DataFrame]:
+def enrich(chunks: DataFrame, cache: DataFrame, model: Model = extractive_model, config: EnrichmentConfig | None = None, keep: Callable[[DataFrame], DataFrame] = workspace.kept) -> tuple[DataFrame, DataFrame]:
     """(chunks with enrichments and neighbours' summaries, replies of this run: text_hash, payload and tokens).
 
     keep materialises the replies, so that a model is asked once whatever is read from them later; the default writes
-    them to the checkpoint folder.
+    them to the workspace.
     """
     config = config or EnrichmentConfig()
     looked = with_cache(chunks, cache)
@@ -195,6 +220,10 @@ def enrich(chunks: DataFrame, cache: DataFrame, model: Model = extractive_model,
     return graph.neighbor_summaries(rows.drop("_reply", "reply", "payload", "text_hash")), replies
 
 
-def usage(replies: DataFrame) -> DataFrame:
-    """Tokens of all replies. No price is known, so there is no cost."""
-    return replies.agg(F.coalesce(F.sum("prompt_tokens"), F.lit(0)).alias("prompt_tokens"), F.coalesce(F.sum("completion_tokens"), F.lit(0)).alias("completion_tokens"), F.coalesce(F.sum(F.col("prompt_tokens") + F.col("completion_tokens")), F.lit(0)).alias("total_tokens"))
+def usage(replies: DataFrame, prompt_price: float | None = None, completion_price: float | None = None) -> DataFrame:
+    """Tokens of all replies, and their cost where the prices of a thousand are given (null where they aren't)."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    said = replies.agg(total("prompt_tokens").alias("prompt_tokens"), total("completion_tokens").alias("completion_tokens"), total(F.col("prompt_tokens") + F.col("completion_tokens")).alias("total_tokens"))
+    known = prompt_price is not None or completion_price is not None
+    cost = F.col("prompt_tokens") / 1000 * (prompt_price or 0.0) + F.col("completion_tokens") / 1000 * (completion_price or 0.0) if known else F.lit(None)
+    return said.withColumn("cost", cost.cast("double"))

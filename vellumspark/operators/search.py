@@ -6,6 +6,8 @@ Ranks are by scores rounded to 10 places, then by the chunk's ordinal, so the or
 
 from __future__ import annotations
 
+import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -15,9 +17,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vellumspark import workspace
 from vellumspark.config import RetrievalConfig
 from vellumspark.functions import text as T
-from vellumspark.operators.chunking import cosine
 from vellumspark.operators.rows import embed_text
 
 K1, B, RRF_K = 1.5, 0.75, 60
@@ -40,33 +42,61 @@ class Index:
     terms: DataFrame
     totals: DataFrame
 
-    def save(self, path: str) -> None:
-        """Postings clustered by term, so that a search reads the row groups of its terms only."""
+    def save(self, path: str) -> Index:
+        """The index as tables under path, postings clustered by term, so that a search reads the row groups of its terms only."""
+        spark = self.postings.sparkSession
         self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        self.terms.write.mode("overwrite").parquet(f"{path}/terms")
+        # terms are counted from what was just written: the texts aren't read again
+        written = spark.read.parquet(f"{path}/postings")
+        document_frequency(written).write.mode("overwrite").parquet(f"{path}/terms")
         self.totals.write.mode("overwrite").parquet(f"{path}/totals")
+        return Index.load(spark, path)
 
     @staticmethod
     def load(spark, path: str) -> Index:  # noqa: ANN001
         return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")))
 
 
-def build_index(chunks: DataFrame, key: str, text: Column, queries: DataFrame | None = None) -> Index:
-    """An inverted index of one pass over the text; chunks without words count towards n and the mean length.
+def document_frequency(postings: DataFrame) -> DataFrame:
+    """(term, df)."""
+    return postings.groupBy("term").agg(F.count("*").alias("df"))
 
-    With queries the index holds their words only, which is all that they read: other words fall away ahead of the
-    shuffle. An index to be saved is built without.
+
+_WORD = re.compile(r"\w+")
+
+
+def counted_words(chunks: DataFrame, key: str, text: Column) -> DataFrame:
+    """(chunk_key, term, tf, dl): a row for each word of a chunk, and one without a term for the chunk itself.
+
+    A chunk's words are counted where it is read, a batch at a time: rows leave the scan as postings, without a shuffle.
     """
-    rows = chunks.select(F.col(key).alias("chunk_key"), T.words(text).alias("ws"))
-    said = rows.select("chunk_key", F.size("ws").alias("dl"), F.explode("ws").alias("term"))
-    if queries is not None:
-        said = said.join(query_terms(queries).select("term").distinct(), "term", "left_semi")
-    tf = said.groupBy("chunk_key", "dl", "term").agg(F.count("*").alias("tf"))
-    postings = tf.select("chunk_key", "term", F.col("tf").cast("int").alias("tf"), "dl")
-    terms = postings.groupBy("term").agg(F.count("*").alias("df"))
-    lengths = chunks.select(T.word_count(F.lower(text)).alias("dl"))
-    totals = lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, terms, totals)
+    kind = chunks.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, term, tf, dl = [], [], [], []
+            for k, said in enumerate(batch.column(1).to_pylist()):
+                count = Counter(_WORD.findall(said or ""))
+                n = count.total()
+                row += [k] * (len(count) + 1)
+                term += [None, *count]
+                tf += [0, *count.values()]
+                dl += [n] * (len(count) + 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], names=["chunk_key", "term", "tf", "dl"])
+
+    return chunks.select(F.col(key).alias("chunk_key"), F.lower(text)).mapInArrow(run, f"chunk_key {kind}, term string, tf int, dl int")
+
+
+def build_index(chunks: DataFrame, key: str, text: Column, path: str | None = None) -> Index:
+    """An inverted index; chunks without words count towards n and the mean length. The texts are read and split once.
+
+    With a path the index is saved there; without, it goes to the workspace.
+    """
+    spark = chunks.sparkSession
+    said = workspace.kept(counted_words(chunks, key, text))
+    postings = said.where("term is not null")
+    totals = said.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
+    return Index(postings, document_frequency(postings), totals).save(path or workspace.folder(spark))
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -99,55 +129,103 @@ def bm25_search(index: Index, queries: DataFrame, top_k: int = 20) -> DataFrame:
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), (F.col("raw") / best).alias("bm25_score"))
 
 
+def containing(docs: DataFrame, passages: DataFrame, index: Index) -> DataFrame:
+    """(query_id, chunk_key): documents that contain a passage as it stands. docs: chunk_key, text; passages: query_id, query.
+
+    Candidates are the documents with the rarest word of the passage's inside, which the index names; they alone are
+    searched. The first and last word may be parts of words in a document, so a passage without others is searched
+    for everywhere.
+    """
+    ws = T.words(F.col("query"))
+    asked = passages.select("query_id", "query", F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))).alias("inside"))
+    words = asked.select("query_id", F.explode("inside").alias("term")).distinct().join(index.terms, "term", "left")
+    # a word that no document has settles it: nothing contains the passage
+    rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+    candidates = index.postings.select("chunk_key", "term").join(rare, "term").select("query_id", "chunk_key")
+    hinted = candidates.join(asked.select("query_id", "query"), "query_id").join(docs.select("chunk_key", "text"), "chunk_key").where(F.col("text").contains(F.col("query")))
+    bare = asked.where(F.size("inside") == 0).select("query_id", "query")
+    everywhere = docs.select("chunk_key", "text").join(bare, F.col("text").contains(F.col("query")))
+    return hinted.select("query_id", "chunk_key").unionByName(everywhere.select("query_id", "chunk_key"))
+
+
 # --- dense ----------------------------------------------------------------------------------------------------
 
-#: Bytes of query vectors (8 a number) up to which they are sent to every task as one matrix.
+#: Bytes of query vectors (8 a number) up to which they are sent to every task as one matrix; more of them are dealt out in
+#: blocks of that size, and the vectors in blocks of VECTOR_BYTES, a task for each pair of blocks.
 BROADCAST_BYTES = 64 << 20
+VECTOR_BYTES = 256 << 20
+
 
+def _as_matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
-def _block_search(vectors: DataFrame, asked: pa.Table, top_k: int) -> DataFrame:
-    """(query_id, chunk_key, dense_score): each batch of vectors against the matrix of queries, its top_k for each."""
-    spark, key_type = vectors.sparkSession, vectors.schema["chunk_key"].dataType.simpleString()
+
+def _best(q: np.ndarray, q_ids: pa.Array, x: np.ndarray, keys: pa.Array, top_k: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, chunk_key, dense_score): each query's top_k of these vectors, by score and then by key."""
+    q_norm, norm = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
+    ranked_keys = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+    for low in range(0, len(q), 512):
+        score = np.maximum(0.0, (q[low : low + 512] @ x.T) / (q_norm[low : low + 512, None] * norm[None, :] + 1e-10))
+        shown = np.round(score, PLACES)
+        least = -np.partition(-shown, top_k - 1, axis=1)[:, top_k - 1] if shown.shape[1] > top_k else np.zeros(len(shown))
+        r, c = np.nonzero((shown >= least[:, None]) & (score > 0))
+        order = np.lexsort((ranked_keys[c], -shown[r, c], r))
+        r, c = r[order], c[order]
+        first = np.arange(len(r)) - np.searchsorted(r, r, "left") < top_k
+        r, c = r[first], c[first]
+        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r + low)), keys.take(pa.array(c)), pa.array(score[r, c])], names=["query_id", "chunk_key", "dense_score"])
+
+
+def _block_search(vectors: DataFrame, asked: pa.Table, top_k: int, schema: str) -> DataFrame:
+    """Each batch of vectors against the matrix of queries."""
     ids = asked["query_id"].combine_chunks()
-    queries = np.stack([np.asarray(q, float) for q in asked["q"].to_pylist()])
-    shared = spark.sparkContext.broadcast((queries, np.sqrt((queries**2).sum(1))))
+    shared = vectors.sparkSession.sparkContext.broadcast(_as_matrix(asked["q"], len(asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        q, q_norm = shared.value
         for batch in batches:
-            if not len(batch):
-                continue
-            keys = batch.column(0)
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(batch), -1)
-            norm = np.sqrt((x**2).sum(1))
-            ranked_keys = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-            for low in range(0, len(q), 512):
-                score = np.maximum(0.0, (q[low : low + 512] @ x.T) / (q_norm[low : low + 512, None] * norm[None, :] + 1e-10))
-                shown = np.round(score, PLACES)
-                least = -np.partition(-shown, top_k - 1, axis=1)[:, top_k - 1] if shown.shape[1] > top_k else np.zeros(len(shown))
-                r, c = np.nonzero((shown >= least[:, None]) & (score > 0))
-                order = np.lexsort((ranked_keys[c], -shown[r, c], r))
-                r, c = r[order], c[order]
-                first = np.arange(len(r)) - np.searchsorted(r, r, "left") < top_k
-                r, c = r[first], c[first]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r + low)), keys.take(pa.array(c)), pa.array(score[r, c])], names=["query_id", "chunk_key", "dense_score"])
-
-    query_type = {"int64": "long", "int32": "int", "string": "string"}[str(ids.type)]
-    return vectors.select("chunk_key", F.col("embedding").cast("array<float>")).mapInArrow(run, f"query_id {query_type}, chunk_key {key_type}, dense_score double")
-
-
-def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, dims: int | None = None) -> DataFrame:
+            if len(batch):
+                yield from _best(shared.value, ids, _as_matrix(batch.column(1), len(batch)), batch.column(0), top_k)
+
+    return vectors.select("chunk_key", "embedding").mapInArrow(run, schema)
+
+
+def _grid_search(vectors: DataFrame, asked: DataFrame, top_k: int, schema: str, q_blocks: int, v_blocks: int) -> DataFrame:
+    """Blocks of vectors against blocks of queries: each query meets each vector in one task, and leaves its top_k there."""
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    queries = asked.select("query_id", "q", F.pmod(F.xxhash64("query_id"), F.lit(q_blocks)).cast("int").alias("qb")).withColumn("vb", every(v_blocks))
+    held = vectors.select("chunk_key", "embedding", F.pmod(F.xxhash64("chunk_key"), F.lit(v_blocks)).cast("int").alias("v_vb")).withColumn("v_qb", every(q_blocks))
+
+    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        made = []
+        if len(left) and len(right):
+            q_ids, q, x, keys = left["query_id"].combine_chunks(), _as_matrix(left["q"], len(left)), _as_matrix(right["embedding"], len(right)), right["chunk_key"].combine_chunks()
+            # some rows of vectors at a time: the scores of a block are many times its own size
+            made = [b for low in range(0, len(x), 8192) for b in _best(q, q_ids, x[low : low + 8192], keys[low : low + 8192], top_k)]
+        empty = pa.table({"query_id": left["query_id"][:0], "chunk_key": right["chunk_key"][:0], "dense_score": pa.array([], pa.float64())})
+        return pa.Table.from_batches(made) if made else empty
+
+    return queries.groupBy("qb", "vb").cogroup(held.groupBy("v_qb", "v_vb")).applyInArrow(meet, schema)
+
+
+def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, dims: int | None = None, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(query_id, chunk_key, rank, dense_score): the best positive cosines over all vectors, exactly.
 
-    vectors: chunk_key, embedding; queries: query_id, embedding; all of dims numbers. Queries that fit are a matrix that
-    every task multiplies by its vectors; with dims unknown, or too many queries, the product is one of built-in
-    expressions over all pairs.
+    vectors: chunk_key, embedding; queries: query_id, embedding; all of dims numbers (None: those of the first query).
     """
-    asked = queries.select("query_id", F.col("embedding").alias("q")).where("q is not null")
-    if dims is not None and 0 < asked.count() * dims * 8 <= BROADCAST_BYTES:
-        scored = _block_search(vectors.where("embedding is not null"), asked.toArrow(), top_k)
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>").alias("q")).where("q is not null")
+    held = vectors.select("chunk_key", F.col("embedding").cast("array<float>")).where("embedding is not null")
+    if dims is None:
+        first = asked.select(F.size("q").alias("n")).first()
+        dims = first["n"] if first else 0
+    schema = f"query_id {asked.schema['query_id'].dataType.simpleString()}, chunk_key {held.schema['chunk_key'].dataType.simpleString()}, dense_score double"
+    size = asked.count() * dims * 8
+    if not size:
+        return vectors.sparkSession.createDataFrame([], schema.replace("dense_score", "rank int, dense_score"))
+    if size <= broadcast_bytes:
+        scored = _block_search(held, asked.toArrow(), top_k, schema)
     else:
-        scored = vectors.crossJoin(asked).select("query_id", "chunk_key", F.greatest(F.lit(0.0), cosine(F.col("q"), F.col("embedding"))).alias("dense_score")).where("dense_score > 0")
+        scored = _grid_search(held, asked, top_k, schema, -(-size // broadcast_bytes), -(-held.count() * dims * 8 // VECTOR_BYTES) or 1)
     top = ranked(scored, "dense_score", "chunk_key", limit=top_k)
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), "dense_score")
 
@@ -219,9 +297,12 @@ def expand(hits: DataFrame, chunks: DataFrame, parents: bool = False, neighbors:
             same &= F.col("doc_id") == F.col("o_doc_id")
         found.append(own.join(other, same).select("query_id", F.col("o_chunk_key").alias("chunk_key"), F.col("rank").alias("by"), F.lit(0).alias("kind"), F.struct("o_doc_id", "o_chunk_index").alias("step"), (F.col("score") * 0.9).alias("score"), "dense_score", "bm25_score"))
     if neighbors > 0:
-        near = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("island") == F.col("o_island"))
-        walked = own.join(other, near).where((F.abs(F.col("at") - F.col("o_chunk_index")) <= neighbors) & (F.col("at") != F.col("o_chunk_index")))
-        found.append(walked.select("query_id", F.col("o_chunk_key").alias("chunk_key"), F.col("rank").alias("by"), F.when(F.col("o_chunk_index") < F.col("at"), 1).otherwise(2).alias("kind"), F.struct(F.lit(0).cast("long").alias("o_doc_id"), F.abs(F.col("at") - F.col("o_chunk_index")).alias("o_chunk_index")).alias("step"), (F.col("score") * 0.85).alias("score"), F.lit(0.0).alias("dense_score"), F.lit(0.0).alias("bm25_score")))
+        # each hit names the places that it asks for, so the join brings these chunks and no others of the document
+        steps = F.explode(F.filter(F.sequence(F.lit(-neighbors), F.lit(neighbors)), lambda d: d != 0))
+        wanted = own.withColumn("by_step", steps).withColumn("place", F.col("at") + F.col("by_step"))
+        near = (F.col("doc_id") == F.col("o_doc_id")) & (F.col("place") == F.col("o_chunk_index")) & (F.col("island") == F.col("o_island"))
+        walked = wanted.join(other, near)
+        found.append(walked.select("query_id", F.col("o_chunk_key").alias("chunk_key"), F.col("rank").alias("by"), F.when(F.col("by_step") < 0, 1).otherwise(2).alias("kind"), F.struct(F.lit(0).cast("long").alias("o_doc_id"), F.abs("by_step").alias("o_chunk_index")).alias("step"), (F.col("score") * 0.85).alias("score"), F.lit(0.0).alias("dense_score"), F.lit(0.0).alias("bm25_score")))
     base = hits.select("query_id", "chunk_key", F.col("rank").alias("by"), F.lit(-1).alias("kind"), F.struct(F.lit(0).cast("long").alias("o_doc_id"), F.lit(0).alias("o_chunk_index")).alias("step"), "score", "dense_score", "bm25_score")
     if not found:
         return base.select("query_id", "chunk_key", F.col("by").alias("rank"), "score", "dense_score", "bm25_score", F.lit("hit").alias("via"))
@@ -264,19 +345,39 @@ def rerank_with(hits: DataFrame, model: Callable[[str, list[str]], list[float]],
 # --- all of it ------------------------------------------------------------------------------------------------
 
 
-def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, config: RetrievalConfig | None = None, top_k: int = 10, filters: dict[str, object] | None = None, index: Index | None = None, dense: Callable[[DataFrame, int], DataFrame] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, cross_document: bool = False) -> DataFrame:
+def overlap(query: str, texts: list[str]) -> list[float]:
+    """A reranker that needs no model: the share of the query's distinct words that a text has."""
+    asked = set(_WORD.findall(query.lower()))
+    return [len(asked & set(_WORD.findall(t.lower()))) / max(1, len(asked)) for t in texts]
+
+
+def known(hits: DataFrame, chunks: DataFrame) -> DataFrame:
+    """hits of a caller's own leg; a chunk_key that chunks doesn't have fails the query."""
+    both = hits.join(chunks.select(F.col("chunk_key").alias("k_key")).distinct(), F.col("chunk_key") == F.col("k_key"), "left")
+    named = F.when(F.col("k_key").isNotNull(), F.col("chunk_key")).otherwise(F.raise_error(F.concat(F.lit("the dense leg named a chunk that isn't there: "), F.coalesce(F.col("chunk_key").cast("string"), F.lit("null")))))
+    return both.withColumn("chunk_key", named).drop("k_key")
+
+
+def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | None = None, config: RetrievalConfig | None = None, top_k: int = 10, filters: dict[str, object] | None = None, index: Index | None = None, dense: Callable[[DataFrame, int], DataFrame] | None = None, reranker: Callable[[str, list[str]], list[float]] | None = None, cross_document: bool = False, embed: Callable[[Column], Column] | None = None) -> DataFrame:
     """Hits of every query: both legs to 3 top_k, fusion, filters, cut, reranking, expansion.
 
-    chunks: the chunks table with contextual_text. vectors: chunk_key, embedding, for queries with an embedding; dense:
-    another leg, a function of queries and a limit; with neither, the lexical leg is alone.
+    chunks: the chunks table with contextual_text. vectors: chunk_key, embedding, for queries with an embedding; embed: a
+    text column to a vector column, for chunks without vectors and queries without an embedding (functions.embedding.hashed()
+    needs no model); dense: another leg, a function of queries and a limit, whose chunks must all be there. With none of
+    them, the lexical leg is alone.
     """
     config = config or RetrievalConfig()
     keyed = chunks.withColumn("chunk_key", F.col("chunk_id"))
     asked = queries.where(T.strip(F.coalesce("query", F.lit(""))) != "")
-    index = index or build_index(keyed, "chunk_key", search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context")), asked)
+    if embed is not None and dense is None:
+        if vectors is None:
+            vectors = workspace.kept(keyed.select("chunk_key", embed(embed_text(F.col("contextual_text"), F.col("text"))).alias("embedding")))
+        if "embedding" not in asked.columns:
+            asked = workspace.kept(asked.withColumn("embedding", embed(F.col("query"))))
+    index = index or build_index(keyed, "chunk_key", search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context")))
     lexical = bm25_search(index, asked, 3 * top_k)
     if dense is not None:
-        near = dense(asked, 3 * top_k)
+        near = known(dense(asked, 3 * top_k), keyed)
     elif vectors is not None:
         near = dense_search(vectors, asked, 3 * top_k)
     else:
@@ -298,6 +399,11 @@ def hybrid_search(chunks: DataFrame, queries: DataFrame, vectors: DataFrame | No
     return out.join(scores, ["query_id", "chunk_key"], "left")
 
 
+def shown(hits: DataFrame) -> DataFrame:
+    """hits as they are shown to people: scores to four places."""
+    return hits.withColumns({c: F.round(c, 4) for c in ("score", "dense_score", "bm25_score", "rerank_score") if c in hits.columns})
+
+
 def batches_of(rows: Iterator, size: int) -> Iterator[list]:
     """Lists of up to size rows."""
     held = []

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.config import PipelineConfig
+from vellumspark.functions import embedding
 from vellumspark.functions import text as T
 from vellumspark.operators import chunking, enrich, graph, rows
 from vellumspark.sources import files, markdown, plain
@@ -30,12 +31,10 @@ class Processed:
 
 
 def chunk(sections: DataFrame, config: PipelineConfig, tokenizer: Tokenizer | None = None, embed: Callable[[Column], Column] | None = None) -> DataFrame:
-    """The chunks table of sections, by the configured strategy. "semantic" needs embed."""
+    """The chunks table of sections, by the configured strategy. "semantic" goes by embed, or by hashed words without it."""
     name = config.chunker.strategy
     if name == "semantic":
-        if embed is None:
-            raise ValueError("the semantic strategy needs an embed function")
-        raw = chunking.semantic(sections, config.chunker, embed, tokenizer)
+        raw = chunking.semantic(sections, config.chunker, embed or embedding.hashed(), tokenizer)
     else:
         raw = CHUNKERS[name](sections, config.chunker, tokenizer)
     return rows.build_chunks(raw, name, tokenizer, config.enrich)

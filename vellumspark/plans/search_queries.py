@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,9 +85,20 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-def _document_index(spark: SparkSession, sf_dir: str, asked: bool = True) -> search.Index:
-    """An index of all documents, for the benchmark's words or for all."""
-    return search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"), _queries(spark, sf_dir) if asked else None)
+_INDEXES: dict[tuple, search.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], search.Index]) -> search.Index:
+    """An index that is built by the first query that asks for it in a session, and only read by the others."""
+    place = (spark.sparkContext.applicationId, sf_dir, name)
+    if place not in _INDEXES:
+        _INDEXES[place] = build()
+    return _INDEXES[place]
+
+
+def _document_index(spark: SparkSession, sf_dir: str) -> search.Index:
+    """An index of all words of all documents."""
+    return _index(spark, sf_dir, "documents", lambda: search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
 
 
 def _bm25_sql(source: str, key: str, k: int, name: str = "lex") -> str:
@@ -102,7 +115,8 @@ def _bm25_sql(source: str, key: str, k: int, name: str = "lex") -> str:
 
 @query
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = _document_index(spark, sf_dir, asked=False)
+    """The index built anew: words of all documents and in how many of them each is."""
+    index = search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
     return index.terms.crossJoin(F.broadcast(index.totals)).select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
 
 
@@ -183,7 +197,8 @@ oracle("filtered_search", f"WITH {_FUSED}, f AS (SELECT query_id, chunk_key, (ro
 
 def _dialogue_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     chunks = dialogue_chunks(spark, sf_dir).withColumn("chunk_key", F.col("chunk_id"))
-    hits = search.bm25_search(search.build_index(chunks, "chunk_key", F.col("text"), _queries(spark, sf_dir)), _queries(spark, sf_dir), 3)
+    index = _index(spark, sf_dir, "dialogue", lambda: search.build_index(chunks, "chunk_key", F.col("text")))
+    hits = search.bm25_search(index, _queries(spark, sf_dir), 3)
     return chunks, hits.select("query_id", "chunk_key", "rank", F.col("bm25_score").alias("score"), F.lit(0.0).alias("dense_score"), "bm25_score")
 
 
@@ -260,8 +275,9 @@ oracle("rag_prompt", f"WITH {_HITS} SELECT query_id, string_agg(concat('[', rank
 def hit_at_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of the passages that occur in documents: is one of these documents among the first k, and how high."""
     docs, asked = table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    relevant = docs.select("doc_id", "text").join(asked, F.col("text").contains(F.col("query"))).select("query_id", F.col("doc_id").alias("chunk_key"))
-    hits = search.bm25_search(_document_index(spark, sf_dir), asked, 10)
+    index = _document_index(spark, sf_dir)
+    relevant = search.containing(docs.select(F.col("doc_id").alias("chunk_key"), "text"), asked, index)
+    hits = search.bm25_search(index, asked, 10)
     return pipeline.retrieval_metrics(hits, relevant)
 
 
@@ -363,10 +379,22 @@ oracle("confidence_tiers", "SELECT CASE WHEN quality * 0.5::DOUBLE + (1 - toxic)
 def enriched_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns enriched by the offline stand-in, each distinct text once."""
     empty = spark.createDataFrame([], "text_hash string, payload string")
-    found, _ = enrich.enrich(dialogue_chunks(spark, sf_dir), empty, keep=lambda df: df)
+    found, _ = enrich.enrich(dialogue_chunks(spark, sf_dir), empty)
     return found.select("doc_id", "chunk_index", "cache_status", "summary", "prev_summary", "next_summary", F.array_join("keywords", "|").alias("keywords"), F.round("confidence", 6).alias("confidence"))
 
 
+oracle(
+    "enriched_chunks",
+    rf"""WITH {DIALOGUE}, b AS (SELECT *, regexp_replace(text, '^\s+|\s+$', '', 'g') AS body FROM c),
+    s AS (SELECT doc_id, chunk_index, text, CASE WHEN row_number() OVER (PARTITION BY text ORDER BY doc_id, chunk_index) > 1 THEN 'HIT' ELSE 'MISS' END AS cache_status,
+        substr(regexp_extract(concat(body, ' '), '^(.*?[.!?])\s', 1), 1, 200) AS lead, substr(body, 1, 200) AS whole, least(1.0::DOUBLE, length(text) / 400::DOUBLE) AS confidence FROM b),
+    w AS (SELECT doc_id, chunk_index, word, count(*) AS n FROM (SELECT doc_id, chunk_index, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM c) WHERE length(word) > 4 GROUP BY ALL),
+    k AS (SELECT doc_id, chunk_index, string_agg(word, '|' ORDER BY n DESC, word) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, chunk_index ORDER BY n DESC, word) AS r FROM w) WHERE r <= 5 GROUP BY ALL),
+    t AS (SELECT s.doc_id, s.chunk_index, cache_status, CASE WHEN lead <> '' THEN lead ELSE whole END AS summary, coalesce(keywords, '') AS keywords, round(confidence, 6) AS confidence FROM s LEFT JOIN k USING (doc_id, chunk_index))
+    SELECT doc_id, chunk_index, cache_status, summary, coalesce(lag(summary) OVER o, '') AS prev_summary, coalesce(lead(summary) OVER o, '') AS next_summary, keywords, confidence FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY chunk_index)""",
+)
+
+
 # --- sinks ----------------------------------------------------------------------------------------------------
 
 
@@ -425,6 +453,45 @@ def process_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts over all turns, with both legs and expansion."""
     chunks = rows.with_context(dialogue_chunks(spark, sf_dir))
-    vectors = chunks.join(_vectors(spark, sf_dir), F.col("doc_id") == F.col("chunk_key")).select(F.col("chunk_id").alias("chunk_key"), "embedding")
+    # a turn's vector is that of its conversation's number, counted round
+    vectors = _vectors(spark, sf_dir)
+    count = vectors.agg(F.count("*").alias("n_vectors"))
+    placed = chunks.crossJoin(F.broadcast(count)).select(F.col("chunk_id"), F.pmod("doc_id", "n_vectors").alias("v"))
+    vectors = placed.join(vectors, F.col("v") == F.col("chunk_key")).select(F.col("chunk_id").alias("chunk_key"), "embedding")
     config = RetrievalConfig(0.5, 0.5, expand_parents=True, expand_neighbors=1)
-    return search.hybrid_search(chunks, _asked_vectors(spark, sf_dir), vectors, config, top_k=3)
+    text = search.search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context"))
+    index = _index(spark, sf_dir, "turns", lambda: search.build_index(chunks, "chunk_id", text))
+    found = search.hybrid_search(chunks, _asked_vectors(spark, sf_dir), vectors, config, top_k=3, index=index)
+    return found.select("query_id", F.col("chunk_key").alias("chunk_id"), "rank", F.round("score", 8).alias("score"), F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"), "via")
+
+
+_COSINE = "list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) / (sqrt(list_inner_product(a.embedding::DOUBLE[], a.embedding::DOUBLE[])) * sqrt(list_inner_product(b.embedding::DOUBLE[], b.embedding::DOUBLE[])) + 1e-10)"
+oracle(
+    "hybrid_search",
+    f"""WITH {DIALOGUE}, sc AS (SELECT chunk_id, concat_ws(' ', text, '', '', '', parent_context) AS text FROM c), {_bm25_sql('sc', 'chunk_id', 9)},
+    cv AS (SELECT chunk_id, embedding FROM c JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)),
+    den_s AS (SELECT item_id AS query_id, b.chunk_id AS chunk_key, greatest(0.0::DOUBLE, {_COSINE}) AS dense_score FROM benchmark JOIN embeddings a ON item_id = a.vec_id CROSS JOIN cv b),
+    den AS (SELECT * FROM (SELECT query_id, chunk_key, (row_number() OVER (PARTITION BY query_id ORDER BY round(dense_score, 10) DESC, chunk_key) - 1)::INTEGER AS rank, dense_score FROM den_s WHERE dense_score > 0) WHERE rank < 9),
+    lx AS (SELECT * FROM lex WHERE query_id IN (SELECT vec_id FROM embeddings)),
+    u AS (SELECT query_id, chunk_key, 0.5::DOUBLE / (61 + rank) AS part, dense_score, NULL AS bm25_score, rank AS dr, NULL AS br FROM den UNION ALL SELECT query_id, chunk_key, 0.5::DOUBLE / (61 + rank), NULL, bm25_score, NULL, rank FROM lx),
+    fs AS (SELECT query_id, chunk_key, sum(part) AS score, coalesce(max(dense_score), 0) AS dense_score, coalesce(max(bm25_score), 0) AS bm25_score, max(dr) AS dr, max(br) AS br FROM u GROUP BY ALL),
+    h AS (SELECT * FROM (SELECT query_id, chunk_key, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 10) DESC, dr NULLS LAST, br NULLS LAST) - 1)::INTEGER AS rank, score, dense_score, bm25_score FROM fs) WHERE rank < 3),
+    m AS (SELECT query_id, o.chunk_id AS chunk_key, rank AS by_rank, 0 AS kind, o.doc_id AS s1, o.chunk_index AS s2, score * 0.9::DOUBLE AS score, dense_score, bm25_score FROM h JOIN c i ON i.chunk_id = h.chunk_key JOIN c o ON o.doc_id = i.doc_id AND o.section_id = i.section_id
+        UNION ALL SELECT query_id, o.chunk_id, rank, CASE WHEN o.chunk_index < i.chunk_index THEN 1 ELSE 2 END, 0, 1, score * 0.85::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE FROM h JOIN c i ON i.chunk_id = h.chunk_key JOIN c o ON o.doc_id = i.doc_id AND abs(o.chunk_index - i.chunk_index) = 1),
+    a AS (SELECT * FROM m WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.query_id = m.query_id AND h.chunk_key = m.chunk_key)),
+    f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_key ORDER BY by_rank, kind, s1, s2) AS first FROM a) WHERE first = 1),
+    e AS (SELECT query_id, chunk_key, rank AS by_rank, -1 AS kind, 0 AS s1, 0 AS s2, score, dense_score, bm25_score FROM h UNION ALL SELECT query_id, chunk_key, by_rank, kind, s1, s2, score, dense_score, bm25_score FROM f)
+    SELECT query_id, chunk_key AS chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN kind < 0 THEN 0 ELSE 1 END, by_rank, kind, s1, s2) - 1)::INTEGER AS rank, round(score, 8) AS score, round(dense_score, 6) AS dense_score, round(bm25_score, 6) AS bm25_score,
+        CASE WHEN kind < 0 THEN 'hit' WHEN kind = 0 THEN 'section' ELSE 'neighbor' END AS via FROM e""",
+)
+
+
+@query
+def dense_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """dense_topk by blocks of queries and of vectors, as beyond the size of what is broadcast."""
+    asked = _vectors(spark, sf_dir).withColumnRenamed("chunk_key", "query_id")
+    hits = search.dense_search(_vectors(spark, sf_dir), asked, 10, broadcast_bytes=100_000)
+    return hits.select("query_id", F.col("chunk_key").alias("vec_id"), "rank", F.round("dense_score", 6).alias("dense_score"))
+
+
+oracle("dense_blocks", f"WITH {_dense_sql(10, 'embeddings a', 'a.vec_id')} SELECT query_id, chunk_key AS vec_id, rank, round(dense_score, 6) AS dense_score FROM den")

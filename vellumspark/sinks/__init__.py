@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from pathlib import Path
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumspark.operators.rows import embed_text
@@ -61,16 +61,23 @@ def _common(chunks: DataFrame) -> dict[str, Column]:
     return fields | {"page": F.coalesce("page", F.lit(0))}
 
 
-def vector_records(chunks: DataFrame) -> DataFrame:
-    """(id, embed_text, metadata): lists stay lists, nothing is null."""
+def _embedded(records: DataFrame, text: str, embed: Callable[[Column], Column] | None) -> DataFrame:
+    """records with `values`, the vector of their text, where an embed function is given."""
+    return records if embed is None else records.withColumn("values", embed(F.col(text)))
+
+
+def vector_records(chunks: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, embed_text, metadata[, values]): lists stay lists, nothing is null. embed: a text column to a vector column."""
     fields = {"text": F.col("text"), "contextual_text": F.col("contextual_text"), "entities": F.col("entities"), "keywords": F.col("keywords")} | _common(chunks)
-    return chunks.select(F.col("chunk_id").alias("id"), embed_text(F.col("contextual_text"), F.col("text")).alias("embed_text"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("metadata"))
+    found = chunks.select(F.col("chunk_id").alias("id"), embed_text(F.col("contextual_text"), F.col("text")).alias("embed_text"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("metadata"))
+    return _embedded(found, "embed_text", embed)
 
 
-def collection_records(chunks: DataFrame) -> DataFrame:
-    """(id, document, metadata) of stores that take scalars only: lists are joined by a comma."""
+def collection_records(chunks: DataFrame, embed: Callable[[Column], Column] | None = None) -> DataFrame:
+    """(id, document, metadata[, values]) of stores that take scalars only: lists are joined by a comma."""
     fields = {"raw_text": F.col("text"), "entities": F.array_join("entities", ", "), "keywords": F.array_join("keywords", ", ")} | _common(chunks)
-    return chunks.select(F.col("chunk_id").alias("id"), embed_text(F.col("contextual_text"), F.col("text")).alias("document"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("metadata"))
+    found = chunks.select(F.col("chunk_id").alias("id"), embed_text(F.col("contextual_text"), F.col("text")).alias("document"), F.struct(*[v.alias(k) for k, v in fields.items()]).alias("metadata"))
+    return _embedded(found, "document", embed)
 
 
 def upsert(records: DataFrame, connect: Callable[[], Callable[[list[dict]], None]], batch: int = BATCH) -> None:
@@ -88,33 +95,46 @@ def upsert(records: DataFrame, connect: Callable[[], Callable[[list[dict]], None
     records.foreachPartition(send)
 
 
+def _paths(spark: SparkSession, *paths: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    made = [jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    return made[0].getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), *made
+
+
 def write_cache(cache: DataFrame, path: str) -> None:
-    """The enrichment cache, into a new folder that then takes the old one's place."""
+    """The enrichment cache, into a new folder that then takes the old one's place; until it has, the old one stays aside."""
     spark = cache.sparkSession
     cache.select("text_hash", "payload").write.mode("overwrite").parquet(path + ".new")
-    jvm = spark.sparkContext._jvm
-    new, old = jvm.org.apache.hadoop.fs.Path(path + ".new"), jvm.org.apache.hadoop.fs.Path(path)
-    fs = old.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at, new, old = _paths(spark, path, path + ".new", path + ".old")
+    if fs.exists(at):
+        fs.delete(old, True)
+        fs.rename(at, old)
+    if not fs.rename(new, at):
+        raise OSError(f"{path}.new can't take the place of {path}")
     fs.delete(old, True)
-    fs.rename(new, old)
 
 
-def read_cache(spark, path: str) -> DataFrame:  # noqa: ANN001
-    """The cache, or an empty one where there is none."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
-        return spark.createDataFrame([], "text_hash string, payload string")
-    return spark.read.schema("text_hash string, payload string").parquet(path)
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """The cache, or what a broken write left aside of it, or an empty one."""
+    fs, at, old = _paths(spark, path, path + ".old")
+    for place, name in ((at, path), (old, path + ".old")):
+        if fs.exists(place):
+            return spark.read.schema("text_hash string, payload string").parquet(name)
+    return spark.createDataFrame([], "text_hash string, payload string")
 
 
-FORMATS = ("json", "jsonl", "dict")
+FORMATS = ("json", "jsonl", "dict", "vectors", "collection")
 
 
-def export(chunks: DataFrame, kind: str, path: str = "") -> list[dict] | None:
-    """json, jsonl (both to path) or dict."""
+def export(chunks: DataFrame, kind: str, path: str = "", connect: Callable[[], Callable[[list[dict]], None]] | None = None, embed: Callable[[Column], Column] | None = None, batch: int = BATCH) -> list[dict] | None:
+    """json, jsonl (both to path), dict, or to a store by connect (see upsert): vectors or a collection, with embed's vectors."""
     if kind == "dict":
         return to_dicts(chunks)
     if kind not in FORMATS:
         raise ValueError(f"kind must be one of {', '.join(FORMATS)}")
-    return {"json": write_json, "jsonl": write_jsonl}[kind](chunks, path)
+    if kind in ("json", "jsonl"):
+        return {"json": write_json, "jsonl": write_jsonl}[kind](chunks, path)
+    if connect is None:
+        raise ValueError(f"{kind} needs connect")
+    records = vector_records if kind == "vectors" else collection_records
+    return upsert(records(chunks, embed), connect, batch)
