@@ -96,6 +96,62 @@ def test_bpe_tokenizer(spark):
     assert all(bpe.codec().count(r.text) <= 16 for r in got) and len(got) > 5
 
 
+def slow_split(codec, text, size, overlap, separators=chunking.SEPARATORS):
+    """The splitter as specified: each candidate is encoded whole."""
+    if codec.count(text) <= size:
+        return [text] if text.strip() else []
+    for k, glue in enumerate(separators):
+        if glue in text:
+            break
+    else:
+        tokens = codec.split(text)
+        return [c for i in range(0, len(tokens), max(1, size - overlap)) if (c := codec.join(tokens[i : i + size])).strip()]
+    done, held = [], ""
+    for part in text.split(glue):
+        longer = held + glue + part if held else part
+        if codec.count(longer) <= size:
+            held = longer
+            continue
+        done += [held] if held else []
+        held = ""
+        if codec.count(part) <= size:
+            held = part
+        else:
+            done += slow_split(codec, part, size, overlap, separators[k + 1 :])
+    done += [held] if held else []
+    tails = [codec.join(codec.split(c)[-overlap:]) for c in done[:-1]] if overlap else []
+    return done[:1] + [f"{t} {c}" for t, c in zip(tails, done[1:], strict=True)] if overlap else done
+
+
+@pytest.mark.parametrize(("size", "overlap"), [(3, 0), (10, 3), (40, 10)])
+def test_splitting_is_the_plain_splitter(size, overlap):
+    rng = random.Random(size)
+    atoms = ["word", "l'été", "漢字", "don't", "12", "3.5", " ", "  ", "\n", "\n\n", ". ", "! ", "; ", ", ", "x" * 30, "-", "\u00a0", "..", "😀"]
+    texts = ["".join(rng.choice(atoms) + rng.choice(["", " "]) for _ in range(rng.randint(0, 120))) for _ in range(60)]
+    for codec in (WordCodec(), Tokenizer("bpe", "/opt/tokenizers/byte_bpe_50k.tiktoken").codec()):
+        for text in texts:
+            assert chunking.Splitter(codec, size, overlap)(text) == slow_split(codec, text, size, overlap), text
+
+
+def test_registered_chunk_queries_are_the_plain_splitter(spark):
+    """recursive_chunks, structural_chunks_split and process_text over all documents of a small table."""
+    from vellumspark.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    config, codec = ChunkerConfig(), WordCodec()
+    want = {}
+    for r in spark.read.parquet(f"{folder}/documents.parquet").collect():
+        blocks = [" ".join(b.split()) for b in (r.text or "").replace("\r\n", "\n").replace("\r", "\n").split("\n\n")]
+        want[r.doc_id] = [p.strip() for b in blocks if b for p in slow_split(codec, b, config.chunk_size, config.chunk_overlap) if p.strip()]
+    assert max(map(len, want.values())) > 3
+    for name in ("recursive_chunks", "structural_chunks_split", "process_text"):
+        got = {}
+        order = "chunk_index" if name != "structural_chunks_split" else "chunk_ord"
+        for r in sorted(catalog.queries()[name](spark, folder).collect(), key=lambda r: (r.doc_id, r.asDict().get("section_ord", 0), r[order])):
+            got.setdefault(r.doc_id, []).append(r.text if name != "process_text" else r.contextual_text.split("\n", 1)[1])
+        assert got == {i: c for i, c in want.items() if c}, name
+
+
 def test_chunk_rows(spark):
     docs = spark.createDataFrame([(1, "d", "# A\none two\n## B\nthree"), (2, "e", "plain")], "doc_id long, source string, text string")
     raw = chunking.structural(markdown.markdown_sections(docs), ChunkerConfig())

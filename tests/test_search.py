@@ -55,8 +55,7 @@ def test_bm25_is_the_plain_formula(spark):
 def test_index_saved_and_loaded(spark, tmp_path):
     df = spark.createDataFrame([(1, "a b"), (2, "b c"), (3, "")], "id long, text string")
     queries = spark.createDataFrame([(0, "b c")], "query_id long, query string")
-    index = search.build_index(df, "id", F.col("text"))
-    index.save(str(tmp_path / "i"))
+    index = search.build_index(df, "id", F.col("text"), str(tmp_path / "i"))
     loaded = search.Index.load(spark, str(tmp_path / "i"))
     assert search.bm25_search(loaded, queries).collect() == search.bm25_search(index, queries).collect()
     assert loaded.totals.first().n == 3

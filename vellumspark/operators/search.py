@@ -42,24 +42,10 @@ class Index:
     terms: DataFrame
     totals: DataFrame
 
-    def save(self, path: str) -> Index:
-        """The index as tables under path, postings clustered by term, so that a search reads the row groups of its terms only."""
-        spark = self.postings.sparkSession
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        # terms are counted from what was just written: the texts aren't read again
-        written = spark.read.parquet(f"{path}/postings")
-        document_frequency(written).write.mode("overwrite").parquet(f"{path}/terms")
-        self.totals.write.mode("overwrite").parquet(f"{path}/totals")
-        return Index.load(spark, path)
-
     @staticmethod
     def load(spark, path: str) -> Index:  # noqa: ANN001
-        return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("postings", "terms", "totals")))
-
-
-def document_frequency(postings: DataFrame) -> DataFrame:
-    """(term, df)."""
-    return postings.groupBy("term").agg(F.count("*").alias("df"))
+        said, terms, totals = (spark.read.parquet(f"{path}/{part}") for part in ("words", "terms", "totals"))
+        return Index(said.where("term is not null"), terms, totals)
 
 
 _WORD = re.compile(r"\w+")
@@ -90,13 +76,19 @@ def counted_words(chunks: DataFrame, key: str, text: Column) -> DataFrame:
 def build_index(chunks: DataFrame, key: str, text: Column, path: str | None = None) -> Index:
     """An inverted index; chunks without words count towards n and the mean length. The texts are read and split once.
 
-    With a path the index is saved there; without, it goes to the workspace.
+    It is saved at path, or in the workspace: postings clustered by term (a term that many chunks have is split over
+    files), then what is counted from them.
     """
     spark = chunks.sparkSession
-    said = workspace.kept(counted_words(chunks, key, text))
-    postings = said.where("term is not null")
-    totals = said.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
-    return Index(postings, document_frequency(postings), totals).save(path or workspace.folder(spark))
+    path = path or workspace.folder(spark)
+    said = counted_words(chunks, key, text)
+    # rows without a term are spread by their chunk
+    placed = said.withColumn("place", F.coalesce("term", F.col("chunk_key").cast("string"))).hint("rebalance", "place").drop("place")
+    placed.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words")
+    written = spark.read.parquet(f"{path}/words")
+    written.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
+    written.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    return Index.load(spark, path)
 
 
 def query_terms(queries: DataFrame) -> DataFrame:

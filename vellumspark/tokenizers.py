@@ -27,6 +27,10 @@ class WordCodec:
     def count(self, text: str) -> int:
         return len(self._WORD.findall(text))
 
+    def seam(self, text: str, start: int) -> int:
+        """No place is known: the text is counted anew."""
+        return start
+
     def split(self, text: str) -> list[str]:
         """Pieces that add up to the text, one a word; what follows the last word is part of it."""
         found = self._PIECE.findall(text)
@@ -41,9 +45,14 @@ class WordCodec:
 class BpeCodec:
     """Byte-pair tokens of a rank file; strings of special tokens are ordinary text."""
 
+    #: A blank between a sign that isn't one and a letter, digit or sign: PATTERN begins a piece there, whatever is around.
+    _SEAM = re.compile(r"(?<=\S) (?=\S)")
+
     def __init__(self, path: str, pattern: str = PATTERN):
         import tiktoken
 
+        self._seams = pattern == PATTERN
+
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self._coder = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
@@ -51,6 +60,15 @@ class BpeCodec:
     def count(self, text: str) -> int:
         return len(self._coder.encode_ordinary(text))
 
+    def seam(self, text: str, start: int) -> int:
+        """The last place from start on that no token reaches over, whatever is added to the text; start where none is known."""
+        if not self._seams:
+            return start
+        at = text.rfind(" ", start + 1, len(text) - 1)
+        while at > start and not self._SEAM.match(text, at):
+            at = text.rfind(" ", start + 1, at)
+        return max(at, start)
+
     def split(self, text: str) -> list[int]:
         return self._coder.encode_ordinary(text)
 
