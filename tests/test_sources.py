@@ -177,3 +177,41 @@ def test_names(spark):
     df = spark.createDataFrame([("/a/b/c.tar.GZ",), (".hidden",), ("plain",)], "p string")
     got = df.select(T.file_name(F.col("p")).alias("n"), T.file_suffix(F.col("p")).alias("x"), T.file_stem(F.col("p")).alias("s")).collect()
     assert [tuple(r) for r in got] == [("c.tar.GZ", ".gz", "c.tar"), (".hidden", "", ".hidden"), ("plain", "", "plain")]
+
+
+def small_pdf(*pages, packed=True):
+    import zlib
+
+    objects = ["<< /Type /Catalog /Pages 2 0 R >>", f"<< /Type /Pages /Kids [{' '.join(f'{3 + 2 * k} 0 R' for k in range(len(pages)))}] /Count {len(pages)} >>"]
+    parts = [o.encode() for o in objects]
+    for k, content in enumerate(pages):
+        data = zlib.compress(content) if packed else content
+        parts.append(f"<< /Type /Page /Parent 2 0 R /Contents {4 + 2 * k} 0 R >>".encode())
+        parts.append(f"<< /Length {len(data)}{' /Filter /FlateDecode' if packed else ''} >>\nstream\n".encode() + data + b"\nendstream")
+    return b"%PDF-1.4\n" + b"".join(f"{k} 0 obj\n".encode() + p + b"\nendobj\n" for k, p in enumerate(parts, 1)) + b"trailer << /Root 1 0 R >>\n%%EOF"
+
+
+PAGES = (b"BT /F1 12 Tf 72 700 Td (# Head) Tj 0 -14 Td [(Some) -300 (te) 20 (xt \\(here\\))] TJ ET", b"BT 72 700 Td (Second p\\351ge) Tj T* <4142> Tj ET")
+
+
+def test_pdf_pages():
+    from vellumspark.sources import pdf
+
+    for packed in (True, False):
+        assert pdf.pages(small_pdf(*PAGES, packed=packed)) == ["# Head\nSome text (here)", "Second p\u00e9ge\nAB"]
+    assert pdf.pages(small_pdf()) == []
+    with pytest.raises(ValueError):
+        pdf.pages(b"no such file")
+
+
+def test_pdf_files_are_sections(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(small_pdf(*PAGES))
+    (tmp_path / "b.PDF").write_bytes(small_pdf(b"BT (| a | b |) Tj T* (| --- | --- |) Tj T* (| 1 | 2 |) Tj ET"))
+    rows = files.parse_files(files.read_files(spark, str(tmp_path))).orderBy("source", "section_ord").collect()
+    assert [(r.source, r.page, r.heading, r.content_type) for r in rows] == [("a.pdf", 1, "Head", "text"), ("a.pdf", 2, None, "text"), ("b.PDF", 1, None, "table")]
+    assert rows[0].text == "Some text (here)" and rows[2].table_data.rows == [["1", "2"]]
+    files.register(".pdf", files.pdf_branch(lambda data: ["# Own\nfrom a tool"]))
+    try:
+        assert {r.text for r in files.parse_files(files.read_files(spark, str(tmp_path))).collect()} == {"from a tool"}
+    finally:
+        files._OWN.pop(".pdf")

@@ -1,7 +1,7 @@
 """Files of many formats as sections: a branch for each format over binaryFile, joined by union.
 
 Text and Markdown stay in built-in expressions. The others need a parser of their own, all from the standard library,
-and run in mapInPandas. PDF pages come as Markdown that a layout tool wrote (markdown.page_sections).
+and run in mapInPandas. PDF pages are read by pdf.pages(), or by a layout tool that writes Markdown (pdf_branch()).
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vellumspark import schemas
 from vellumspark.functions import text as T
-from vellumspark.sources import markdown, plain
+from vellumspark.sources import markdown, pdf, plain
 
 # --- sections in Python ---------------------------------------------------------------------------------------
 
@@ -350,7 +350,22 @@ def register(suffix: str, branch: Callable[[DataFrame], DataFrame]) -> None:
 
 
 def supported() -> set[str]:
-    return {*PARSERS, *TEXT_SUFFIXES, *MARKDOWN_SUFFIXES, *_OWN}
+    return {*PARSERS, *TEXT_SUFFIXES, *MARKDOWN_SUFFIXES, ".pdf", *_OWN}
+
+
+def pdf_branch(pages: Callable[[bytes], list[str]] = pdf.pages) -> Callable[[DataFrame], DataFrame]:
+    """A branch for PDF files by a function of a file's bytes that gives its pages' Markdown; to be registered for ".pdf"."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(doc_id, source, k, text) for doc_id, source, content in batch.itertuples(index=False) for k, text in enumerate(pages(content), 1)]
+            yield pd.DataFrame(rows, columns=["doc_id", "source", "page", "text"])
+
+    def branch(docs: DataFrame) -> DataFrame:
+        read = docs.select("doc_id", "source", "content").mapInPandas(run, "doc_id long, source string, page int, text string")
+        return markdown.page_sections(read.withColumn("figures", F.lit(None).cast(schemas.SECTION_FIELDS["figures"])))
+
+    return branch
 
 
 # --- in Spark -------------------------------------------------------------------------------------------------
@@ -404,7 +419,7 @@ def parse_files(found: DataFrame) -> DataFrame:
     branch(set(TEXT_SUFFIXES) - set(_OWN), lambda df: plain.text_sections(as_text(df)))
     branch(set(MARKDOWN_SUFFIXES) - set(_OWN), lambda df: markdown.markdown_sections(as_text(df)))
     branch(set(PARSERS) - set(_OWN), lambda df: parse_with(_by_suffix, df))
-    for suffix, own in _OWN.items():
+    for suffix, own in ({".pdf": pdf_branch()} | _OWN).items():
         branch({suffix}, own)
     out = parts[0] if parts else plain.text_sections(found.select("doc_id", "source", F.lit("").alias("text")))
     for part in parts[1:]:
