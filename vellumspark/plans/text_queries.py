@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vellumspark.config import ChunkerConfig
@@ -144,6 +144,89 @@ def content_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("content_type_counts", f"WITH {_ISLANDS} SELECT kind AS content_type, count(*) AS n FROM k GROUP BY kind")
 
 
+# --- files ----------------------------------------------------------------------------------------------------
+
+
+def _sections_of(parser, docs: DataFrame) -> DataFrame:  # noqa: ANN001
+    """Sections of files whose content is in the table: doc_id, source, content."""
+    found = files.parse_with(parser, docs.withColumn("content", F.encode("content", "UTF-8")))
+    return found.select("doc_id", "source", "section_ord", "heading", "level", "content_type", F.array_join("parent_headings", " → ").alias("parents"), "text")
+
+
+def _nation_lists(spark: SparkSession, sf_dir: str, line: Column, glue: str) -> DataFrame:
+    """A file for each nation that has customers: a line for each of them, in order of their keys."""
+    listed = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", line.alias("l")))), lambda x: x["l"]), glue).alias("lines"))
+    return listed.withColumn("source", F.concat(F.lit("nation."), F.col("doc_id").cast("string"), F.lit(".dat")))
+
+
+@query
+def csv_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of quoted names and ragged rows: customers without a segment in the list lack the last cell."""
+    cell = F.when(F.col("c_custkey") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit(","), "c_mktsegment"))
+    found = _nation_lists(spark, sf_dir, F.concat(F.col("c_custkey").cast("string"), F.lit(',"'), "c_name", F.lit(', Ltd"'), cell), "\n")
+    return _sections_of(files.csv_file, found.withColumn("content", F.concat(F.lit("\ufeffkey,name,segment\n\n"), "lines", F.lit("\n,,\n"))))
+
+
+_CUSTOMER_LINES = """SELECT c_nationkey::BIGINT AS doc_id, concat('nation.', c_nationkey, '.dat') AS source, concat('nation.', c_nationkey) AS heading, {} AS text FROM customer GROUP BY c_nationkey"""
+oracle(
+    "csv_sections",
+    f"""WITH t AS ({_CUSTOMER_LINES.format("""concat('**Table: nation.', c_nationkey, '.dat**', chr(10), chr(10), '| key | name | segment |', chr(10), '| --- | --- | --- |', chr(10),
+        string_agg(concat('| ', c_custkey, ' | ', c_name, ', Ltd | ', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE c_mktsegment END, ' |'), chr(10) ORDER BY c_custkey))""")})
+    SELECT doc_id, source, 0::INTEGER AS section_ord, heading, 1::INTEGER AS level, 'table' AS content_type, '' AS parents, text FROM t""",
+)
+
+
+@query
+def json_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each customer, shown with an indent."""
+    content = F.concat(F.lit('{"key":'), F.col("c_custkey").cast("string"), F.lit(',"name":"'), "c_name", F.lit('", "tags":["'), "c_mktsegment", F.lit('",null],"none":{}}'))
+    return _sections_of(files.json_file, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat("c_name", F.lit(".json")).alias("source"), content.alias("content")))
+
+
+oracle(
+    "json_sections",
+    """SELECT c_custkey AS doc_id, concat(c_name, '.json') AS source, 0::INTEGER AS section_ord, c_name AS heading, 1::INTEGER AS level, 'text' AS content_type, '' AS parents,
+        concat('{', chr(10), '  "key": ', c_custkey, ',', chr(10), '  "name": "', c_name, '",', chr(10), '  "tags": [', chr(10), '    "', c_mktsegment, '",', chr(10), '    null', chr(10), '  ],', chr(10), '  "none": {}', chr(10), '}') AS text FROM customer""",
+)
+
+
+@query
+def xml_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, with text behind elements and entities in it."""
+    found = _nation_lists(spark, sf_dir, F.concat(F.lit("<c><k>"), F.col("c_custkey").cast("string"), F.lit("</k> tail <n>"), "c_name", F.lit(" &amp; sons</n></c>")), "\n")
+    return _sections_of(files.xml_file, found.withColumn("content", F.concat(F.lit("<list> lead "), "lines", F.lit("</list>"))))
+
+
+_XML_TEXT = "concat('lead', chr(10), string_agg(concat(c_custkey, chr(10), 'tail', chr(10), c_name, ' & sons'), chr(10) ORDER BY c_custkey))"
+oracle("xml_sections", f"WITH t AS ({_CUSTOMER_LINES.format(_XML_TEXT)}) SELECT doc_id, source, 0::INTEGER AS section_ord, heading, 1::INTEGER AS level, 'text' AS content_type, '' AS parents, text FROM t")
+
+
+@query
+def html_table_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each nation: a heading, a paragraph (inline text is joined without blanks), and its customers as a table under a second heading."""
+    found = _nation_lists(spark, sf_dir, F.concat(F.lit("<tr><td>"), F.col("c_custkey").cast("string"), F.lit("</td><td>"), "c_name", F.lit("</td></tr>")), "")
+    head = F.concat(F.lit("<html><body><h1>Nation "), F.col("doc_id").cast("string"), F.lit("</h1><p>Some <b>bold</b> &amp; plain<h2>List</h2><table><tr><th>Key</th><th>Name</th></tr>"))
+    return _sections_of(files.html_file, found.withColumn("content", F.concat(head, "lines", F.lit("</table></body></html>"))))
+
+
+oracle(
+    "html_table_sections",
+    f"""WITH t AS ({_CUSTOMER_LINES.format("concat('| Key | Name |', chr(10), '| --- | --- |', chr(10), string_agg(concat('| ', c_custkey, ' | ', c_name, ' |'), chr(10) ORDER BY c_custkey))")})
+    SELECT doc_id, source, 0::INTEGER AS section_ord, concat('Nation ', doc_id) AS heading, 1::INTEGER AS level, 'text' AS content_type, concat('Nation ', doc_id) AS parents, 'Somebold& plain' AS text FROM t
+    UNION ALL SELECT doc_id, source, 1, 'List', 2, 'table', concat('Nation ', doc_id, ' → List'), text FROM t""",
+)
+
+
+@query
+def text_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are set apart by blank lines: a section for each line that isn't blank."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.regexp_replace("text", "\n", "\r\n\r\n"))
+    return plain.text_sections(docs).select("doc_id", "section_ord", "text")
+
+
+oracle("text_blocks", r"SELECT doc_id, (generate_subscripts(b, 1) - 1)::INTEGER AS section_ord, unnest(b) AS text FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS b FROM documents)")
+
+
 # --- sentences ------------------------------------------------------------------------------------------------
 
 _SENTENCES = r"list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\s+', concat('\1', chr(1)), 'g'), chr(1)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '')"
@@ -216,6 +299,27 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("semantic_chunks", f"WITH {_SEGMENTS} SELECT doc_id, segment, 0::INTEGER AS part, string_agg(concat('Vector ', vec_id, '.'), ' ' ORDER BY vec_id) AS text FROM b GROUP BY doc_id, segment")
 
 
+@query
+def semantic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The semantic chunker from end to end, with a vector of a sentence's words: cut where their number changes much."""
+    sections = plain.text_sections(table(spark, sf_dir, "documents"))
+    embed = lambda s: F.array(T.word_count(s).cast("float"), F.lit(8.0).cast("float"))
+    found = chunking.semantic(sections, ChunkerConfig(strategy="semantic", chunk_size=1_000_000, chunk_overlap=0, similarity_threshold=0.9), embed)
+    return found.select("doc_id", "section_ord", "chunk_ord", "text")
+
+
+oracle(
+    "semantic_documents",
+    rf"""WITH d AS (SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS text FROM documents), l AS (SELECT doc_id, text, {_SENTENCES} AS s FROM d WHERE text <> ''),
+    u AS (SELECT doc_id, generate_subscripts(s, 1) AS ord, unnest(s) AS sentence FROM l WHERE len(s) > 2), n AS (SELECT *, {_COUNT.format('sentence')}::DOUBLE AS n FROM u),
+    p AS (SELECT *, lag(n) OVER (PARTITION BY doc_id ORDER BY ord) AS m FROM n),
+    c AS (SELECT *, round((n * m + 64::DOUBLE) / (sqrt(m * m + 64::DOUBLE) * sqrt(n * n + 64::DOUBLE) + 1e-10), 10) AS sim FROM p),
+    g AS (SELECT *, sum(CASE WHEN sim IS NULL OR sim < 0.9::DOUBLE THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ord ROWS UNBOUNDED PRECEDING) - 1 AS segment FROM c)
+    SELECT doc_id, 0::INTEGER AS section_ord, segment::INTEGER AS chunk_ord, string_agg(sentence, ' ' ORDER BY ord) AS text FROM g GROUP BY doc_id, segment
+    UNION ALL SELECT doc_id, 0, 0, text FROM l WHERE len(s) <= 2""",
+)
+
+
 # --- chunkers and rows ----------------------------------------------------------------------------------------
 
 
