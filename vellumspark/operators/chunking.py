@@ -108,7 +108,8 @@ def _split_udf(tokenizer: Tokenizer, config: ChunkerConfig, separators: tuple[st
         for texts in batches:
             yield texts.map(lambda t: [] if t is None else split(t))
 
-    return run
+    # the filter that the optimizer makes of an explode would run a deterministic function a second time
+    return run.asNondeterministic()
 
 
 def _pieces(sections: DataFrame, pieces: Column) -> DataFrame:
