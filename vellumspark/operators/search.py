@@ -23,6 +23,7 @@ from vellumspark.functions import text as T
 from vellumspark.operators.rows import embed_text
 
 K1, B, RRF_K = 1.5, 0.75, 60
+OKAPI_FLOOR = 0.25
 PLACES = 10
 
 
@@ -96,11 +97,23 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.words(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def bm25_scores(index: Index, queries: DataFrame) -> DataFrame:
-    """(query_id, chunk_key, raw): the positive scores. Only postings of the queries' terms are read on."""
-    terms = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.totals))
+def _idf(okapi: bool) -> Column:
+    """A term's weight by df and n; okapi: without the +1, so that words of more than half of the chunks are below 0."""
     n, df = F.col("n").cast("double"), F.col("df").cast("double")
-    idf = F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+    return F.log(n - df + 0.5) - F.log(df + 0.5) if okapi else F.log((n - df + 0.5) / (df + 0.5) + 1.0)
+
+
+def bm25_scores(index: Index, queries: DataFrame, okapi: bool = False) -> DataFrame:
+    """(query_id, chunk_key, raw): the positive scores. Only postings of the queries' terms are read on.
+
+    okapi: the classical weights; those below 0 become a quarter of the mean over all terms of the index.
+    """
+    terms = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.totals))
+    idf = _idf(okapi)
+    if okapi:
+        mean = index.terms.crossJoin(F.broadcast(index.totals)).agg(F.avg(idf).alias("mean_idf"))
+        terms = terms.crossJoin(F.broadcast(mean))
+        idf = F.when(idf < 0, OKAPI_FLOOR * F.col("mean_idf")).otherwise(idf)
     terms = terms.select("query_id", "term", (idf * F.col("times") * (K1 + 1)).alias("w"), "avgdl")
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("w") * tf / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
@@ -114,9 +127,9 @@ def ranked(hits: DataFrame, score: str, *ties: Column | str, limit: int | None =
     return (out.where(F.col(rank) <= limit) if limit is not None else out).withColumn(rank, F.col(rank) - 1)
 
 
-def bm25_search(index: Index, queries: DataFrame, top_k: int = 20) -> DataFrame:
+def bm25_search(index: Index, queries: DataFrame, top_k: int = 20, okapi: bool = False) -> DataFrame:
     """(query_id, chunk_key, rank, bm25_score): scores over the best one's."""
-    top = ranked(bm25_scores(index, queries), "raw", "chunk_key", limit=top_k)
+    top = ranked(bm25_scores(index, queries, okapi), "raw", "chunk_key", limit=top_k)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), (F.col("raw") / best).alias("bm25_score"))
 

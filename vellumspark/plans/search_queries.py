@@ -101,14 +101,19 @@ def _document_index(spark: SparkSession, sf_dir: str) -> search.Index:
     return _index(spark, sf_dir, "documents", lambda: search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
 
 
-def _bm25_sql(source: str, key: str, k: int, name: str = "lex") -> str:
+def _bm25_sql(source: str, key: str, k: int, name: str = "lex", okapi: bool = False) -> str:
     """CTEs that end in name(query_id, chunk_key, rank, bm25_score)."""
+    idf = "ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1)"
+    if okapi:
+        idf = "ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE)"
+    floored = "CASE WHEN idf < 0 THEN 0.25::DOUBLE * (avg(idf) OVER ()) ELSE idf END" if okapi else "idf"
     return f"""{name}_p AS (SELECT {key} AS chunk_key, {_WORDS.format("text")} AS ws FROM {source}),
     {name}_tf AS (SELECT chunk_key, len(ws) AS dl, term, count(*) AS tf FROM (SELECT chunk_key, ws, unnest(ws) AS term FROM {name}_p) GROUP BY ALL),
     {name}_df AS (SELECT term, count(*) AS df FROM {name}_tf GROUP BY term),
     {name}_n AS (SELECT count(*) AS n, avg(len(ws)) AS avgdl FROM {name}_p),
+    {name}_i AS (SELECT term, {floored} AS idf FROM (SELECT term, {idf} AS idf FROM {name}_df CROSS JOIN {name}_n)),
     {name}_q AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
-    {name}_s AS (SELECT query_id, chunk_key, sum(times * ln((n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE) + 1) * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw FROM {name}_q JOIN {name}_df USING (term) JOIN {name}_tf USING (term) CROSS JOIN {name}_n GROUP BY ALL),
+    {name}_s AS (SELECT query_id, chunk_key, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))) AS raw FROM {name}_q JOIN {name}_i USING (term) JOIN {name}_tf USING (term) CROSS JOIN {name}_n GROUP BY ALL),
     {name}_r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 10) DESC, chunk_key) - 1 AS rank FROM {name}_s WHERE raw > 0),
     {name} AS (SELECT query_id, chunk_key, rank::INTEGER AS rank, raw / max(raw) OVER (PARTITION BY query_id) AS bm25_score FROM {name}_r WHERE rank < {k})"""
 
@@ -132,6 +137,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("bm25_topk", f"WITH {_bm25_sql('documents', 'doc_id', 10)} SELECT query_id, chunk_key AS doc_id, rank, round(bm25_score, 6) AS bm25_score FROM lex")
 
 
+@query
+def bm25_okapi_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = search.bm25_search(_document_index(spark, sf_dir), _queries(spark, sf_dir), 10, okapi=True)
+    return hits.select("query_id", F.col("chunk_key").alias("doc_id"), "rank", F.round("bm25_score", 6).alias("bm25_score"))
+
+
+oracle("bm25_okapi_topk", f"WITH {_bm25_sql('documents', 'doc_id', 10, okapi=True)} SELECT query_id, chunk_key AS doc_id, rank, round(bm25_score, 6) AS bm25_score FROM lex")
+
+
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_key"), "embedding")
 
