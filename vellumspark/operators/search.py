@@ -179,7 +179,10 @@ def _best(q: np.ndarray, q_ids: pa.Array, x: np.ndarray, keys: pa.Array, top_k:
         r, c = r[order], c[order]
         first = np.arange(len(r)) - np.searchsorted(r, r, "left") < top_k
         r, c = r[first], c[first]
-        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(r + low)), keys.take(pa.array(c)), pa.array(score[r, c])], names=["query_id", "chunk_key", "dense_score"])
+        # a matrix product adds up in an order that hangs on its shape: what stays is added up anew, row by row
+        q_r = r + low
+        own = np.maximum(0.0, np.einsum("ij,ij->i", q[q_r], x[c]) / (q_norm[q_r] * norm[c] + 1e-10))
+        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_r)), keys.take(pa.array(c)), pa.array(own)], names=["query_id", "chunk_key", "dense_score"])
 
 
 def _block_search(vectors: DataFrame, asked: pa.Table, top_k: int, schema: str) -> DataFrame:
