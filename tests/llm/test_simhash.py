@@ -34,6 +34,89 @@ def slow_classes(ids, prints, radius):
     return {i: (find(i), links[i]) for i in ids}
 
 
+def random_rows(n, near, seed):
+    """Fingerprints at random, the last ones some bits away from the first ones; near: how many bits, for each."""
+    rng = np.random.default_rng(seed)
+    rows = np.empty(n, simhash._ROW)
+    for c in simhash.PRINT:
+        rows[c] = rng.integers(0, 2**64, n, dtype=np.uint64)
+    rows["id"], rows["copies"] = rng.permutation(n), rng.integers(1, 3, n)
+    for k, bits in enumerate(near):
+        for bit in rng.choice(192, bits, replace=False).tolist():
+            rows[simhash.PRINT[bit // 64]][k] ^= np.uint64(1 << bit % 64)
+        for c in simhash.PRINT:
+            rows[c][n - 1 - k] = rows[c][k]
+        for bit in rng.choice(192, bits, replace=False).tolist():
+            rows[simhash.PRINT[bit // 64]][n - 1 - k] ^= np.uint64(1 << bit % 64)
+    return rows
+
+
+def slow_pairs(rows, radius):
+    """Places of all pairs within the radius."""
+    for k in range(len(rows)):
+        apart = sum(np.bitwise_count(rows[c][k] ^ rows[c][k + 1 :]).astype(int) for c in simhash.PRINT)
+        yield from ((k, k + 1 + int(j)) for j in np.flatnonzero(apart <= radius))
+
+
+def slow_links(rows, radius):
+    out = {}
+    for p in slow_pairs(rows, radius):
+        for a, b in (p, p[::-1]):
+            out[int(rows["id"][a])] = out.get(int(rows["id"][a]), 0) + int(rows["copies"][b])
+    return out
+
+
+@pytest.mark.parametrize("radius", [0, 10, 44, 60])
+def test_windows_lose_no_pair_and_count_each_once(radius):
+    """For each number of parts; all windows at once, one by one, and between two tiles."""
+    rows = random_rows(1400, [*range(1, 64)] * 5, radius)
+    rows = rows[np.unique(rows[list(simhash.PRINT)], return_index=True)[1]]
+    want = slow_links(rows, radius)
+    across = {p for p in slow_pairs(rows, radius) if p[0] < 700 <= p[1]}
+    assert radius == 0 or len(want) > 40
+    for parts in simhash._PARTS if radius <= 44 else (0, 5, 8):  # wide balls take long
+        plan = simhash.windows(radius, len(rows), parts)
+        u, v, ids, links = simhash.compare(rows, None, radius, plan)
+        assert dict(zip(ids.tolist(), links.tolist(), strict=True)) == want
+        total = {}
+        for k in range(len(plan)):
+            _, _, ids, links = simhash.compare(rows, None, radius, plan, [k])
+            for i, n in zip(ids.tolist(), links.tolist(), strict=True):
+                total[i] = total.get(i, 0) + n
+        assert total == want
+        found = [p for r, s in simhash._matches(rows[:700], rows[700:], radius, False, plan, range(len(plan))) for p in zip(r.tolist(), (s + 700).tolist(), strict=True)]
+        assert len(found) == len(across) and set(found) == across
+
+
+def test_most_pairs_are_not_looked_at(monkeypatch):
+    """Fewer words are compared than there are pairs; in large tiles a fifth of them."""
+    rows, taken, count = random_rows(40_000, [30] * 20, 5), [0], np.bitwise_count
+
+    def counted(x, *args, **kwargs):
+        taken[0] += np.size(x)
+        return count(x, *args, **kwargs)
+
+    monkeypatch.setattr(np, "bitwise_count", counted)
+    ids = simhash.compare(rows, None, simhash.RADIUS)[2]
+    assert taken[0] < len(rows) ** 2 / 2 and len(ids) >= 10
+    assert sum(len(simhash.ball(w.width, w.near)) / 2**w.width for w in simhash.windows(simhash.RADIUS, simhash.MOST_TILE)) < 0.2
+
+
+def test_windows_over_tiles_and_slices(spark, monkeypatch):
+    rows = random_rows(3000, [*range(1, 40)] * 5, 7)
+    rows = rows[np.unique(rows[list(simhash.PRINT)], return_index=True)[1]]
+    want, plan = slow_links(rows, simhash.RADIUS), simhash.windows(simhash.RADIUS, 1, 5)
+    monkeypatch.setattr(simhash, "windows", lambda *_: plan)
+    monkeypatch.setattr(simhash, "LEAST_TILE", 100)
+    monkeypatch.setattr(simhash, "LEAST_TASKS", 12)
+    prints = spark.createDataFrame([tuple(r) for r in zip(*(rows[c].view(np.int64).tolist() for c in simhash._ROW.names), strict=True)], "fp_0 long, fp_1 long, fp_2 long, id long, copies long")
+    for tile_rows in (None, 1100):
+        got = {}
+        for r in simhash.pair_links(prints, tile_rows=tile_rows).where("v is null").collect():
+            got[r.u] = got.get(r.u, 0) + r.links
+        assert got == want
+
+
 @pytest.mark.parametrize("tile_rows", [7, 50, None])
 @pytest.mark.parametrize("radius", [0, 10, 44, 90])
 def test_groups_are_brute_force(spark, tile_rows, radius):

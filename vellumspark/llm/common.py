@@ -266,6 +266,14 @@ class Forest:
         if len(roots) > 1:
             self.parent[roots] = roots[0]
 
+    def link(self, a: np.ndarray, b: np.ndarray) -> None:
+        """Each member of a becomes one set with that at its place in b."""
+        while len(a):
+            a, b = self.find(a), self.find(b)
+            apart = a != b
+            a, b = a[apart], b[apart]
+            np.minimum.at(self.parent, np.maximum(a, b), np.minimum(a, b))
+
 
 def _forest_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Star edges (member, least member) of the components of all edges of the partition."""

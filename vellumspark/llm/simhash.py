@@ -2,13 +2,16 @@
 
 A fingerprint has 192 bits in three words: each bit is the sign of the votes of the hashes of all distinct runs of three
 words. Words are lower-cased runs of letters, digits, _ and bytes beyond ASCII. Two documents are linked if their
-fingerprints differ in at most `radius` bits; classes are the connected components of that relation. Every pair of distinct
-fingerprints is compared (exclusive-or and bit counts over blocks; the third word only where the first two are within the
-radius), save those that cannot match: pairs of tiles, and blocks of a tile, are skipped where their ranges of population
-counts are further apart than the radius. Nothing else is skipped, capped or sampled.
+fingerprints differ in at most `radius` bits; classes are the connected components of that relation.
 
-Equal fingerprints are folded before the comparison, so a hot text of thousands of copies costs one row there. Each tile
-pair yields the spanning forest of its matches and a number of links by fingerprint, not the matches, so a large class of
+Pairs are found by windows, without loss: of two fingerprints within 44 bits one word differs in at most 14, and in that
+word one of five parts in at most 2. So for each part rows are put in buckets by its bits, each bucket meets those within
+two bits of its own, and a fifth of all pairs is compared, in one word; those within 14 there are compared in all. A pair
+that several windows see counts in the first. Tiles are even, by hash; where a radius is so wide, or a tile so small, that
+windows spare nothing, every pair of it is compared. Nothing is capped or sampled.
+
+Equal fingerprints are folded before the comparison, so a hot text of thousands of copies costs one row there. Each pair of
+tiles yields a spanning forest of its matches and a number of links by fingerprint, not the matches, so a large class of
 copies costs linear output.
 
 Defined results: classes() has a row for each id. Null, empty and blank texts are classes of their own without links, and
@@ -20,7 +23,10 @@ names it and stays. Extra columns are ignored by classes() and dropped by dedupl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterable, Iterator
+from itertools import combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +38,17 @@ from . import common
 RADIUS = 44
 WORDS = 3
 SHINGLE = 3
-#: Fingerprints in a tile: a sixteenth of all, between these bounds. The layout doesn't change the result.
-LEAST_TILE, MOST_TILE = 2048, 131072
+#: Fingerprints in a tile, and tasks below which a pair of tiles is dealt out by windows. The layout doesn't change the result.
+LEAST_TILE, MOST_TILE, LEAST_TASKS = 2048, 524288, 128
 
 PRINT = tuple(f"fp_{k}" for k in range(WORDS))
 _ROW = np.dtype([*((c, "<u8") for c in PRINT), ("id", "<i8"), ("copies", "<i8")])
-_BLOCK, _WIDTH = 16, 2048
+#: Pairs looked at in one go, candidates of a row among them, and pairs held until they are confirmed.
+_BLOCK, _WIDTH, _HELD = 1 << 15, 1 << 13, 1 << 16
+#: numpy's buffer, in elements: rows of fewer than half of it are copied there before they are broadcast, which takes longer than the work.
+_BUFFER = 128
+#: Parts of a word that are tried; three parts are of at most 22 bits, so that bounds of buckets stay small.
+_PARTS = (0, 3, 4, 5, 6, 8)
 #: For each byte, its bits as eight bytes of 0 or 1.
 _SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)).reshape(256, 8).copy().view(np.uint64).ravel()
 
@@ -111,62 +122,153 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return chosen.mapInArrow(run, f"doc_id long, {', '.join(f'{c} long' for c in PRINT)}, size int")
 
 
-def population(rows: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(rows[c]).astype(np.int64) for c in PRINT)
+class Window(NamedTuple):
+    """Pairs that differ in at most `most` bits of the words, and in at most `near` of the first word's `width` bits from `low` on."""
+
+    words: tuple[int, ...]
+    most: int
+    low: int
+    width: int
+    near: int
+
+    def keys(self, word: np.ndarray) -> np.ndarray:
+        return (word >> np.uint64(self.low)) & np.uint64((1 << self.width) - 1)
+
+    def sees(self, apart: np.ndarray) -> np.ndarray:
+        """Of exclusive-ors of the first word."""
+        return (np.bitwise_count(self.keys(apart)) <= self.near) & (np.bitwise_count(apart) <= self.most)
 
 
-def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(rows of a, rows of b) that match; same: a is b, and only later rows are reported. Both are sorted by population."""
-    ones_a, ones_b = population(a), population(b)
+def _even(total: int, n: int) -> list[int]:
+    return [total // n + (k < total % n) for k in range(n)]
+
+
+def windows(radius: int, rows: int, parts: int | None = None) -> list[Window]:
+    """Windows of which at least one sees each pair within the radius; the number of parts of a word that is cheapest for tiles of that many rows.
+
+    Bits that are dealt out, radius + 1 of them, leave some word with fewer than it was dealt, and in it some part: were
+    all at theirs or more, the pair would be radius + 1 bits apart. 0 parts: one window that sees every pair.
+    """
+    if parts is None:
+        return min((windows(radius, rows, n) for n in _PARTS), key=lambda found: _nanoseconds(found, rows))
+    if not parts:
+        return [Window((0, 1), radius, 0, 0, 0)]
+    found = []
+    for word, most in enumerate(_even(radius + 1, WORDS)):
+        low = 0
+        for width, near in zip(_even(64, parts), _even(most, parts), strict=True):
+            if near:
+                found.append(Window((word,), most - 1, low, width, near - 1))
+            low += width
+    return found
+
+
+def _nanoseconds(found: list[Window], rows: int) -> float:
+    """About what a tile of random fingerprints takes: for each filled bucket, its calls, its ball, its candidates and its pairs."""
+    total = 0.0
+    for w in found:
+        filled, ball = min(1 << w.width, rows), sum(math.comb(w.width, k) for k in range(w.near + 1))
+        others = ball * rows / (1 << w.width)
+        total += filled * (60e3 + 10 * ball + 6 * others) + rows * others * 1.8 * len(w.words)
+    return total
+
+
+def ball(width: int, near: int) -> np.ndarray:
+    """All values of that many bits of which at most `near` are set, 0 first."""
+    return np.sort(np.concatenate([np.array([sum(1 << k for k in c) for c in combinations(range(width), n)], np.int64) for n in range(min(near, width) + 1)]))
+
+
+def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool, plan: list[Window], chosen: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows of a, rows of b) within the radius that a chosen window of the plan is the first to see; same: b is a, and each pair is reported once."""
+    if not len(a) or not len(b):
+        return
     side_a, side_b = ([np.ascontiguousarray(x[c]) for c in PRINT] for x in (a, b))
-    work = np.empty((_BLOCK, _WIDTH), np.uint64)
-    count, more, near = np.empty((_BLOCK, _WIDTH), np.uint8), np.empty((_BLOCK, _WIDTH), np.uint8), np.empty((_BLOCK, _WIDTH), bool)
-    for i in range(0, len(a), _BLOCK):
-        rows = slice(i, min(i + _BLOCK, len(a)))
-        k = rows.stop - i
-        first = np.searchsorted(ones_b, ones_a[i] - radius)
-        last = np.searchsorted(ones_b, ones_a[rows.stop - 1] + radius, "right")
-        first = max(int(first), i) if same else int(first)
-        for j in range(first, int(last), _WIDTH):
-            stop = min(j + _WIDTH, int(last))
-            x, c, m, hit = (z[:k, : stop - j] for z in (work, count, more, near))
-            np.bitwise_xor(side_a[0][rows, None], side_b[0][j:stop], out=x)
-            np.bitwise_count(x, out=c)
-            np.bitwise_xor(side_a[1][rows, None], side_b[1][j:stop], out=x)
-            np.bitwise_count(x, out=m)
-            np.add(c, m, out=c)
-            np.less_equal(c, radius, out=hit)
-            if not hit.any():
+    work = np.empty(_BLOCK, np.uint64)
+    count, more, near = np.empty(_BLOCK, np.uint8), np.empty(_BLOCK, np.uint8), np.empty(_BLOCK, bool)
+    run = np.arange(len(b))
+
+    def confirm(r: np.ndarray, s: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        for w in plan[:at]:
+            fresh = ~w.sees(side_a[w.words[0]][r] ^ side_b[w.words[0]][s])
+            r, s = r[fresh], s[fresh]
+            if not len(r):
+                return r, s
+        good = sum(np.bitwise_count(x[r] ^ y[s]).astype(np.int64) for x, y in zip(side_a, side_b, strict=True)) <= radius
+        return r[good], s[good]
+
+    for at in chosen:
+        w = plan[at]
+        own, other = w.keys(side_a[w.words[0]]), w.keys(side_b[w.words[0]])
+        order_a, order_b = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+        sorted_a, sorted_b = ([x[k][order] for k in w.words] for x, order in ((side_a, order_a), (side_b, order_b)))
+        values, first = np.unique(own[order_a], return_index=True)
+        bounds = np.searchsorted(other[order_b], np.arange((1 << w.width) + 1, dtype=np.uint64))
+        around, hits, held = ball(w.width, w.near), [], 0
+        for v, low, high in zip(values.astype(np.int64).tolist(), first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
+            near_by = around ^ v
+            if same:  # the value itself stays first
+                near_by = near_by[near_by >= v]
+            start = bounds[near_by]
+            size = bounds[near_by + 1] - start
+            ends = np.cumsum(size)
+            total = int(ends[-1])
+            if not total:
                 continue
-            r, s = np.nonzero(hit)
-            apart = c[r, s].astype(np.int64)
-            r, s = r + i, s + j
-            for word in range(2, WORDS):
-                apart += np.bitwise_count(side_a[word][r] ^ side_b[word][s])
-            good = (apart <= radius) & (s > r) if same else apart <= radius
-            if good.any():
-                yield r[good], s[good]
-
-
-def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of two tiles, or of one where b is None: star edges (id, least id) that span the matches, and (id, documents linked)."""
-    a = a[np.lexsort((a["id"], population(a)))]
+            place = np.repeat(start - ends + size, size) + run[:total]
+            others = [x[place] for x in sorted_b]
+            width = min(total, _WIDTH)
+            step = max(1, _BLOCK // width)
+            for i in range(low, high, step):
+                k = min(step, high - i)
+                for j in range(i - low if same else 0, total, width):
+                    n = min(width, total - j)
+                    x, c, m, hit = (z[: k * n].reshape(k, n) for z in (work, count, more, near))
+                    np.bitwise_xor(sorted_a[0][i : i + k, None], others[0][j : j + n], out=x)
+                    np.bitwise_count(x, out=c)
+                    for mine, theirs in zip(sorted_a[1:], others[1:], strict=True):
+                        np.bitwise_xor(mine[i : i + k, None], theirs[j : j + n], out=x)
+                        np.bitwise_count(x, out=m)
+                        np.add(c, m, out=c)
+                    np.less_equal(c, w.most, out=hit)
+                    flat = near[: k * n].nonzero()[0]
+                    if len(flat):
+                        r, s = flat // n + i, place[flat % n + j]
+                        if same:
+                            r, s = r[s > r], s[s > r]
+                        hits.append((r, s))
+                        held += len(r)
+                        if held >= _HELD:
+                            yield confirm(order_a[np.concatenate([r for r, _ in hits])], order_b[np.concatenate([s for _, s in hits])], at)
+                            hits, held = [], 0
+        if held:
+            yield confirm(order_a[np.concatenate([r for r, _ in hits])], order_b[np.concatenate([s for _, s in hits])], at)
+
+
+def compare(a: np.ndarray, b: np.ndarray | None, radius: int, plan: list[Window] | None = None, chosen: Iterable[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of two tiles, or of one where b is None: star edges (id, least id) that span the matches, and (id, documents linked).
+
+    Of the matches that the chosen windows of a plan are the first to see; all windows together count each match once.
+    """
+    plan = plan or windows(radius, len(a))
+    chosen = range(len(plan)) if chosen is None else chosen
     if b is None:
-        every, shift, found = a, 0, _matches(a, a, radius, True)
+        every, shift, found = a, 0, _matches(a, a, radius, True, plan, chosen)
     else:
-        b = b[np.lexsort((b["id"], population(b)))]
-        every, shift, found = np.concatenate([a, b]), len(a), _matches(a, b, radius, False)
+        every, shift, found = np.concatenate([a, b]), len(a), _matches(a, b, radius, False, plan, chosen)
     ranked = np.argsort(every["id"], kind="stable")  # the forest's roots are least places, so places follow ids
     place = np.empty(len(every), np.int64)
     place[ranked] = np.arange(len(every))
     links = np.zeros(len(every), np.int64)
     forest = common.Forest(len(every))
-    for r, s in found:
-        s = s + shift
-        np.add.at(links, r, every["copies"][s])
-        np.add.at(links, s, every["copies"][r])
-        for row in np.unique(r):
-            forest.join(place[np.append(s[r == row], row)])
+    usual = np.setbufsize(_BUFFER)
+    try:
+        for r, s in found:
+            s = s + shift
+            np.add.at(links, r, every["copies"][s])
+            np.add.at(links, s, every["copies"][r])
+            forest.link(place[r], place[s])
+    finally:
+        np.setbufsize(usual)
     root = forest.find(np.arange(len(every)))
     keep = np.flatnonzero(root != np.arange(len(every)))
     ids = every["id"][ranked]
@@ -174,52 +276,27 @@ def compare(a: np.ndarray, b: np.ndarray | None, radius: int) -> tuple[np.ndarra
     return ids[keep], ids[root[keep]], every["id"][linked], links[linked]
 
 
-def tiles(cells: list[tuple[int, int]], tile_rows: int) -> tuple[list[tuple[int, int, int]], np.ndarray]:
-    """Lay cells (population count, rows) out in tiles of about tile_rows.
-
-    Returns (count, first tile, number of tiles) by cell, and (least count, greatest count) by tile. Cells come in order
-    and neighbours share a tile; one of more rows is spread by hash.
-    """
-    places, ranges, filled = [], [], tile_rows
-    for ones, rows in sorted(cells):
-        parts = -(-rows // tile_rows)
-        if parts == 1 and filled + rows <= tile_rows:
-            ranges[-1] = (ranges[-1][0], ones)
-            filled += rows
-            places.append((ones, len(ranges) - 1, 1))
-        else:
-            places.append((ones, len(ranges), parts))
-            ranges += [(ones, ones)] * parts
-            filled = rows if parts == 1 else tile_rows
-    return places, np.array(ranges, np.int64).reshape(-1, 2)
-
-
-def last_partner(ranges: np.ndarray, radius: int) -> np.ndarray:
-    """For each tile the last one that may hold a match; all from itself on to that one may, as both counts ascend."""
-    return np.searchsorted(ranges[:, 0], ranges[:, 1] + radius, "right") - 1
-
-
 def pair_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None = None) -> DataFrame:
     """(u, v, links): edges whose components are those of all near pairs, and rows without v that number u's links.
 
     prints: (id, fp_0, fp_1, fp_2, copies), one row a fingerprint, saved.
     """
     spark = prints.sparkSession
-    cell = prints.withColumn("ones", sum((F.bit_count(c) for c in PRINT[1:]), F.bit_count(PRINT[0])).cast("int"))
-    # a row for each population count, of which there are at most 193
-    cells = [tuple(r) for r in cell.groupBy("ones").count().collect()]
-    tile_rows = tile_rows or min(MOST_TILE, max(LEAST_TILE, sum(n for _, n in cells) // 16))
-    places, ranges = tiles(cells, tile_rows)
-    if not places:
+    rows = prints.count()
+    if not rows:
         return spark.createDataFrame([], "u long, v long, links long")
-    place = spark.createDataFrame(places, "ones int, tile int, parts int")
-    last = last_partner(ranges, radius)
-    number = int((last - np.arange(len(last)) + 1).sum())
-    # the pairs are made in Spark: the driver holds a row for each tile only
-    reach = spark.createDataFrame(pa.table({"i": pa.array(np.arange(len(last))), "last": pa.array(last)}))
-    pairs = reach.select("i", F.explode(F.sequence("i", "last")).alias("j")).withColumn("pair", F.col("i") * len(last) + F.col("j"))
-    sides = pairs.select(F.col("i").alias("tile"), "pair", F.lit(0).alias("side")).unionByName(pairs.where("j > i").select(F.col("j").alias("tile"), "pair", F.lit(1).alias("side")))
-    tiled = cell.join(F.broadcast(place), "ones").select((F.col("tile") + F.pmod(F.xxhash64(*PRINT), F.col("parts"))).cast("long").alias("tile"), *PRINT, "id", "copies")
+    plan = windows(radius, min(rows, tile_rows or MOST_TILE))
+    if not tile_rows:  # without buckets the number of tiles alone makes the tasks
+        tile_rows = MOST_TILE if plan[0].width else min(MOST_TILE // 4, max(LEAST_TILE, rows // 16))
+    n_tiles = -(-rows // tile_rows)
+    n_pairs = n_tiles * (n_tiles + 1) // 2
+    slices = min(len(plan), -(-LEAST_TASKS // n_pairs)) if tile_rows > LEAST_TILE and rows > LEAST_TILE else 1
+    # the pairs are made in Spark: the driver holds nothing of their number
+    pairs = spark.range(n_tiles).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(n_tiles - 1).cast("long"))).alias("j"))
+    pairs = pairs.select("*", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice")).withColumn("pair", (F.col("i") * n_tiles + F.col("j")) * slices + F.col("slice"))
+    pairs = pairs.withColumn("same", F.col("i") == F.col("j"))
+    sides = pairs.select(F.col("i").alias("tile"), "pair", "slice", "same", F.lit(0).alias("side")).unionByName(pairs.where("not same").select(F.col("j").alias("tile"), "pair", "slice", "same", F.lit(1).alias("side")))
+    tiled = prints.select(F.pmod(F.xxhash64(*PRINT), F.lit(n_tiles)).cast("long").alias("tile"), *PRINT, "id", "copies")
 
     def pack(table: pa.Table) -> pa.Table:
         rows = np.empty(len(table), _ROW)
@@ -231,13 +308,14 @@ def pair_links(prints: DataFrame, radius: int = RADIUS, tile_rows: int | None =
 
     def meet(table: pa.Table) -> pa.Table:
         found = dict(zip(table["side"].to_pylist(), table["rows"], strict=True))
-        a, b = (np.frombuffer(found[s].as_buffer(), _ROW) if s in found else None for s in (0, 1))
-        u, v, linked, links = compare(a, b, radius)
+        # a tile that no fingerprint fell into has no row
+        a, b = (np.frombuffer(found[s].as_buffer(), _ROW) if s in found else np.empty(0, _ROW) for s in (0, 1))
+        u, v, linked, links = compare(a, None if table["same"][0].as_py() else b, radius, plan, range(table["slice"][0].as_py(), len(plan), slices))
         return pa.table({"u": pa.array(np.concatenate([u, linked])), "v": pa.concat_arrays([pa.array(v), pa.nulls(len(linked), pa.int64())]), "links": pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(links)])})
 
     # a task per pair or few: the comparison is the work here, so the number is asked for and not left to row sizes
-    tasks = min(number, 4096)
-    return packed.join(sides, "tile").select("pair", "side", "rows").repartition(tasks, "pair").groupBy("pair").applyInArrow(meet, "u long, v long, links long")
+    tasks = min(n_pairs * slices, 4096)
+    return packed.join(sides, "tile").select("pair", "slice", "same", "side", "rows").repartition(tasks, "pair").groupBy("pair").applyInArrow(meet, "u long, v long, links long")
 
 
 def classes(docs: DataFrame, radius: int = RADIUS, tile_rows: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
