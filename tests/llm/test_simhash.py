@@ -102,6 +102,19 @@ def test_most_pairs_are_not_looked_at(monkeypatch):
     assert sum(len(simhash.ball(w.width, w.near)) / 2**w.width for w in simhash.windows(simhash.RADIUS, simhash.MOST_TILE)) < 0.2
 
 
+@pytest.mark.parametrize("tile_rows", [7, None])
+def test_classes_through_windows_are_brute_force(spark, monkeypatch, tile_rows):
+    """Small tables compare all pairs; here they go through buckets too. Of tiles of 7 some may be empty."""
+    plan = simhash.windows(simhash.RADIUS, 1, 5)
+    monkeypatch.setattr(simhash, "windows", lambda *_: plan)
+    texts = [prose(k % 20, 40) if k < 20 else edited(prose(k % 20, 40), 0.03 * (k % 5), k) for k in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    own = {r.doc_id: np.array([r[c] for c in simhash.PRINT], np.int64).view(np.uint64) for r in simhash.fingerprints(df).collect()}
+    want = slow_classes(sorted(own), [own[i] for i in sorted(own)], simhash.RADIUS)
+    got = {r.doc_id: (r.class_id, r.n_links) for r in simhash.classes(df, tile_rows=tile_rows).collect()}
+    assert got == want and any(c != i for i, (c, _) in got.items())
+
+
 def test_windows_over_tiles_and_slices(spark, monkeypatch):
     rows = random_rows(3000, [*range(1, 40)] * 5, 7)
     rows = rows[np.unique(rows[list(simhash.PRINT)], return_index=True)[1]]
