@@ -216,3 +216,35 @@ def test_awkward_rows(awkward, crowded, empty):
 def test_removed_ids_too_many_to_broadcast(awkward, monkeypatch):
     monkeypatch.setattr(simhash, "BROADCAST_BYTES", 0)
     assert simhash.deduplicate(awkward).count() == awkward.count() - 1
+
+
+def test_flags_are_found_few_or_many():
+    rng = np.random.default_rng(3)
+    for share in (0, 0.0001, 0.01, 0.5, 1):
+        flags = bytearray(rng.random(40_000) < share)
+        for n in (0, 1, 39_999, 40_000):
+            assert simhash._places(flags, n).tolist() == np.frombuffer(flags, bool, n).nonzero()[0].tolist()
+
+
+def test_fingerprints_take_one_sort_of_their_shingles(monkeypatch):
+    """Words come from one scan; numpy's set functions, which took most of the time, aren't called on whole pieces."""
+    texts = [prose(k, 200) for k in range(40)] + ["x" * 30, "y", "", "&", "ends", "starts é"]
+    data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    taken, unique, union = [0], np.unique, np.union1d
+
+    def counted(what):
+        def run(*args, **kwargs):
+            taken[0] += sum(np.size(x) for x in args)
+            return what(*args, **kwargs)
+
+        return run
+
+    monkeypatch.setattr(np, "unique", counted(unique))
+    monkeypatch.setattr(np, "union1d", counted(union))
+    w = common.words(data, offsets)
+    prints, sizes = simhash.fingerprint(data, offsets)
+    assert taken[0] < len(w.hash) / 10
+    for k, text in enumerate(texts):  # texts that touch each other are told apart
+        own = np.frombuffer(text.encode(), np.uint8)
+        alone, size = simhash.fingerprint(own, np.array([0, len(own)]))
+        assert size[0] == sizes[k] and np.array_equal(alone[0], prints[k])

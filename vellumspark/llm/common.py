@@ -177,14 +177,13 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray = IN_WORD) ->
     """Words of a piece, with a polynomial rolling hash of each word's bytes."""
     inside = np.zeros(len(data) + 2, bool)
     inside[1:-1] = table[data]
-    start = np.flatnonzero(inside[1:-1] & ~inside[:-2])
+    starts, ends = inside[1:-1] > inside[:-2], inside[1:-1] > inside[2:]
     # a document's first byte starts a word even where the document before ends in one
     edges = offsets[1:-1]
-    edges = np.unique(edges[(edges > 0) & (edges < len(data))])
+    edges = edges[(edges > 0) & (edges < len(data))]
     edges = edges[inside[edges + 1] & inside[edges]]
-    start = np.union1d(start, edges) if len(edges) else start
-    end = np.flatnonzero(inside[1:-1] & ~inside[2:]) + 1
-    end = np.union1d(end, edges) if len(edges) else end
+    starts[edges], ends[edges - 1] = True, True
+    start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     return Words(data, start, end, np.searchsorted(start, offsets), mix(_hashes(data, start, end) + (end - start).astype(np.uint64)))
 
 

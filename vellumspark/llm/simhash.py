@@ -44,7 +44,9 @@ LEAST_TILE, MOST_TILE, LEAST_TASKS = 2048, 524288, 128
 PRINT = tuple(f"fp_{k}" for k in range(WORDS))
 _ROW = np.dtype([*((c, "<u8") for c in PRINT), ("id", "<i8"), ("copies", "<i8")])
 #: Pairs looked at in one go, candidates of a row among them, and pairs held until they are confirmed.
-_BLOCK, _WIDTH, _HELD = 1 << 15, 1 << 13, 1 << 16
+_BLOCK, _WIDTH, _HELD = 1 << 16, 1 << 14, 1 << 16
+#: Pairs of a block from which on numpy looks for them.
+_FEW = 128
 #: numpy's buffer, in elements: rows of fewer than half of it are copied there before they are broadcast, which takes longer than the work.
 _BUFFER = 128
 #: Parts of a word that are tried; three parts are of at most 22 bits, so that bounds of buckets stay small.
@@ -82,7 +84,8 @@ def fingerprint(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
             keys, doc = np.concatenate([keys, np.array(hashed, np.uint64)]), np.concatenate([doc, some])
     # a shingle counts once in a document: the document's number in the piece goes into the key's high 16 bits
     room = np.uint64(48)
-    keys = np.unique((doc.astype(np.uint64) << room) | (keys >> np.uint64(16)))
+    keys = np.sort((doc.astype(np.uint64) << room) | (keys >> np.uint64(16)))
+    keys = keys[np.concatenate([[True], keys[1:] != keys[:-1]])[: len(keys)]]  # np.unique takes several times as long
     doc, keys = (keys >> room).astype(np.int64), common.mix(keys & ((np.uint64(1) << room) - np.uint64(1)))
     sizes = np.bincount(doc, minlength=docs)
     out = np.zeros((docs, WORDS), np.uint64)
@@ -178,13 +181,25 @@ def ball(width: int, near: int) -> np.ndarray:
     return np.sort(np.concatenate([np.array([sum(1 << k for k in c) for c in combinations(range(width), n)], np.int64) for n in range(min(near, width) + 1)]))
 
 
+def _places(flags: bytearray, n: int) -> np.ndarray:
+    """Of the first n flags, places of those that are set. Few are looked for one by one, which numpy takes several times as long for."""
+    found, at = [], flags.find(1, 0, n)
+    while at >= 0:
+        found.append(at)
+        if len(found) == _FEW:
+            return np.frombuffer(flags, bool, n).nonzero()[0]
+        at = flags.find(1, at + 1, n)
+    return np.array(found, np.int64)
+
+
 def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool, plan: list[Window], chosen: Iterable[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(rows of a, rows of b) within the radius that a chosen window of the plan is the first to see; same: b is a, and each pair is reported once."""
     if not len(a) or not len(b):
         return
     side_a, side_b = ([np.ascontiguousarray(x[c]) for c in PRINT] for x in (a, b))
     work = np.empty(_BLOCK, np.uint64)
-    count, more, near = np.empty(_BLOCK, np.uint8), np.empty(_BLOCK, np.uint8), np.empty(_BLOCK, bool)
+    count, more, flags = np.empty(_BLOCK, np.uint8), np.empty(_BLOCK, np.uint8), bytearray(_BLOCK)
+    near = np.frombuffer(flags, bool)
     run = np.arange(len(b))
 
     def confirm(r: np.ndarray, s: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
@@ -199,11 +214,11 @@ def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool, plan: list[W
     for at in chosen:
         w = plan[at]
         own, other = w.keys(side_a[w.words[0]]), w.keys(side_b[w.words[0]])
-        order_a, order_b = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+        order_a, order_b = (np.argsort(x.astype(np.uint16) if w.width <= 16 else x, kind="stable") for x in (own, other))  # 16 bits are sorted in linear time
         sorted_a, sorted_b = ([x[k][order] for k in w.words] for x, order in ((side_a, order_a), (side_b, order_b)))
         values, first = np.unique(own[order_a], return_index=True)
         bounds = np.searchsorted(other[order_b], np.arange((1 << w.width) + 1, dtype=np.uint64))
-        around, hits, held = ball(w.width, w.near), [], 0
+        around, most, hits, held = ball(w.width, w.near), np.uint8(w.most), [], 0
         for v, low, high in zip(values.astype(np.int64).tolist(), first.tolist(), [*first[1:].tolist(), len(a)], strict=True):
             near_by = around ^ v
             if same:  # the value itself stays first
@@ -229,8 +244,8 @@ def _matches(a: np.ndarray, b: np.ndarray, radius: int, same: bool, plan: list[W
                         np.bitwise_xor(mine[i : i + k, None], theirs[j : j + n], out=x)
                         np.bitwise_count(x, out=m)
                         np.add(c, m, out=c)
-                    np.less_equal(c, w.most, out=hit)
-                    flat = near[: k * n].nonzero()[0]
+                    np.less_equal(c, most, out=hit)
+                    flat = _places(flags, k * n)
                     if len(flat):
                         r, s = flat // n + i, place[flat % n + j]
                         if same:
