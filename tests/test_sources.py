@@ -3,9 +3,13 @@
 import io
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
+from vellumspark import schemas
 from vellumspark.functions import text as T
 from vellumspark.operators import tables
 from vellumspark.sources import files, markdown, plain
@@ -215,3 +219,20 @@ def test_pdf_files_are_sections(spark, tmp_path):
         assert {r.text for r in files.parse_files(files.read_files(spark, str(tmp_path))).collect()} == {"from a tool"}
     finally:
         files._OWN.pop(".pdf")
+
+
+def test_sections_of_many_documents_leave_in_few_batches():
+    kind = to_arrow_schema(StructType.fromDDL(schemas.SECTIONS))
+    every = pa.RecordBatch.from_pylist([{"doc_id": k, "source": f"{k}.json", "content": b'{"a": [1, null]}'} for k in range(5000)])
+    got = list(files.section_batches(files.json_file, iter([every.slice(0, 4000), every.slice(4000)]), kind))
+    assert len(got) == 3 and max(map(len, got)) == files.BATCH_ROWS
+    assert [d for b in got for d in b.column(0).to_pylist()] == list(range(5000))
+    assert got[2].column("metadata").to_pylist()[-1] == [("source", "4999.json")] and got[2].column("page")[0].as_py() is None
+
+
+def test_ids_of_parsed_documents_stay_exact_beside_a_null(spark):
+    # as floating-point numbers, which a column with a null became, these two ids are one
+    rows = [(2**53, "a.json", "1"), (2**53 + 1, "b.json", "2"), (None, "c.json", "3"), (4, None, "{}")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, content string").coalesce(1).where("source is not null")
+    got = files.parse_with(files.json_file, df.withColumn("content", F.encode("content", "UTF-8"))).collect()
+    assert sorted((r.source, r.doc_id, r.text) for r in got) == [("a.json", 2**53, "1"), ("b.json", 2**53 + 1, "2"), ("c.json", None, "3")]
