@@ -221,7 +221,7 @@ def test_pdf_files_are_sections(spark, tmp_path):
         files._OWN.pop(".pdf")
 
 
-def test_sections_of_many_documents_leave_in_few_batches():
+def test_sections_of_many_documents_leave_in_few_batches(spark):
     kind = to_arrow_schema(StructType.fromDDL(schemas.SECTIONS))
     every = pa.RecordBatch.from_pylist([{"doc_id": k, "source": f"{k}.json", "content": b'{"a": [1, null]}'} for k in range(5000)])
     got = list(files.section_batches(files.json_file, iter([every.slice(0, 4000), every.slice(4000)]), kind))
@@ -236,3 +236,12 @@ def test_ids_of_parsed_documents_stay_exact_beside_a_null(spark):
     df = spark.createDataFrame(rows, "doc_id long, source string, content string").coalesce(1).where("source is not null")
     got = files.parse_with(files.json_file, df.withColumn("content", F.encode("content", "UTF-8"))).collect()
     assert sorted((r.source, r.doc_id, r.text) for r in got) == [("a.json", 2**53, "1"), ("b.json", 2**53 + 1, "2"), ("c.json", None, "3")]
+
+
+def test_long_pages_end_a_batch_by_their_characters(spark, monkeypatch):
+    monkeypatch.setattr(files, "BATCH_CHARS", 1000)
+    kind = to_arrow_schema(StructType.fromDDL(schemas.SECTIONS))
+    every = pa.RecordBatch.from_pylist([{"doc_id": k, "source": "u", "content": f"<h1>T{k}</h1>" + "<p>" + "x" * 300 + "<p>y"} for k in range(6)])
+    got = list(files.section_batches(files.html_file, iter([every]), kind))
+    assert [len(b) for b in got] == [7, 5]
+    assert [(d, o) for b in got for d, o in zip(b.column("doc_id").to_pylist(), b.column("section_ord").to_pylist(), strict=True)] == [(k, o) for k in range(6) for o in (0, 1)]
