@@ -178,3 +178,53 @@ def test_passages_in_documents(spark):
     got = sorted(tuple(r) for r in search.containing(docs, asked, index).collect())
     want = sorted((q.query_id, d.chunk_key) for q in asked.collect() for d in docs.collect() if d.text and q.query in d.text)
     assert got == want
+
+
+@pytest.mark.parametrize("okapi", [False, True])
+def test_blocks_score_as_the_join_does(spark, monkeypatch, okapi):
+    rng = random.Random(5)
+    # a few common words, so that scores tie over blocks; keys that several chunks have, and none
+    keys = [None, None, 7, 7, 7, *range(5, 300)]
+    texts = [" ".join(rng.choices("ab ba ca da e f g h".split(), [9, 5, 3, 3, 2, 1, 1, 1], k=rng.randint(0, 6))) for _ in keys]
+    df = spark.createDataFrame(list(zip(keys, texts, strict=True)), "id long, text string").repartition(3)
+    queries = spark.createDataFrame([(q, " ".join(rng.choices("ab ba ca e f h zz".split(), k=3))) for q in range(300)], "query_id long, query string")
+    monkeypatch.setattr(search, "BLOCK_CHUNKS", 16)
+    index = search.build_index(df, "id", F.col("text"))
+    assert index.blocks.count() >= 300 // 16 and sorted((r.chunk_key is None, r.chunk_key) for r in index.repeated.collect()) == [(False, 7), (True, None)]
+    assert sorted(tuple(r) for r in index.terms.collect()) == sorted(Counter(w for t in texts for w in set(t.split())).items())
+
+    def found():
+        return sorted((r.query_id, r.rank, repr(r.chunk_key), round(r.bm25_score, 12)) for r in search.bm25_search(index, queries, 5, okapi).collect())
+
+    blocks = found()
+    monkeypatch.setattr(search, "SENT_ROWS", 0)
+    assert blocks == found() and len({q for q, *_ in blocks}) > 250
+
+
+def test_tasks_let_go_of_the_best_only(spark):
+    # a common word in all chunks: scores of all of them were shuffled
+    df = spark.range(3000).selectExpr("id", "concat('common ', repeat('x ', cast(id % 7 as int))) as text").coalesce(2)
+    queries = spark.createDataFrame([(q, "common x") for q in range(20)], "query_id long, query string")
+    index = search.build_index(df, "id", F.col("text"))
+    rows = search.query_weights(index, queries).toArrow()
+    scored = search._block_best(index, rows, index.repeated.toArrow()["chunk_key"].combine_chunks(), 4, "long")
+    assert scored.count() <= 20 * 4 * 2
+    best = search.bm25_search(index, queries, 4).where("query_id = 3").orderBy("rank").collect()
+    assert [r.chunk_key for r in best] == [6, 13, 20, 27]
+
+
+def test_passages_are_searched_where_all_their_words_are(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices("a b c d e f".split(), k=12)) for _ in range(80)]
+    passages = [t[i : i + 9] for t in texts[:40] for i in (0, 4)] + ["a", "a b", "zz a b", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "chunk_key long, text string")
+    asked = spark.createDataFrame(list(enumerate(passages)), "query_id long, query string")
+    monkeypatch.setattr(search, "BLOCK_CHUNKS", 16)
+    index = search.build_index(docs, "chunk_key", docs["text"])
+    want = sorted((q, k) for q, p in enumerate(passages) for k, t in enumerate(texts) if p in t)
+    assert sorted(tuple(r) for r in search.containing(docs, asked, index).collect()) == want
+    rows = spark.createDataFrame([(0, "a", 1.0), (0, "f", 1.0), (1, "zz", 1.0), (1, "a", 1.0)], "query_id long, term string, w double").toArrow()
+    found = search._with_all_words(index, rows, "long")
+    assert sorted(tuple(r) for r in found.collect()) == [(0, k) for k, t in enumerate(texts) if {"a", "f"} <= set(t.split())]
+    monkeypatch.setattr(search, "SENT_ROWS", 0)
+    assert sorted(tuple(r) for r in search.containing(docs, asked, index).collect()) == want

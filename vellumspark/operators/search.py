@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,58 +38,116 @@ def search_text(text: Column, keywords: Column, entities: Column, summary: Colum
 
 @dataclass
 class Index:
-    """postings (chunk_key, term, tf, dl), terms (term, df), totals (one row: n, avgdl). Write them once, read often."""
+    """blocks (some chunks with their words, an inverted index of their own), terms (term, df), totals (one row: n, avgdl),
+    repeated (the chunk_keys that several chunks have, or that are null). Write them once, read often."""
 
-    postings: DataFrame
+    blocks: DataFrame
     terms: DataFrame
     totals: DataFrame
+    repeated: DataFrame
 
     @staticmethod
     def load(spark, path: str) -> Index:  # noqa: ANN001
-        said, terms, totals = (spark.read.parquet(f"{path}/{part}") for part in ("words", "terms", "totals"))
-        return Index(said.where("term is not null"), terms, totals)
+        return Index(*(spark.read.parquet(f"{path}/{part}") for part in ("blocks", "terms", "totals", "repeated")))
+
+    @property
+    def postings(self) -> DataFrame:
+        """(chunk_key, term, tf, dl) of all words."""
+        kind = self.blocks.schema["keys"].dataType.elementType.simpleString()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block in _blocks_of(batches):
+                yield pa.RecordBatch.from_arrays([block.keys.take(pa.array(block.at)), block.words.take(pa.array(np.repeat(np.arange(len(block.df)), block.df))), pa.array(block.tf), pa.array(block.dl[block.at])], names=["chunk_key", "term", "tf", "dl"])
+
+        return self.blocks.select(*_BLOCK).mapInArrow(run, f"chunk_key {kind}, term string, tf int, dl int")
 
 
 _WORD = re.compile(r"\w+")
+#: Postings and chunks that a block ends at, and texts that are taken out of Arrow at a time.
+BLOCK_POSTINGS, BLOCK_CHUNKS, TAKEN = 1 << 19, 4096, 256
+_BLOCK = ("keys", "dl", "words", "df", "at", "tf")
+
+
+@dataclass
+class _Block:
+    """keys and dl by chunk; words (sorted) and df by word; at (a chunk's place in the block) and tf by word and chunk."""
+
+    keys: pa.Array
+    dl: np.ndarray
+    words: pa.Array
+    df: np.ndarray
+    at: np.ndarray
+    tf: np.ndarray
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[_Block]:
+    for batch in batches:
+        for k in range(len(batch)):
+            row = {c: batch.column(c)[k] for c in _BLOCK}
+            numbers = {c: np.frombuffer(row[c].as_buffer(), np.int32) for c in ("dl", "at", "tf")}
+            yield _Block(keys=row["keys"].values, words=row["words"].values, df=row["df"].values.to_numpy(zero_copy_only=False), **numbers)
 
 
 def counted_words(chunks: DataFrame, key: str, text: Column) -> DataFrame:
-    """(chunk_key, term, tf, dl): a row for each word of a chunk, and one without a term for the chunk itself.
+    """Blocks of chunks as they are read, with the words of each: keys, dl, words, df, at, tf as in _Block, n_words.
 
-    A chunk's words are counted where it is read, a batch at a time: rows leave the scan as postings, without a shuffle.
+    A chunk's words are counted where it is read: what leaves the scan is an index of some chunks, without a shuffle.
     """
     kind = chunks.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, term, tf, dl = [], [], [], []
-            for k, said in enumerate(batch.column(1).to_pylist()):
-                count = Counter(_WORD.findall(said or ""))
-                n = count.total()
-                row += [k] * (len(count) + 1)
-                term += [None, *count]
-                tf += [0, *count.values()]
-                dl += [n] * (len(count) + 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(term, pa.string()), pa.array(tf, pa.int32()), pa.array(dl, pa.int32())], names=["chunk_key", "term", "tf", "dl"])
+        keys, dl, ids, term, tf, per = [], [], {}, [], [], []
+
+        def block() -> pa.RecordBatch:
+            words = sorted(ids)
+            place = np.empty(len(ids), np.int32)
+            place[np.fromiter(map(ids.__getitem__, words), np.int64, len(words))] = np.arange(len(words), dtype=np.int32)
+            by = place[np.array(term, np.int64)]
+            order = np.argsort(by, kind="stable")
+            at = np.repeat(np.arange(len(dl), dtype=np.int32), per)[order]
+            numbers = [np.array(dl, np.int32), at, np.array(tf, np.int32)[order]]
+            row = {"keys": pa.array([pa.concat_arrays(keys).to_pylist()], pa.list_(keys[0].type)), "words": pa.array([words], pa.list_(pa.string())), "df": pa.array([np.bincount(by, minlength=len(words))], pa.list_(pa.int32())), "n_words": pa.array([sum(dl)], pa.int64())}
+            row |= {c: pa.array([x.tobytes()], pa.binary()) for c, x in zip(("dl", "at", "tf"), numbers, strict=True)}
+            return pa.RecordBatch.from_arrays([row[c] for c in (*_BLOCK, "n_words")], names=[*_BLOCK, "n_words"])
 
-    return chunks.select(F.col(key).alias("chunk_key"), F.lower(text)).mapInArrow(run, f"chunk_key {kind}, term string, tf int, dl int")
+        for batch in batches:
+            for low in range(0, len(batch), TAKEN):
+                part = batch.slice(low, TAKEN)
+                for k, said in enumerate(part.column(1).to_pylist()):
+                    count = Counter(_WORD.findall(said or ""))
+                    keys.append(part.column(0).slice(k, 1))
+                    dl.append(count.total())
+                    per.append(len(count))
+                    term += [ids.setdefault(w, len(ids)) for w in count]
+                    tf += count.values()
+                    if len(term) >= BLOCK_POSTINGS or len(dl) >= BLOCK_CHUNKS:
+                        yield block()
+                        keys, dl, ids, term, tf, per = [], [], {}, [], [], []
+        if dl:
+            yield block()
+
+    schema = f"keys array<{kind}>, dl binary, words array<string>, df array<int>, at binary, tf binary, n_words long"
+    return chunks.select(F.col(key).alias("chunk_key"), F.lower(text)).mapInArrow(run, schema)
 
 
 def build_index(chunks: DataFrame, key: str, text: Column, path: str | None = None) -> Index:
-    """An inverted index; chunks without words count towards n and the mean length. The texts are read and split once.
+    """An inverted index in blocks of chunks; chunks without words count towards n and the mean length. The texts are read
+    and split once, and no posting is shuffled.
 
-    It is saved at path, or in the workspace: postings clustered by term (a term that many chunks have is split over
-    files), then what is counted from them.
+    It is saved at path, or in the workspace: the blocks, then what is counted from them.
     """
     spark = chunks.sparkSession
     path = path or workspace.folder(spark)
-    said = counted_words(chunks, key, text)
-    # rows without a term are spread by their chunk
-    placed = said.withColumn("place", F.coalesce("term", F.col("chunk_key").cast("string"))).hint("rebalance", "place").drop("place")
-    placed.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/words")
-    written = spark.read.parquet(f"{path}/words")
-    written.where("term is not null").groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/terms")
-    written.where("term is null").agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    # a row is a few MB: row groups are measured after each, not after the hundredth
+    small = {"parquet.block.size": 32 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 8, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 8}
+    counted_words(chunks, key, text).write.mode("overwrite").options(**small).parquet(f"{path}/blocks")
+    blocks = spark.read.parquet(f"{path}/blocks")
+    said = blocks.select(F.explode(F.arrays_zip("words", "df")).alias("w")).groupBy(F.col("w.words").alias("term")).agg(F.sum("w.df").alias("df"))
+    said.write.mode("overwrite").parquet(f"{path}/terms")
+    n = F.coalesce(F.sum(F.size("keys")), F.lit(0)).cast("long")
+    blocks.agg(n.alias("n"), F.coalesce(F.sum("n_words") / F.sum(F.size("keys")), F.lit(0.0)).alias("avgdl")).write.mode("overwrite").parquet(f"{path}/totals")
+    keys = blocks.select(F.explode("keys").alias("chunk_key")).groupBy("chunk_key").agg(F.count("*").alias("rows"))
+    keys.where("rows > 1 or chunk_key is null").select("chunk_key").write.mode("overwrite").parquet(f"{path}/repeated")
     return Index.load(spark, path)
 
 
@@ -103,8 +162,13 @@ def _idf(okapi: bool) -> Column:
     return F.log(n - df + 0.5) - F.log(df + 0.5) if okapi else F.log((n - df + 0.5) / (df + 0.5) + 1.0)
 
 
-def bm25_scores(index: Index, queries: DataFrame, okapi: bool = False) -> DataFrame:
-    """(query_id, chunk_key, raw): the positive scores. Only postings of the queries' terms are read on.
+#: Words of queries, repeated keys and candidates, in rows, up to which they are sent to every task; and queries that are
+#: scored at a time.
+SENT_ROWS, SCORED_QUERIES = 1 << 20, 256
+
+
+def query_weights(index: Index, queries: DataFrame, okapi: bool = False) -> DataFrame:
+    """(query_id, term, w, avgdl): the words of queries that the index has, by their weight.
 
     okapi: the classical weights; those below 0 become a quarter of the mean over all terms of the index.
     """
@@ -114,10 +178,120 @@ def bm25_scores(index: Index, queries: DataFrame, okapi: bool = False) -> DataFr
         mean = index.terms.crossJoin(F.broadcast(index.totals)).agg(F.avg(idf).alias("mean_idf"))
         terms = terms.crossJoin(F.broadcast(mean))
         idf = F.when(idf < 0, OKAPI_FLOOR * F.col("mean_idf")).otherwise(idf)
-    terms = terms.select("query_id", "term", (idf * F.col("times") * (K1 + 1)).alias("w"), "avgdl")
+    return terms.select("query_id", "term", (idf * F.col("times") * (K1 + 1)).alias("w"), "avgdl")
+
+
+def bm25_scores(index: Index, queries: DataFrame, okapi: bool = False) -> DataFrame:
+    """(query_id, chunk_key, raw): all positive scores, by a join: for more queries than can be sent to every task."""
     tf, dl = F.col("tf").cast("double"), F.col("dl").cast("double")
     part = F.col("w") * tf / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return index.postings.join(terms, "term").groupBy("query_id", "chunk_key").agg(F.sum(part).alias("raw")).where("raw > 0")
+    return index.postings.join(query_weights(index, queries, okapi), "term").groupBy("query_id", "chunk_key").agg(F.sum(part).alias("raw")).where("raw > 0")
+
+
+class _Asked:
+    """Words of queries by word: of each the queries, by number, and its weight there. From (query_id, term, w)."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.combine_chunks()
+        self.ids = rows["query_id"].unique()
+        self.words = rows["term"].unique()
+        by = pc.index_in(rows["term"], self.words).to_numpy()
+        order = np.argsort(by, kind="stable")
+        self.query = pc.index_in(rows["query_id"], self.ids).to_numpy()[order]
+        self.w = rows["w"].to_numpy()[order]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(by, minlength=len(self.words)))])
+
+    def scores(self, block: _Block, part: np.ndarray | None, low: int) -> np.ndarray:
+        """(chunks, queries from low on): sums over the words that both have, of weights times part (None: 1).
+
+        They are added up word by word in the words' order, so a score is the same in the last digit in every block.
+        """
+        wide = min(SCORED_QUERIES, len(self.ids) - low)
+        out = np.zeros(len(block.dl) * wide)
+        place = pc.fill_null(pc.index_in(block.words, self.words), -1).to_numpy()
+        ends = np.cumsum(block.df)
+        for word in np.flatnonzero(place >= 0):
+            own = slice(self.begins[place[word]], self.begins[place[word] + 1])
+            query, w = self.query[own] - low, self.w[own]
+            mine = (query >= 0) & (query < wide)
+            if not mine.all():
+                query, w = query[mine], w[mine]
+            said = slice(ends[word] - block.df[word], ends[word])
+            where = block.at[said].astype(np.int64)[:, None] * wide + query
+            # a chunk and a query meet once in a word, so no place is named twice
+            out[where] += w if part is None else part[said, None] * w
+        return out.reshape(len(block.dl), wide)
+
+
+class _Best:
+    """The top_k rows of each query so far, by rounded score and then by key."""
+
+    def __init__(self, queries: int, top_k: int):
+        self.n, self.k, self.size = queries, top_k, 0
+        self.parts: list[tuple[np.ndarray, pa.Array, np.ndarray]] = []
+        #: The rounded score of the last of them; 0 where there are fewer.
+        self.floor = np.zeros(queries)
+
+    def add(self, query: np.ndarray, keys: pa.Array, score: np.ndarray) -> None:
+        if len(query):
+            self.parts.append((query, keys, score))
+            self.size += len(query)
+
+    def grown(self) -> bool:
+        return self.size > 2 * self.n * self.k
+
+    def cut(self) -> None:
+        if not self.parts:
+            return
+        query, score = (np.concatenate([p[k] for p in self.parts]) for k in (0, 2))
+        keys = pa.concat_arrays([p[1] for p in self.parts])
+        shown = np.round(score, PLACES)
+        order = pc.sort_indices(pa.table({"q": query, "s": shown, "k": keys}), sort_keys=[("q", "ascending"), ("s", "descending"), ("k", "ascending")], null_placement="at_start").to_numpy()
+        by = query[order]
+        kept = order[np.arange(len(by)) - np.searchsorted(by, by, "left") < self.k]
+        self.parts, self.size = [(query[kept], keys.take(pa.array(kept)), score[kept])], len(kept)
+        count = np.bincount(query[kept], minlength=self.n)
+        last = np.cumsum(count) - 1
+        full = count == self.k
+        self.floor[full] = shown[kept[last[full]]]
+
+    def batch(self, ids: pa.Array, name: str) -> Iterator[pa.RecordBatch]:
+        """(query_id, chunk_key, score under that name)."""
+        self.cut()
+        for query, keys, score in self.parts:
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(query)), keys, pa.array(score)], names=["query_id", "chunk_key", name])
+
+
+def _block_best(index: Index, rows: pa.Table, repeated: pa.Array, top_k: int, kind: str) -> DataFrame:
+    """(query_id, chunk_key, raw): of each task's blocks every query's top_k; of chunks that share a key all."""
+    spark, mean = index.blocks.sparkSession, rows["avgdl"][0].as_py()
+    asked = spark.sparkContext.broadcast(_Asked(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = asked.value
+        best, begun = _Best(len(own.ids), top_k), False
+        for block in _blocks_of(batches):
+            tf, dl = block.tf.astype(float), block.dl[block.at].astype(float)
+            part = tf / (tf + K1 * (1 - B + B * dl / mean))
+            shared = pc.is_in(block.keys, repeated).to_numpy(zero_copy_only=False)
+            for low in range(0, len(own.ids), SCORED_QUERIES):
+                raw = own.scores(block, part, low)
+                if shared.any():
+                    c, q = np.nonzero(raw * shared[:, None])
+                    yield pa.RecordBatch.from_arrays([own.ids.take(pa.array(q + low)), block.keys.take(pa.array(c)), pa.array(raw[c, q])], names=["query_id", "chunk_key", "raw"])
+                    raw[shared] = 0.0
+                shown = np.round(raw, PLACES)
+                least = best.floor[low : low + raw.shape[1]]
+                if len(raw) > top_k:
+                    least = np.maximum(least, np.partition(shown, len(raw) - top_k, axis=0)[len(raw) - top_k])
+                c, q = np.nonzero((shown >= least) & (raw > 0))
+                best.add(q + low, block.keys.take(pa.array(c)), raw[c, q])
+            if not begun or best.grown():
+                best.cut()
+                begun = True
+        yield from best.batch(own.ids, "raw")
+
+    return index.blocks.select(*_BLOCK).mapInArrow(run, f"query_id {kind}, chunk_key {index.blocks.schema['keys'].dataType.elementType.simpleString()}, raw double")
 
 
 def ranked(hits: DataFrame, score: str, *ties: Column | str, limit: int | None = None, rank: str = "rank") -> DataFrame:
@@ -128,26 +302,65 @@ def ranked(hits: DataFrame, score: str, *ties: Column | str, limit: int | None =
 
 
 def bm25_search(index: Index, queries: DataFrame, top_k: int = 20, okapi: bool = False) -> DataFrame:
-    """(query_id, chunk_key, rank, bm25_score): scores over the best one's."""
-    top = ranked(bm25_scores(index, queries, okapi), "raw", "chunk_key", limit=top_k)
+    """(query_id, chunk_key, rank, bm25_score): scores over the best one's.
+
+    The words of up to SENT_ROWS go to every task, which scores its blocks and lets go of each query's top_k.
+    """
+    weights = query_weights(index, queries, okapi)
+    rows, repeated = weights.limit(SENT_ROWS + 1).toArrow(), index.repeated.limit(SENT_ROWS + 1).toArrow()
+    if max(len(rows), len(repeated)) > SENT_ROWS:
+        scored = bm25_scores(index, queries, okapi)
+    elif not len(rows):
+        scored = weights.join(index.repeated, F.lit(False)).select("query_id", "chunk_key", F.col("w").alias("raw"))
+    else:
+        scored = _block_best(index, rows, repeated["chunk_key"].combine_chunks(), top_k, weights.schema["query_id"].dataType.simpleString())
+        if len(repeated):
+            scored = scored.groupBy("query_id", "chunk_key").agg(F.sum("raw").alias("raw")).where("raw > 0")
+    top = ranked(scored, "raw", "chunk_key", limit=top_k)
     best = F.max("raw").over(Window.partitionBy("query_id"))
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), (F.col("raw") / best).alias("bm25_score"))
 
 
+def _with_all_words(index: Index, rows: pa.Table, kind: str) -> DataFrame:
+    """(query_id, chunk_key): chunks that have all words of a query. rows: query_id, term, w (1)."""
+    asked = index.blocks.sparkSession.sparkContext.broadcast(_Asked(rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = asked.value
+        need = np.bincount(own.query, minlength=len(own.ids))
+        for block in _blocks_of(batches):
+            for low in range(0, len(own.ids), SCORED_QUERIES):
+                had = own.scores(block, None, low)
+                c, q = np.nonzero(had == need[low : low + had.shape[1]])
+                yield pa.RecordBatch.from_arrays([own.ids.take(pa.array(q + low)), block.keys.take(pa.array(c))], names=["query_id", "chunk_key"])
+
+    return index.blocks.select(*_BLOCK).mapInArrow(run, f"query_id {kind}, chunk_key {index.blocks.schema['keys'].dataType.elementType.simpleString()}")
+
+
 def containing(docs: DataFrame, passages: DataFrame, index: Index) -> DataFrame:
     """(query_id, chunk_key): documents that contain a passage as it stands. docs: chunk_key, text; passages: query_id, query.
 
-    Candidates are the documents with the rarest word of the passage's inside, which the index names; they alone are
-    searched. The first and last word may be parts of words in a document, so a passage without others is searched
-    for everywhere.
+    Candidates are the documents that have all words of the passage's inside, which the index names (for more passages than
+    can be sent to every task, those with its rarest word); they alone are searched. The first and last word may be parts
+    of words in a document, so a passage without others is searched for everywhere.
     """
     ws = T.words(F.col("query"))
     asked = passages.select("query_id", "query", F.slice(ws, F.lit(2), F.greatest(F.size(ws) - 2, F.lit(0))).alias("inside"))
-    words = asked.select("query_id", F.explode("inside").alias("term")).distinct().join(index.terms, "term", "left")
-    # a word that no document has settles it: nothing contains the passage
-    rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
-    candidates = index.postings.select("chunk_key", "term").join(rare, "term").select("query_id", "chunk_key")
-    hinted = candidates.join(asked.select("query_id", "query"), "query_id").join(docs.select("chunk_key", "text"), "chunk_key").where(F.col("text").contains(F.col("query")))
+    inside = asked.select("query_id", F.explode("inside").alias("term")).distinct()
+    rows = inside.withColumn("w", F.lit(1.0)).limit(SENT_ROWS + 1).toArrow()
+    if len(rows) > SENT_ROWS:
+        # a word that no document has settles it: nothing contains the passage
+        words = inside.join(index.terms, "term", "left")
+        rare = words.groupBy("query_id").agg(F.min_by("term", F.struct(F.coalesce("df", F.lit(0)), "term")).alias("term"))
+        candidates = index.postings.select("chunk_key", "term").join(rare, "term").select("query_id", "chunk_key")
+    else:
+        candidates = _with_all_words(index, rows, inside.schema["query_id"].dataType.simpleString()) if len(rows) else inside.join(index.repeated, F.lit(False)).select("query_id", "chunk_key")
+        candidates = workspace.kept(candidates)
+        if candidates.count() <= SENT_ROWS:
+            # else the texts of all documents would be shuffled
+            candidates = F.broadcast(candidates)
+    held = docs.select("chunk_key", "text").join(candidates, "chunk_key")
+    hinted = held.join(asked.select("query_id", "query"), "query_id").where(F.col("text").contains(F.col("query")))
     bare = asked.where(F.size("inside") == 0).select("query_id", "query")
     everywhere = docs.select("chunk_key", "text").join(bare, F.col("text").contains(F.col("query")))
     return hinted.select("query_id", "chunk_key").unionByName(everywhere.select("query_id", "chunk_key"))
@@ -294,6 +507,8 @@ def expand(hits: DataFrame, chunks: DataFrame, parents: bool = False, neighbors:
     cross_document. hits: query_id, chunk_key, rank, score, dense_score, bm25_score; chunks: chunk_key, doc_id,
     chunk_index, section_id.
     """
+    # hits are named several times below, and each time would search anew
+    hits = workspace.kept(hits)
     run = Window.partitionBy("doc_id").orderBy("chunk_index")
     placed = chunks.select("chunk_key", "doc_id", "chunk_index", "section_id").withColumn("island", F.col("chunk_index") - F.row_number().over(run))
     own = hits.join(placed, "chunk_key").withColumnsRenamed({"chunk_key": "from_key", "chunk_index": "at"})

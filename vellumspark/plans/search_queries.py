@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumspark import sinks
+from vellumspark import sinks, workspace
 from vellumspark.config import RetrievalConfig
 from vellumspark.operators import enrich, graph, rows, search
 from vellumspark.plans import pipeline
@@ -85,20 +86,21 @@ def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_INDEXES: dict[tuple, search.Index] = {}
+_KEPT: dict[tuple, object] = {}
+_T = TypeVar("_T")
 
 
-def _index(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], search.Index]) -> search.Index:
-    """An index that is built by the first query that asks for it in a session, and only read by the others."""
+def _once(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], _T]) -> _T:
+    """What is written by the first query that asks for it in a session, and only read by the others."""
     place = (spark.sparkContext.applicationId, sf_dir, name)
-    if place not in _INDEXES:
-        _INDEXES[place] = build()
-    return _INDEXES[place]
+    if place not in _KEPT:
+        _KEPT[place] = build()
+    return _KEPT[place]
 
 
 def _document_index(spark: SparkSession, sf_dir: str) -> search.Index:
     """An index of all words of all documents."""
-    return _index(spark, sf_dir, "documents", lambda: search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
+    return _once(spark, sf_dir, "documents", lambda: search.build_index(table(spark, sf_dir, "documents"), "doc_id", F.col("text")))
 
 
 def _bm25_sql(source: str, key: str, k: int, name: str = "lex", okapi: bool = False) -> str:
@@ -209,9 +211,14 @@ def filtered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 oracle("filtered_search", f"WITH {_FUSED}, f AS (SELECT query_id, chunk_key, (row_number() OVER (PARTITION BY query_id ORDER BY rank) - 1)::INTEGER AS rank, score, dense_score, bm25_score FROM rrf JOIN documents ON doc_id = chunk_key WHERE lower(lang) = 'en') SELECT query_id, chunk_key AS doc_id, rank, {_ROUNDED} FROM f WHERE rank < 10")
 
 
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks table of conversations, written once: searches read it several times, mostly a few columns."""
+    return _once(spark, sf_dir, "chunks", lambda: workspace.kept(dialogue_chunks(spark, sf_dir)))
+
+
 def _dialogue_hits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    chunks = dialogue_chunks(spark, sf_dir).withColumn("chunk_key", F.col("chunk_id"))
-    index = _index(spark, sf_dir, "dialogue", lambda: search.build_index(chunks, "chunk_key", F.col("text")))
+    chunks = _turns(spark, sf_dir).withColumn("chunk_key", F.col("chunk_id"))
+    index = _once(spark, sf_dir, "dialogue", lambda: search.build_index(chunks, "chunk_key", F.col("text")))
     hits = search.bm25_search(index, _queries(spark, sf_dir), 3)
     return chunks, hits.select("query_id", "chunk_key", "rank", F.col("bm25_score").alias("score"), F.lit(0.0).alias("dense_score"), "bm25_score")
 
@@ -466,7 +473,7 @@ def process_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All benchmark texts over all turns, with both legs and expansion."""
-    chunks = rows.with_context(dialogue_chunks(spark, sf_dir))
+    chunks = rows.with_context(_turns(spark, sf_dir))
     # a turn's vector is that of its conversation's number, counted round
     vectors = _vectors(spark, sf_dir)
     count = vectors.agg(F.count("*").alias("n_vectors"))
@@ -474,7 +481,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = placed.join(vectors, F.col("v") == F.col("chunk_key")).select(F.col("chunk_id").alias("chunk_key"), "embedding")
     config = RetrievalConfig(0.5, 0.5, expand_parents=True, expand_neighbors=1)
     text = search.search_text(F.col("text"), F.col("keywords"), F.col("entities"), F.col("summary"), F.col("parent_context"))
-    index = _index(spark, sf_dir, "turns", lambda: search.build_index(chunks, "chunk_id", text))
+    index = _once(spark, sf_dir, "turns", lambda: search.build_index(chunks, "chunk_id", text))
     found = search.hybrid_search(chunks, _asked_vectors(spark, sf_dir), vectors, config, top_k=3, index=index)
     return found.select("query_id", F.col("chunk_key").alias("chunk_id"), "rank", F.round("score", 8).alias("score"), F.round("dense_score", 6).alias("dense_score"), F.round("bm25_score", 6).alias("bm25_score"), "via")
 
