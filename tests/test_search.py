@@ -228,3 +228,37 @@ def test_passages_are_searched_where_all_their_words_are(spark, monkeypatch):
     assert sorted(tuple(r) for r in found.collect()) == [(0, k) for k, t in enumerate(texts) if {"a", "f"} <= set(t.split())]
     monkeypatch.setattr(search, "SENT_ROWS", 0)
     assert sorted(tuple(r) for r in search.containing(docs, asked, index).collect()) == want
+
+
+@pytest.mark.parametrize("layout", ["sent", "blocks"])
+def test_dense_is_exact_on_odd_vectors(spark, monkeypatch, layout):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 6))
+    # copies, so that scores tie; next to equal ones; zeros; short ones, of which the small term takes most; one that isn't a number
+    x[50:90], x[90:130] = x[:40], x[:40] * 3
+    x[130:160] = x[:30] + rng.normal(size=(30, 6)) * 1e-7
+    x[200], x[201:230], x[230:240] = 0, x[201:230] * 1e-8, x[230:240] * 1e-5
+    x[300, 2] = np.nan
+    x = x.astype(np.float32)
+    monkeypatch.setattr(search, "VECTOR_BYTES", 4096)
+    vectors = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "chunk_key long, embedding array<float>").repartition(3)
+    asked = vectors.withColumnRenamed("chunk_key", "query_id")
+    got = search.dense_search(vectors, asked, 7, broadcast_bytes=1 << 20 if layout == "sent" else 3000).collect()
+    y = x.astype(float)
+    norm = np.sqrt((y**2).sum(1))
+    score = np.nan_to_num(np.maximum(0.0, (y[:, None, :] * y[None]).sum(2) / (norm[:, None] * norm + 1e-10)))
+    shown = np.round(score, 10)
+    want = [(q, r, k, shown[q, k]) for q in range(400) for r, k in enumerate([k for k in np.lexsort((np.arange(400), -shown[q])) if score[q, k] > 0][:7])]
+    mine = sorted((r.query_id, r.rank, r.chunk_key, r.dense_score) for r in got)
+    assert [m[:3] for m in mine] == [w[:3] for w in want] and np.allclose([m[3] for m in mine], [w[3] for w in want], atol=1e-9)
+
+
+def test_blocks_of_queries_stay_few(spark, monkeypatch):
+    # each takes a copy of all vectors: with a block for each 100 bytes there would be 64
+    made = []
+    whole = search._grid_search
+    monkeypatch.setattr(search, "_grid_search", lambda *a: made.append(a[4:]) or whole(*a))
+    vectors = spark.range(200).selectExpr("id as chunk_key", "array(float(id), float(1), float(id % 3), float(2)) as embedding")
+    asked = vectors.withColumnRenamed("chunk_key", "query_id")
+    got = search.dense_search(vectors, asked, 3, broadcast_bytes=100)
+    assert made == [(search.QUERY_BLOCKS, 1)] and got.count() == 600

@@ -369,9 +369,13 @@ def containing(docs: DataFrame, passages: DataFrame, index: Index) -> DataFrame:
 # --- dense ----------------------------------------------------------------------------------------------------
 
 #: Bytes of query vectors (8 a number) up to which they are sent to every task as one matrix; more of them are dealt out in
-#: blocks of that size, and the vectors in blocks of VECTOR_BYTES, a task for each pair of blocks.
+#: blocks of up to that size, and the vectors in blocks of VECTOR_BYTES, a task for each pair of blocks. Each block of queries
+#: takes a copy of all vectors, so smaller blocks are made up to QUERY_BLOCKS only.
 BROADCAST_BYTES = 64 << 20
-VECTOR_BYTES = 256 << 20
+VECTOR_BYTES = 64 << 20
+QUERY_BLOCKS = 16
+#: Queries and vectors whose scores are held at a time.
+TILE_QUERIES, TILE_VECTORS = 512, 8192
 
 
 def _as_matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
@@ -379,34 +383,76 @@ def _as_matrix(column: pa.Array | pa.ChunkedArray, rows: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(rows, -1)
 
 
-def _best(q: np.ndarray, q_ids: pa.Array, x: np.ndarray, keys: pa.Array, top_k: int) -> Iterator[pa.RecordBatch]:
-    """(query_id, chunk_key, dense_score): each query's top_k of these vectors, by score and then by key."""
-    q_norm, norm = np.sqrt((q**2).sum(1)), np.sqrt((x**2).sum(1))
-    ranked_keys = np.argsort(np.argsort(keys.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-    for low in range(0, len(q), 512):
-        score = np.maximum(0.0, (q[low : low + 512] @ x.T) / (q_norm[low : low + 512, None] * norm[None, :] + 1e-10))
-        shown = np.round(score, PLACES)
-        least = -np.partition(-shown, top_k - 1, axis=1)[:, top_k - 1] if shown.shape[1] > top_k else np.zeros(len(shown))
-        r, c = np.nonzero((shown >= least[:, None]) & (score > 0))
-        order = np.lexsort((ranked_keys[c], -shown[r, c], r))
-        r, c = r[order], c[order]
-        first = np.arange(len(r)) - np.searchsorted(r, r, "left") < top_k
-        r, c = r[first], c[first]
-        # a matrix product adds up in an order that hangs on its shape: what stays is added up anew, row by row
-        q_r = r + low
-        own = np.maximum(0.0, np.einsum("ij,ij->i", q[q_r], x[c]) / (q_norm[q_r] * norm[c] + 1e-10))
-        yield pa.RecordBatch.from_arrays([q_ids.take(pa.array(q_r)), keys.take(pa.array(c)), pa.array(own)], names=["query_id", "chunk_key", "dense_score"])
+def _units(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Rows over their length in single precision; zeros stay."""
+    with np.errstate(all="ignore"):
+        return (x / np.where(norm > 0, norm, 1.0)[:, None]).astype(np.float32)
+
+
+class _Nearest:
+    """Each query's top_k of the vectors that were met so far, by score and then by key.
+
+    Products in single precision say which vectors can be among them; these alone are scored in double precision, row by row, as
+    a product of matrices adds up in an order that hangs on its shape.
+    """
+
+    def __init__(self, q: np.ndarray, top_k: int):
+        self.q, self.top_k, self.best = q, top_k, _Best(len(q), top_k)
+        self.norm = np.sqrt((q**2).sum(1))
+        self.unit = _units(q, self.norm)
+        # of products and sums of numbers that single precision rounds
+        self.slack = (q.shape[1] + 8) * 2.0**-23
+        self.begun = False
+
+    def meet(self, x: np.ndarray, keys: pa.Array) -> None:
+        norm = np.sqrt((x**2).sum(1))
+        unit = _units(x, norm)
+        # the small term in a score counts where vectors are very short
+        short = np.min(self.norm[self.norm > 0], initial=np.inf) * np.min(norm[norm > 0], initial=np.inf) < 1e-2
+        for low in range(0, len(self.q), TILE_QUERIES):
+            about = self.unit[low : low + TILE_QUERIES] @ unit.T
+            if short:
+                both = self.norm[low : low + TILE_QUERIES, None] * norm
+                about *= (both / (both + 1e-10)).astype(np.float32)
+            floor = self.best.floor[low : low + TILE_QUERIES]
+            least = np.where(floor > 0, floor, 0.0) - self.slack
+            few = np.flatnonzero(floor <= 0)
+            if len(few) and about.shape[1] > self.top_k:
+                at = about.shape[1] - self.top_k
+                # numbers that aren't there say nothing about the others
+                own = np.nan_to_num(about[few], nan=-2.0, posinf=-2.0, neginf=-2.0)
+                least[few] = np.maximum(least[few], np.partition(own, at, axis=1)[:, at] - 2 * self.slack)
+            # in single precision, and no more than it was
+            r, c = np.nonzero(about >= np.nextafter(least.astype(np.float32), np.float32(-3))[:, None])
+            for begin in range(0, len(r), 1 << 17):
+                self._score(low + r[begin : begin + (1 << 17)], c[begin : begin + (1 << 17)], x, norm, keys)
+                if self.best.grown():
+                    self.best.cut()
+        if not self.begun:
+            self.best.cut()
+            self.begun = True
+
+    def _score(self, r: np.ndarray, c: np.ndarray, x: np.ndarray, norm: np.ndarray, keys: pa.Array) -> None:
+        own = np.einsum("ij,ij->i", self.q[r], x[c]) / (self.norm[r] * norm[c] + 1e-10)
+        kept = (own > 0) & (np.round(own, PLACES) >= self.best.floor[r])
+        self.best.add(r[kept], keys.take(pa.array(c[kept])), own[kept])
+
+    def meet_all(self, column: pa.Array, keys: pa.Array) -> None:
+        for low in range(0, len(column), TILE_VECTORS):
+            part = column.slice(low, TILE_VECTORS)
+            self.meet(_as_matrix(part, len(part)), keys.slice(low, TILE_VECTORS))
 
 
 def _block_search(vectors: DataFrame, asked: pa.Table, top_k: int, schema: str) -> DataFrame:
-    """Each batch of vectors against the matrix of queries."""
+    """Each task's vectors against the matrix of queries."""
     ids = asked["query_id"].combine_chunks()
     shared = vectors.sparkSession.sparkContext.broadcast(_as_matrix(asked["q"], len(asked)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = _Nearest(shared.value, top_k)
         for batch in batches:
-            if len(batch):
-                yield from _best(shared.value, ids, _as_matrix(batch.column(1), len(batch)), batch.column(0), top_k)
+            found.meet_all(batch.column(1), batch.column(0))
+        yield from found.best.batch(ids, "dense_score")
 
     return vectors.select("chunk_key", "embedding").mapInArrow(run, schema)
 
@@ -420,9 +466,10 @@ def _grid_search(vectors: DataFrame, asked: DataFrame, top_k: int, schema: str,
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         made = []
         if len(left) and len(right):
-            q_ids, q, x, keys = left["query_id"].combine_chunks(), _as_matrix(left["q"], len(left)), _as_matrix(right["embedding"], len(right)), right["chunk_key"].combine_chunks()
-            # some rows of vectors at a time: the scores of a block are many times its own size
-            made = [b for low in range(0, len(x), 8192) for b in _best(q, q_ids, x[low : low + 8192], keys[low : low + 8192], top_k)]
+            found = _Nearest(_as_matrix(left["q"], len(left)), top_k)
+            for column, keys in zip(right["embedding"].chunks, right["chunk_key"].chunks, strict=True):
+                found.meet_all(column, keys)
+            made = list(found.best.batch(left["query_id"].combine_chunks(), "dense_score"))
         empty = pa.table({"query_id": left["query_id"][:0], "chunk_key": right["chunk_key"][:0], "dense_score": pa.array([], pa.float64())})
         return pa.Table.from_batches(made) if made else empty
 
@@ -446,7 +493,8 @@ def dense_search(vectors: DataFrame, queries: DataFrame, top_k: int = 20, dims:
     if size <= broadcast_bytes:
         scored = _block_search(held, asked.toArrow(), top_k, schema)
     else:
-        scored = _grid_search(held, asked, top_k, schema, -(-size // broadcast_bytes), -(-held.count() * dims * 8 // VECTOR_BYTES) or 1)
+        blocks = min(-(-size // broadcast_bytes), max(QUERY_BLOCKS, -(-size // BROADCAST_BYTES)))
+        scored = _grid_search(held, asked, top_k, schema, blocks, -(-held.count() * dims * 8 // VECTOR_BYTES) or 1)
     top = ranked(scored, "dense_score", "chunk_key", limit=top_k)
     return top.select("query_id", "chunk_key", F.col("rank").cast("int").alias("rank"), "dense_score")
 
