@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,7 +10,7 @@ from vellumspark.config import ChunkerConfig
 from vellumspark.operators import chunking, graph, rows
 from vellumspark.plans import pipeline
 from vellumspark.sources import markdown, plain
-from vellumspark.tokenizers import Tokenizer, WordCodec
+from vellumspark.tokenizers import TAKEN, TAKEN_BYTES, Tokenizer, WordCodec, by_parts
 
 
 def sections(spark, *texts):
@@ -209,3 +210,17 @@ def test_registered_structural_query_splits(spark, tmp_path):
     split = chunking.Splitter(WordCodec(), 512, 50)
     want = {(d, 0, k): c.strip() for d, t in texts.items() for k, c in enumerate(c for c in split(t.strip()) if c.strip())}
     assert got == want and len([k for k in got if k[0] == 2]) > 5
+
+
+def test_batches_are_taken_out_of_arrow_in_parts(spark):
+    texts = pa.array(["a b c", None] * 1000 + ["x " * 200_000] * 8)
+    held = []
+    parts = list(by_parts(texts, lambda t: held.append(t) or (0 if t is None else len(t.split())), pa.int32()))
+    assert max(map(len, parts)) <= TAKEN and len(parts) >= 8 and held == texts.to_pylist()
+    assert max(p.nbytes for p in by_parts(texts, lambda t: t, pa.string())) < 2 * TAKEN_BYTES + 8 * 400_000
+    assert [n for p in parts for n in p.to_pylist()] == [3, 0] * 1000 + [200_000] * 8
+    # a batch's parts come back beside their own rows
+    df = spark.range(3000).coalesce(1).selectExpr("id as doc_id", "concat('s', id) as source", "repeat(concat('w', id, ' '), int(id % 900)) as text")
+    made = chunking.recursive(plain.text_sections(df), ChunkerConfig(chunk_size=100, chunk_overlap=0)).select("doc_id", "text").collect()
+    assert {r.doc_id for r in made} == {k for k in range(3000) if k % 900} and all(set(r.text.split()) == {f"w{r.doc_id}"} for r in made)
+    assert sum(len(r.text.split()) for r in made) == sum(k % 900 for k in range(3000))
