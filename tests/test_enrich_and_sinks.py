@@ -210,3 +210,14 @@ def test_a_broken_write_leaves_the_old_cache(spark, tmp_path):
     assert sinks.read_cache(spark, path).count() == 1
     sinks.write_cache(one.union(one.selectExpr("'b'", "'y'")), path)
     assert sinks.read_cache(spark, path).count() == 2 and not (tmp_path / "cache.old").exists()
+
+
+def test_fields_are_worked_out_once_for_all(spark):
+    reply = '{"SUMMARY": "", "summary": "a \\"b\\"", "Summary": 0, "description": ["x", 1], "tags": "t", "keywords": [], "named entities": {"k": null}, "confidence": "NaN", "score": 7}'
+    df = spark.createDataFrame([(reply,), ("[1]",), ("{}",), (None,)], "reply string").withColumn("f", enrich.fields(enrich.parsed(F.col("reply"))))
+    assert [r.f for r in df.where("reply is not null and reply like '{\"%'").collect()] == [("a \"b\"", ["{\"k\":null}"], ["t"], 0.0)]
+    shown = df.where("reply is null or reply not like '{\"%'").select("f.*").collect()
+    assert len(shown) == 3 and all(v is None for r in shown for v in r)
+    # reading all fields costs one reading of the reply
+    plan = df.select("f.summary", "f.entities", "f.keywords", "f.confidence")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("schema_of_variant") == 1 or plan.count("schemaOfVariant") == 1

@@ -76,10 +76,20 @@ def _listed(value: Column) -> Column:
     return F.when(value.startswith("["), F.transform(F.from_json(value, "array<string>"), lambda x: F.coalesce(x, F.lit("None")))).otherwise(F.array(_plain(value)))
 
 
-def _map(reply: Column) -> Column:
-    entries = F.transform(F.map_entries(reply.cast("map<string,variant>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
-    # of keys that differ in case the last one counts
-    return F.aggregate(entries, F.create_map().cast("map<string,string>"), lambda m, e: F.map_concat(F.map_filter(m, lambda k, v: k != e["key"]), F.map_from_entries(F.array(e))))
+def _bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of value, which a lambda's variable holds, so that it is worked out once and not at each mention."""
+    return F.get(F.transform(F.array(value), of), F.lit(0))
+
+
+def _entries(reply: Column) -> Column:
+    """A JSON object's keys in lower case with their values' JSON text, and that text where Python would call it true."""
+    shown = F.transform(F.map_entries(reply.cast("map<string,variant>")), lambda e: F.struct(F.lower(e["key"]).alias("key"), F.coalesce(F.to_json(e["value"]), F.lit("null")).alias("value")))
+    return F.transform(shown, lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), _truthy(e["value"]).alias("truthy")))
+
+
+def _entry(entries: Column, key: str) -> Column:
+    """The entry of a key, null where it isn't there; of keys that differ in case the last one counts."""
+    return F.try_element_at(F.filter(entries, lambda e: e["key"] == key), F.lit(-1))
 
 
 ALIASES = {
@@ -90,31 +100,34 @@ ALIASES = {
 }
 
 
-def extracted(reply: Column, enrichments: tuple[str, ...] = ENRICHMENTS) -> dict[str, Column]:
-    """Columns of the asked-for fields of a VARIANT reply; null where it doesn't have them.
+def fields(reply: Column, enrichments: tuple[str, ...] = ENRICHMENTS) -> Column:
+    """A struct of the asked-for fields of a VARIANT reply; null where it doesn't have them, or isn't an object.
 
     Keys don't depend on case. A false value (empty, 0, null) gives way to the next alias; the last alias counts as it is.
+    To be made a column of its own ahead of its fields, so that it is worked out once for all of them.
     """
-    is_object = F.schema_of_variant(reply).startswith("OBJECT")
-    found = F.when(is_object, _map(reply))
+    found = F.when(F.schema_of_variant(reply).startswith("OBJECT"), _entries(reply))
 
     def field(m: Column, name: str) -> Column:
         *first, last = ALIASES[name]
-        v = F.coalesce(*[_truthy(F.try_element_at(m, F.lit(k))) for k in first], F.try_element_at(m, F.lit(last)))
-        v = F.when(v != "null", v)
+        return F.coalesce(*[_entry(m, k)["truthy"] for k in first], _entry(m, last)["value"])
+
+    def shown(v: Column, name: str) -> Column:
+        known = v.isNotNull() & (v != "null")
         if name == "summary":
-            return _plain(v)
+            return F.when(known, _plain(v))
         if name == "confidence":
-            number = _plain(v).try_cast("double")
-            number = F.when(F.isnan(number), 0.0).otherwise(F.coalesce(number, F.lit(0.0)))
-            return F.when(v.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
-        return F.when(v.isNotNull(), _listed(v))
+            number = _bound(_plain(v).try_cast("double"), lambda n: F.when(F.isnan(n), 0.0).otherwise(F.coalesce(n, F.lit(0.0))))
+            return F.when(known, F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+        return F.when(known, _listed(v))
 
-    # the map is bound to a lambda's variable, so that it is made once for a field and not at each mention
-    def bound(name: str) -> Column:
-        return F.get(F.transform(F.array(found), lambda m: field(m, name)), F.lit(0))
+    values = _bound(found, lambda m: F.struct(*[field(m, name).alias(name) for name in enrichments]))
+    return _bound(values, lambda v: F.struct(*[shown(v[name], name).alias(name) for name in enrichments]))
 
-    return {name: bound(name) for name in enrichments}
+
+def extracted(reply: Column, enrichments: tuple[str, ...] = ENRICHMENTS) -> dict[str, Column]:
+    """The fields as columns, each of which works out all of them."""
+    return {name: fields(reply, enrichments)[name] for name in enrichments}
 
 
 # --- the cache and the model ----------------------------------------------------------------------------------
@@ -215,9 +228,9 @@ def enrich(chunks: DataFrame, cache: DataFrame, model: Model = extractive_model,
     rows = looked.join(answered, "text_hash", "left").withColumn("_reply", parsed(F.coalesce("payload", "reply")))
     # a first call that failed isn't in the cache: its later twins missed as well
     rows = rows.withColumn("cache_status", F.when(F.coalesce("payload", "reply").isNull(), "MISS").otherwise(F.col("cache_status")))
-    found = extracted(F.col("_reply"), config.enrichments)
-    rows = rows.withColumns({k: F.coalesce(v, F.col(k)) for k, v in found.items()})
-    return graph.neighbor_summaries(rows.drop("_reply", "reply", "payload", "text_hash")), replies
+    rows = rows.withColumn("_found", fields(F.col("_reply"), config.enrichments))
+    rows = rows.withColumns({k: F.coalesce(F.col("_found")[k], F.col(k)) for k in config.enrichments})
+    return graph.neighbor_summaries(rows.drop("_reply", "_found", "reply", "payload", "text_hash")), replies
 
 
 def usage(replies: DataFrame, prompt_price: float | None = None, completion_price: float | None = None) -> DataFrame:

@@ -338,7 +338,8 @@ oracle("llm_json_ladder", "SELECT event_id, event_id % 5 <> 3 AS is_json, CASE W
 @query
 def enrichment_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _replies(spark, sf_dir).withColumn("v", enrich.parsed(F.col("reply")))
-    fields = enrich.extracted(F.col("v"))
+    found = found.withColumn("f", enrich.fields(F.col("v")))
+    fields = F.col("f")
     return found.select("event_id", fields["summary"].alias("summary"), F.array_join(fields["keywords"], "|").alias("keywords"), F.array_join(fields["entities"], "|").alias("entities"), F.round(fields["confidence"], 4).alias("confidence"))
 
 
